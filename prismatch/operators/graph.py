@@ -9,7 +9,7 @@ rows, so at most 10,000 of them exist and their side can be broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from prismatch.operators.ordering import with_position
@@ -42,9 +42,12 @@ def star_edges(edges: DataFrame, entry: str = "entry", cluster: str = "cluster")
     return linked.select(F.col(entry).alias("u"), "v").where("u > v").distinct()
 
 
-def _state(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first()
-    return int(row["n"]), int(row["h"])
+def _staged_state(df: DataFrame, label: str) -> tuple[DataFrame, tuple[int, int]]:
+    """Stage an edge table; its size and hash are observed while it is written."""
+    seen = Observation()
+    out = stage(
+        df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")), label)
+    return out, (int(seen.get["n"]), int(seen.get["h"]))
 
 
 def _large_star(e: DataFrame, n: int) -> DataFrame:
@@ -71,12 +74,9 @@ def component_labels(edges: DataFrame, entries: DataFrame | None = None, *, entr
         entries = entries.select(F.col(entry)).distinct()
         edges = edges.join(entries, entry, "left_semi")
     nodes = entries if entries is not None else edges.select(entry).distinct()
-    e = stage(star_edges(edges, entry, cluster), "stars")
-    state = _state(e)
+    e, state = _staged_state(star_edges(edges, entry, cluster), "stars")
     for _ in range(max_rounds):
-        large = stage(_large_star(e, state[0]), "large")
-        e = stage(_small_star(large, state[0]), "small")
-        after = _state(e)
+        e, after = _staged_state(_small_star(_large_star(e, state[0]), state[0]), "stars")
         if after == state:
             break
         state = after
