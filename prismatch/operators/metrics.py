@@ -40,8 +40,8 @@ def rank_metrics(
         n.alias("n"),
         F.count(r).alias("n_ranked"),
         *[F.count_if(r <= k).alias(f"hit_at_{k}") for k in ks],
-        *[shown(F.count_if(r <= k) / n).alias(f"r_at_{k}") for k in ks],
-        shown(F.coalesce(F.sum(1.0 / r), F.lit(0.0)) / n).alias("mrr"),
+        *[shown(F.try_divide(F.count_if(r <= k), n)).alias(f"r_at_{k}") for k in ks],
+        shown(F.try_divide(F.coalesce(F.sum(1.0 / r), F.lit(0.0)), n)).alias("mrr"),
         shown(F.avg(r)).alias("mean_rank"),
     )
     places = {"__lo": F.floor((F.col("n") - 1) / 2), "__hi": F.floor(F.col("n") / 2)}
@@ -60,7 +60,7 @@ def chance_rate(index_labels: DataFrame, query_labels: DataFrame, label: str) ->
     both = sizes.join(asked, label, "full_outer")
     c, q = F.coalesce("c", F.lit(0)), F.coalesce("q", F.lit(0))
     total = F.greatest(F.sum(c), F.lit(1))
-    return both.agg((F.sum((c * q).cast("double")) / total / F.sum(q)).alias("chance"))
+    return both.agg((F.try_divide(F.sum((c * q).cast("double")) / total, F.sum(q))).alias("chance"))
 
 
 def confusion_counts(df: DataFrame, truth: str, predicted: str, ignore: int = -100, group: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +84,7 @@ def accuracy_macro_f1(df: DataFrame, truth: str, predicted: str, ignore: int = -
     f1 = F.when(F.col("t") + F.col("p") > 0, 2 * F.col("tp") / (F.col("t") + F.col("p"))).otherwise(0.0)
     return per.agg(
         F.sum("t").alias("n"), F.count(F.lit(1)).alias("n_labels"),
-        (F.sum("tp") / F.sum("t")).alias("accuracy"), F.avg(f1).alias("macro_f1"),
+        F.try_divide(F.sum("tp"), F.sum("t")).alias("accuracy"), F.avg(f1).alias("macro_f1"),
     )
 
 

@@ -105,7 +105,7 @@ def tvd(df: DataFrame, split: str, label: str, a: str = "train", b: str = "test"
     counts = df.where(F.col(split).isin(a, b) & F.col(label).isNotNull()).groupBy(label).agg(
         F.count_if(F.col(split) == a).alias("x"), F.count_if(F.col(split) == b).alias("y"))
     total = counts.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"))
-    gap = F.sum(F.abs(F.col("x") / F.col("nx") - F.col("y") / F.col("ny"))) / 2
+    gap = F.sum(F.abs(F.try_divide("x", "nx") - F.try_divide("y", "ny"))) / 2
     value = F.when((F.coalesce(F.max("nx"), F.lit(0)) == 0) | (F.coalesce(F.max("ny"), F.lit(0)) == 0), F.lit(float("nan"))).otherwise(gap)
     return counts.join(F.broadcast(total)).agg((value if digits is None else F.round(value, digits)).alias("tvd"))
 

@@ -100,22 +100,14 @@ pixels AS (
 
 
 def images(spark: SparkSession, sf: str) -> DataFrame:
-    """Images as one byte string (row-major RGB) with height and width."""
+    """Images as row-major RGB bytes with height and width."""
     v = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 0.5) * 256))))
     i = F.sequence(F.lit(0), F.lit(63))
     flat = F.flatten(F.transform(i, lambda k: F.array(F.col("v")[k], F.col("v")[(k + 21) % 64], F.col("v")[(k + 42) % 64])))
     return (
         table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), "label", v.alias("v"))
-        .select("image", "label", F.lit(8).alias("height"), F.lit(8).alias("width"), flat.alias("rgb"))
-    )
-
-
-def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """Long form: one row per pixel."""
-    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.slice("rgb", k * 3 + 1, F.lit(3))))
-    return images(spark, sf).select("image", at.alias("i", "p")).select(
-        "image", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("bigint").alias("x"),
-        F.col("p")[0].alias("r"), F.col("p")[1].alias("g"), F.col("p")[2].alias("b"),
+        .select("image", "label", F.lit(8).alias("height"), F.lit(8).alias("width"),
+                F.unhex(F.array_join(F.transform(flat, lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("rgb"))
     )
 
 
