@@ -412,11 +412,12 @@ def straddle_audit(spark, sf):
     return S.straddling(d, "content", "split")
 
 
-@query("duplicate_content_groups", "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id, list_sort(list(doc_id)) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_content_groups", "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_content_groups(spark, sf):
     from prismatch.operators.crops import duplicate_groups
 
-    return duplicate_groups(table(spark, sf, "documents"), "text", "doc_id")
+    groups = duplicate_groups(table(spark, sf, "documents"), "text", "doc_id")
+    return groups.withColumn("ids", F.array_join("ids", ","))
 
 
 # ---- labels ---------------------------------------------------------------

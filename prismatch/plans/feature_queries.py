@@ -124,12 +124,12 @@ def csv_escape(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.csv_safe("text").alias("safe"))
 
 
-@query("id_lists", r"""SELECT page_id, list_filter(list_transform(regexp_split_to_array(trim(url), '[;\s,/]+'), lambda x: upper(x)), lambda x: x <> '') AS parts,
+@query("id_lists", r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_split_to_array(trim(url), '[;\s,/]+'), lambda x: upper(x)), lambda x: x <> ''), '|') AS parts,
  regexp_matches(upper(substring(url, 8, 4)), '^[0-9][A-Z0-9]{3}$') AS looks_like_id FROM pages""")
 def id_lists(spark, sf):
     p = table(spark, sf, "pages")
     # addresses hold slashes where id lists hold semicolons
-    return p.select("page_id", X.split_ids(F.translate("url", "/", ";")).alias("parts"), X.is_entry_id(F.upper(F.substring("url", 8, 4))).alias("looks_like_id"))
+    return p.select("page_id", F.array_join(X.split_ids(F.translate("url", "/", ";")), "|").alias("parts"), X.is_entry_id(F.upper(F.substring("url", 8, 4))).alias("looks_like_id"))
 
 
 @query("content_fingerprint", "SELECT doc_id, sha256(text) AS sha256, substring(sha256(text), 1, 16) AS fingerprint FROM documents")
@@ -294,7 +294,7 @@ r AS (SELECT d.doc_id, CASE WHEN toxic = 1 THEN ['rna_only'] ELSE CAST([] AS VAR
   CASE WHEN n_chars % 3 = 0 THEN 'predicted' ELSE 'experimental' END AS ty, dup, n_chars % 2 = 1 AS many FROM d LEFT JOIN labels USING (doc_id)),
 f AS (SELECT doc_id, list_sort(list_distinct(list_filter(given || [CASE WHEN missing THEN 'coordinates_unavailable' END, CASE WHEN st <> 'verified' THEN 'source_mapping_' || st END,
   CASE WHEN ty <> 'experimental' THEN 'structure_' || ty END, CASE WHEN dup THEN 'duplicate_source_image' END, CASE WHEN many THEN 'panel_pdb_assignment_needed' END], lambda x: x IS NOT NULL))) AS review_flags FROM r)
-SELECT doc_id, review_flags, CASE WHEN list_contains(review_flags, 'rna_only') THEN 'excluded' ELSE 'pending' END AS review_status,
+SELECT doc_id, array_to_string(review_flags, ',') AS review_flags, CASE WHEN list_contains(review_flags, 'rna_only') THEN 'excluded' ELSE 'pending' END AS review_status,
  CASE WHEN list_contains(review_flags, 'rna_only') THEN 'rna_only' ELSE 'cartoon' END AS representation FROM f""")
 def crop_flags(spark, sf):
     d = table(spark, sf, "documents")
@@ -305,7 +305,7 @@ def crop_flags(spark, sf):
         F.when(F.col("lang") == "en", "verified").otherwise(F.col("lang")).alias("pdb_status"),
         F.when(F.col("n_chars") % 3 == 0, "predicted").otherwise("experimental").alias("structure_type"),
         F.coalesce("duplicate", F.lit(False)).alias("duplicate"), F.col("quality").isNull().alias("missing"))
-    return Crops.crop_records(rows).select("doc_id", "review_flags", "review_status", "representation")
+    return Crops.crop_records(rows).select("doc_id", F.array_join("review_flags", ",").alias("review_flags"), "review_status", "representation")
 
 
 @query("review_counts", "SELECT CASE WHEN toxic = 1 THEN 'excluded' WHEN quality = 1 THEN 'approved' ELSE 'pending' END AS review_status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")

@@ -190,9 +190,9 @@ def _coverage(spark, sf):
     return crops, R.source_coverage(index, crops, views.splits(spark, sf))
 
 
-@query("source_coverage", _CROP_RANKS + " SELECT * FROM coverage")
+@query("source_coverage", _CROP_RANKS + " SELECT * REPLACE (CAST(rank AS DOUBLE) AS rank) FROM coverage")
 def source_coverage(spark, sf):
-    return _coverage(spark, sf)[1]
+    return _coverage(spark, sf)[1].withColumn("rank", F.col("rank").cast("double"))
 
 
 _SUBSETS = """,

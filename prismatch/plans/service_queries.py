@@ -62,11 +62,14 @@ def token_bucket(spark, sf):
     return Adm.admit(_requests(spark, sf), client_limits=CLIENT, global_limits=wide).select("id", "wait")
 
 
-@query("admission")
+@query("admission", "WITH RECURSIVE " + _REQ + ", " + _bucket_sql("c", "req", "client || '/' || kind", (3, 3), (10, 12)) + """,
+passed AS (SELECT req.* FROM req JOIN c_w USING (id) WHERE c_w.wait = 0), """ + _bucket_sql("g", "passed", "kind", (6, 10), (30, 60)) + """
+SELECT c.id, CASE WHEN c.wait > 0 THEN c.wait ELSE g.wait END AS wait, CASE WHEN c.wait > 0 THEN 'client' WHEN g.wait > 0 THEN 'global' ELSE 'admitted' END AS outcome
+FROM c_w c LEFT JOIN g_w g ON g.id = c.id WHERE c.n > 0""")
 def admission(spark, sf):
-    """Per-client, then global buckets; the sequential twin is a test."""
+    """Per-client, then global buckets."""
     out = Adm.admit(_requests(spark, sf), client_limits=CLIENT, global_limits=SHARED)
-    return out.select("id", "wait", "reason")
+    return out.select("id", "wait", F.coalesce("reason", F.lit("admitted")).alias("outcome"))
 
 
 _PAGE = r"""WITH r AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'Other.example.com:8080' ELSE regexp_extract(url, '^[a-z]+://([^/]+)', 1) || ':443' END AS host,
@@ -159,12 +162,12 @@ def json_ids(spark, sf):
     return Text.parse_json_ids(table(spark, sf, "events").select(arr.alias("value")))
 
 
-@query("provenance_counts", """SELECT 'customer' AS artifact, CAST(NULL AS BIGINT) AS bytes, CAST(NULL AS VARCHAR) AS sha256, count(*) AS n_rows FROM customer
-UNION ALL SELECT 'orders', NULL, NULL, count(*) FROM orders UNION ALL SELECT 'lineitem', NULL, NULL, count(*) FROM lineitem""")
+@query("provenance_counts", """SELECT 'customer' AS artifact, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem""")
 def provenance_counts(spark, sf):
     names = ("customer", "orders", "lineitem")
     files = Text.checksums(spark, f"{sf}/region.parquet").where("false")
-    return Text.provenance(files, {n: table(spark, sf, n) for n in names})
+    return Text.provenance(files, {n: table(spark, sf, n) for n in names}).select("artifact", "n_rows")
 
 
 @query("file_checksums")
@@ -177,7 +180,7 @@ def file_checksums(spark, sf):
 @query("flat_predictions", scores_sql(V0_QUERIES, V0_GALLERY, 5) + """,
 top AS (SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry) AS rank, entry, score FROM scores) WHERE rank <= 20),
 img AS (SELECT query_id, entry, max(round(s, 6)) AS best FROM sims GROUP BY 1, 2)
-SELECT t.query_id AS crop_id, q.truth || ';X' AS source_ids, 'source_mapped' AS mapping_status, CAST(NULL AS BIGINT) AS best_source_rank, t.rank, t.entry AS pdb_id, t.score, img.best AS best_image_cosine
+SELECT t.query_id AS crop_id, q.truth || ';X' AS source_ids, 'source_mapped' AS mapping_status, coalesce((SELECT min(x.rank) FROM top x WHERE x.query_id = t.query_id AND x.entry = q.truth), 0) AS best_source_rank, t.rank, t.entry AS pdb_id, t.score, img.best AS best_image_cosine
 FROM top t JOIN q USING (query_id) JOIN img ON img.query_id = t.query_id AND img.entry = t.entry""")
 def flat_predictions(spark, sf):
     """Prediction records (nested) flattened to one row per hit."""
@@ -187,5 +190,7 @@ def flat_predictions(spark, sf):
     meta = m.select("render_id", F.concat("entry", F.lit("_au")).alias("object_id"), "view", F.lit("s").alias("shard"), F.lit("m").alias("member"))
     records = R.prediction_records(hits, meta, views.splits(spark, sf))
     about = q.select(F.col("render_id").alias("crop_id"), F.array(F.col("entry"), F.lit("X")).alias("pdb_ids"), F.lit("source_mapped").alias("mapping_status"),
-                     F.lit(None).cast("bigint").alias("best_source_rank"))
-    return Sink.flat_predictions(about.join(records, "crop_id"))
+                     F.col("entry").alias("truth"))
+    own = F.filter("top", lambda h: h["pdb_id"] == F.col("truth"))
+    joined = about.join(records, "crop_id").withColumn("best_source_rank", F.coalesce(F.get(own, F.lit(0))["rank"], F.lit(0)))
+    return Sink.flat_predictions(joined)
