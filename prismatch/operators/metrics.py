@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismatch.operators.ordering import int_quantiles
 
 KS = (1, 5, 10, 20)
+EXACT_DISTINCT = 100_000  # distinct ranks that one percentile buffer may hold
 
 
 def rank_metrics(
@@ -20,12 +21,15 @@ def rank_metrics(
     median: str = "interpolated",
     group: Sequence[str] = (),
     digits: int | None = None,
+    max_rank: int | None = None,
 ) -> DataFrame:
     """Recall@k, MRR, median and mean rank over rows; a null rank is a miss.
 
     Recall and MRR divide by all rows, median and mean use the ranked rows only.
     ``median="lower"`` takes the lower middle value, ``"interpolated"`` the
-    mean of the two middle values.
+    mean of the two middle values. When ``max_rank`` bounds the ranks to few
+    distinct values, one aggregate does it all; otherwise the median comes from
+    a distributed histogram and ``ranks`` is read twice.
     """
     if median not in ("interpolated", "lower"):
         raise ValueError(f"unknown median {median!r}")
@@ -36,6 +40,9 @@ def rank_metrics(
     def shown(c: Column) -> Column:
         return c if digits is None else F.round(c, digits)
 
+    small = max_rank is not None and max_rank <= EXACT_DISTINCT
+    kind = "percentile" if median == "interpolated" else "percentile_disc"
+    mid_value = F.expr(f"{kind}(0.5) within group (order by {rank})" if kind == "percentile_disc" else f"percentile({rank}, 0.5)")
     out = ranks.groupBy(*group).agg(
         n.alias("n"),
         F.count(r).alias("n_ranked"),
@@ -43,7 +50,10 @@ def rank_metrics(
         *[shown(F.try_divide(F.count_if(r <= k), n)).alias(f"r_at_{k}") for k in ks],
         shown(F.try_divide(F.coalesce(F.sum(1.0 / r), F.lit(0.0)), n)).alias("mrr"),
         shown(F.avg(r)).alias("mean_rank"),
+        *([mid_value.cast("double").alias("median_rank")] if small else []),
     )
+    if small:
+        return out
     places = {"__lo": F.floor((F.col("n") - 1) / 2), "__hi": F.floor(F.col("n") / 2)}
     mid = int_quantiles(ranks, rank, places, group)
     value = F.col("__lo").cast("double") if median == "lower" else (F.col("__lo") + F.col("__hi")) / 2.0

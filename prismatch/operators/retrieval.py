@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismatch.operators import similarity as sim
-from prismatch.operators.metrics import KS, chance_rate, rank_metrics
+from prismatch.operators.metrics import EXACT_DISTINCT, KS, chance_rate, rank_metrics
 from prismatch.operators.ordering import with_position
 from prismatch.session import stage
 
@@ -62,9 +62,10 @@ def evaluate(
 ) -> DataFrame:
     """One row of retrieval metrics; queries without a gallery entry are counted and dropped."""
     index = index or sim.build_index(gallery)
-    # one small row per query; staged because recall and median both read it
-    ranks = stage(sim.entry_ranks(index, queries, rule=rule, ties=ties, query_id=query_id, digits=digits), "ranks")
-    out = rank_metrics(ranks, ks=ks, median=median, digits=digits)
+    ranks = sim.entry_ranks(index, queries, rule=rule, ties=ties, query_id=query_id, digits=digits)
+    if index.n_entries > EXACT_DISTINCT:
+        ranks = stage(ranks, "ranks")  # one row per query, read twice below
+    out = rank_metrics(ranks, ks=ks, median=median, digits=digits, max_rank=index.n_entries)
     asked = queries.agg(F.count(F.lit(1)).alias("n_asked"))
     return out.join(F.broadcast(asked)).select(
         F.lit(rule).alias("rule"),

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,18 @@ class GalleryIndex:
     has_split: bool
 
 
+def open_index(spark: SparkSession, path: str) -> GalleryIndex:
+    """Open an index that :func:`build_index` wrote to ``path``."""
+    blocks = spark.read.parquet(path)
+    etype, itype = (blocks.schema[c].dataType.elementType for c in ("entries", "images"))
+    n = F.size("images")
+    row = blocks.agg(
+        F.sum(n).alias("rows"), F.max("n_entries").alias("entries"), F.max("n_blocks").alias("blocks"),
+        F.max((F.length("matrix") / (4 * n)).cast("int")).alias("dim"), F.max(F.exists("whole", lambda x: ~x)).alias("split"),
+    ).first()
+    return GalleryIndex(blocks, etype, itype, int(row["dim"]), int(row["rows"]), int(row["entries"]), int(row["blocks"]), bool(row["split"]))
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     return pa.string() if isinstance(t, T.StringType) else pa.int64()
 
@@ -93,8 +105,13 @@ def build_index(
     vector: str = "emb",
     block_rows: int = 32768,
     hot_rows: int | None = None,
+    path: str | None = None,
 ) -> GalleryIndex:
-    """Shuffle the gallery once into blocks of whole entries and stage it."""
+    """Shuffle the gallery once into blocks of whole entries and write it.
+
+    Without ``path`` the index is staged for this session; with it, later
+    sessions can use :func:`open_index`.
+    """
     spark = gallery.sparkSession
     hot_rows = hot_rows or max(block_rows // 4, 1)
     src = gallery.select(F.col(entry).alias("entry"), F.col(image).alias("image"), F.col(vector).alias("vector"))
@@ -138,7 +155,13 @@ def build_index(
         T.StructField("images", T.ArrayType(itype)), T.StructField("whole", T.ArrayType(T.BooleanType())),
         T.StructField("matrix", T.BinaryType()),
     ])
-    blocks = stage(src.groupBy("block").applyInArrow(pack, schema), "index")
+    packed = src.groupBy("block").applyInArrow(pack, schema)
+    packed = packed.withColumn("n_entries", F.lit(int(stats["entries"]))).withColumn("n_blocks", F.lit(n_blocks))
+    if path:
+        packed.write.mode("errorifexists").parquet(path)
+        blocks = spark.read.schema(packed.schema).parquet(path)
+    else:
+        blocks = stage(packed, "index")
     return GalleryIndex(blocks, etype, itype, dim, n_rows, int(stats["entries"]), n_blocks, stats["hot"] > 0)
 
 
@@ -244,7 +267,7 @@ def _run(
                     if out is not None and out.num_rows:
                         yield from out.to_batches()
 
-        return index.blocks.mapInArrow(scan, schema)
+        return index.blocks.select("entries", "images", "whole", "matrix").mapInArrow(scan, schema)
 
     return _run_grid(index, stage(queries, "queries"), kernel, schema, normalise, rows_of)
 
@@ -273,7 +296,7 @@ def _run_grid(index, queries, kernel, schema, normalise, rows_of) -> DataFrame:
 
     keyed = queries.withColumn("qblock", F.pmod(F.xxhash64(*extra), F.lit(n_qblocks)))
     packed = stage(keyed.groupBy("qblock").applyInArrow(pack, qtype), "query-blocks")
-    left = index.blocks.withColumn("qblock", F.explode(_span(n_qblocks)))
+    left = index.blocks.select("block", "entries", "images", "whole", "matrix").withColumn("qblock", F.explode(_span(n_qblocks)))
     right = packed.withColumn("block", F.explode(_span(index.n_blocks)))
     grid = left.join(right, ["qblock", "block"])
 

@@ -118,10 +118,10 @@ def rule_selection(spark, sf):
     m = views.manifest(spark, sf)
     q, g = R.full_minus_cohort(m, R.VIEW0_QUERY, F.col("split") == "val")
     index = sim.build_index(g)
-    rows = None
+    rows, n_entries = None, m.select("entry").distinct().count()
     for rule in sim.RULES:
         ranks = R.ranks_with_empty_entries(index, q, m, rule=rule)
-        one = M.rank_metrics(ranks, ks=(1,), digits=6).select(F.lit(rule).alias("rule"), F.col("n").alias("n_queries"), "r_at_1", "mrr")
+        one = M.rank_metrics(ranks, ks=(1,), digits=6, max_rank=n_entries).select(F.lit(rule).alias("rule"), F.col("n").alias("n_queries"), "r_at_1", "mrr")
         rows = one if rows is None else rows.unionByName(one)
     return M.select_rule(rows, list(sim.RULES))
 
@@ -187,7 +187,7 @@ coverage AS (SELECT DISTINCT l.query_id AS crop_id, l.pdb_id, r.rank IS NOT NULL
 def _coverage(spark, sf):
     crops = views.crops(spark, sf)
     index = sim.build_index(views.manifest(spark, sf))
-    return crops, R.source_coverage(index, crops, views.splits(spark, sf))
+    return crops, R.source_coverage(index, crops, views.splits(spark, sf)), index
 
 
 @query("source_coverage", _CROP_RANKS + " SELECT * REPLACE (CAST(rank AS DOUBLE) AS rank) FROM coverage")
@@ -212,9 +212,9 @@ members AS (
     f"count(*) FILTER (rank <= {k}) AS hit_at_{k}, round(count(*) FILTER (rank <= {k}) / count(*), 6) AS r_at_{k}" for k in (1, 5, 10, 20, 50))
     + ", round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6) AS mrr, CAST(median(rank) AS DOUBLE) AS median_rank FROM members GROUP BY 1")
 def subset_metrics(spark, sf):
-    crops, cov = _coverage(spark, sf)
+    crops, cov, index = _coverage(spark, sf)
     rows = M.subset_memberships(R.best_source_rank(crops.drop("emb"), cov))
-    out = M.rank_metrics(rows, rank="best_source_rank", ks=(1, 5, 10, 20, 50), group=["subset"], digits=6)
+    out = M.rank_metrics(rows, rank="best_source_rank", ks=(1, 5, 10, 20, 50), group=["subset"], digits=6, max_rank=index.n_entries)
     return out.drop("mean_rank", "n_ranked")
 
 
@@ -223,7 +223,7 @@ def subset_metrics(spark, sf):
  count(*) FILTER (mapping_status = 'panel_candidates') AS n_accession_unresolved,
  count(*) FILTER (list_contains(review_flags, 'rna_only')) AS n_rna_only_diagnostic FROM flags""")
 def population_counts(spark, sf):
-    crops, cov = _coverage(spark, sf)
+    crops, cov, _ = _coverage(spark, sf)
     return M.population_counts(R.best_source_rank(crops.drop("emb"), cov))
 
 

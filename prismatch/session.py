@@ -29,6 +29,7 @@ def build_session(app: str = "prismatch", master: str | None = None, cores: int
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per column
     )
     if master:
         builder = builder.master(master)
