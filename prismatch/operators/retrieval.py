@@ -103,6 +103,7 @@ def source_coverage(
     listed = crops.select(
         F.col(crop_id).alias("query_id"), F.col(vector).alias("emb"), F.explode(sources).alias("source")
     ).select("query_id", "emb", F.upper("source").alias("entry"))
+    listed = stage(listed, "listed-sources")
     found = sim.entry_ranks(index, listed, rule=rule, digits=digits)
     split = splits.select(F.upper("pdb_id").alias("entry"), "split")
     return (
@@ -166,7 +167,7 @@ def level_report(
     first = joined.groupBy("query_id").agg(
         *[F.min(F.when(F.col("q_" + c) == F.col("i_" + c), F.col("rank"))).alias("f_" + c) for c in levels]
     )
-    per_query = q.join(first, "query_id", "left")
+    per_query = stage(q.join(first, "query_id", "left"), "first-hits")  # read once per level
     kmax = max(ks)
     parts = []
     for c in levels:

@@ -530,16 +530,19 @@ def top_hits(
 
     tiles = _run(index, q, kernel, schema, normalise, broadcast_bytes)
     key = ["query_id", "entry"]
-    best_first = [F.col("value").desc(), F.col("image").asc()]
-    views = Window.partitionBy(*key).orderBy(*best_first)
-    pooled = (
-        tiles.withColumn("__n", F.row_number().over(views)).where(F.col("__n") <= width)
-        .groupBy(*key)
-        .agg(F.avg("value").alias("score"), F.max("cosine").alias("best_cosine"),
-             F.min_by("image", F.struct(-F.col("cosine"), F.col("image"))).alias("best_image"))
-    )
-    if digits is not None:
-        pooled = pooled.withColumn("score", F.round("score", digits))
+    if index.has_split:
+        # the pieces of an entry may come from several blocks
+        views = Window.partitionBy(*key).orderBy(F.col("value").desc(), F.col("image").asc())
+        pooled = (
+            tiles.withColumn("__n", F.row_number().over(views)).where(F.col("__n") <= width)
+            .groupBy(*key)
+            .agg(F.avg("value").alias("score"), F.max("cosine").alias("best_cosine"),
+                 F.min_by("image", F.struct(-F.col("cosine"), F.col("image"))).alias("best_image"))
+        )
+        if digits is not None:
+            pooled = pooled.withColumn("score", F.round("score", digits))
+    else:
+        pooled = tiles.select(*key, F.col("value").alias("score"), F.col("cosine").alias("best_cosine"), F.col("image").alias("best_image"))
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("entry").asc())
     return (
         pooled.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

@@ -88,7 +88,7 @@ def tfidf(spark, sf):
     """Fitted on the training sources, applied to every document."""
     from prismatch.session import stage
 
-    s = _summary(spark, sf).select("domain_id", "source", "element_string")
+    s = stage(_summary(spark, sf).select("domain_id", "source", "element_string"), "elements")
     train = s.where(F.substring("source", 4, 10).cast("int") < 14)
     vocabulary = stage(Feat.fit_tfidf(train, "domain_id", "element_string"), "vocabulary")
     return Feat.transform_tfidf(s, vocabulary, "domain_id", "element_string").withColumn("weight", _r("weight"))

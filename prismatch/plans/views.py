@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prismatch.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
@@ -68,7 +70,8 @@ def ss(spark: SparkSession, sf: str) -> DataFrame:
     other = F.regexp_replace("text", "[^A-Za-z]", "-")
     helix = F.regexp_replace(other, "[aeiouAEIOU]", "H")
     strand = F.regexp_replace(helix, "[b-df-gj-np-tv-zB-DF-GJ-NP-TV-Z]", "E")
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("domain_id"), "source", "lang", strand.alias("ss_string"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
+    return d.select(F.col("doc_id").alias("domain_id"), "source", "lang", strand.alias("ss_string"))
 
 
 # domain hierarchy from parts; the 999 sentinel marks an unknown resolution
@@ -105,7 +108,7 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
     i = F.sequence(F.lit(0), F.lit(63))
     flat = F.flatten(F.transform(i, lambda k: F.array(F.col("v")[k], F.col("v")[(k + 21) % 64], F.col("v")[(k + 42) % 64])))
     return (
-        table(spark, sf, "embeddings").select(F.col("vec_id").alias("image"), "label", v.alias("v"))
+        spread(table(spark, sf, "embeddings")).select(F.col("vec_id").alias("image"), "label", v.alias("v"))
         .select("image", "label", F.lit(8).alias("height"), F.lit(8).alias("width"),
                 F.unhex(F.array_join(F.transform(flat, lambda x: F.lpad(F.hex(x), 2, "0")), "")).alias("rgb"))
     )
