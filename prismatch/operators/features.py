@@ -33,8 +33,9 @@ def length_block() -> Column:
 
 def term_counts(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 5) -> DataFrame:
     """``key, term, tf`` of all character n-grams; counted within a row's task before the shuffle."""
-    grams = df.select(key, F.explode(char_ngrams(F.coalesce(F.col(text), F.lit("")), lo, hi)).alias("term"))
-    return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # the outer form keeps the optimiser from building the array a second time for a size filter
+    grams = df.select(key, F.explode_outer(char_ngrams(F.coalesce(F.col(text), F.lit("")), lo, hi)).alias("term"))
+    return grams.where("term is not null").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def fit_tfidf(train: DataFrame, key: str, text: str, *, lo: int = 1, hi: int = 5, min_df: int = 2, max_features: int = 2000) -> DataFrame:

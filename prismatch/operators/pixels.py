@@ -24,7 +24,11 @@ def _image(rgb: bytes, height: int, width: int) -> np.ndarray:
 
 
 def per_image(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[..., Column]:
-    """Column function ``(rgb, height, width) -> array<double>``; unreadable images give null."""
+    """Column function ``(rgb, height, width) -> array<double>``; unreadable images give null.
+
+    Marked non-deterministic so that the optimiser neither copies it into inferred
+    filters nor moves it below a repartition.
+    """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(rgb: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
@@ -36,7 +40,7 @@ def per_image(fn: Callable[[np.ndarray], np.ndarray]) -> Callable[..., Column]:
 
         return pd.Series([one(*row) for row in zip(rgb, height, width)])
 
-    return run
+    return run.asNondeterministic()
 
 
 def colour_histogram(a: np.ndarray) -> np.ndarray:

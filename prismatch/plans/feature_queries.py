@@ -27,8 +27,8 @@ def _r(c, n=6):
 @query("rle_segments", SS + """, r AS (SELECT unnest(regexp_extract_all(ss_string, '(H+|E+|-+)')) AS run FROM ss)
 SELECT run[1] AS symbol, len(run) AS length, count(*) AS n FROM r GROUP BY 1, 2""")
 def rle_segments(spark, sf):
-    s = views.ss(spark, sf).select(F.explode(X.segments("ss_string")).alias("s"))
-    return s.groupBy(F.col("s.symbol").alias("symbol"), F.col("s.length").cast("bigint").alias("length")).agg(F.count("*").alias("n"))
+    s = views.ss(spark, sf).select(F.explode_outer(X.runs("ss_string")).alias("run")).where("run is not null")
+    return s.groupBy(F.substring("run", 1, 1).alias("symbol"), F.length("run").cast("bigint").alias("length")).agg(F.count("*").alias("n"))
 
 
 _ELEMENTS = SS + """, el AS (SELECT *, regexp_extract_all(ss_string, '(H{4,}|E{2,})') AS runs, len(ss_string) AS n FROM ss),
@@ -41,8 +41,7 @@ summary AS (SELECT domain_id, n_res, element_string, frac_H, frac_E, frac_C, len
 
 
 def _summary(spark, sf):
-    s = views.ss(spark, sf)
-    return s.select("domain_id", "source", *[c.alias(n) for n, c in X.ss_summary("ss_string").items()])
+    return X.with_ss_summary(views.ss(spark, sf).select("domain_id", "source", "ss_string"), "ss_string").drop("ss_string")
 
 
 @query("ss_summary", _ELEMENTS + """ SELECT domain_id, n_res, element_string, round(frac_H, 6) AS frac_H, round(frac_E, 6) AS frac_E, round(frac_C, 6) AS frac_C,

@@ -53,7 +53,7 @@ edges AS (
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("entry"), F.explode(F.split("text", "\n")).alias("line"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("entry"), F.explode_outer(F.split("text", "\n")).alias("line"))
     return d.where(F.trim("line") != "").select("entry", F.md5("line").alias("cluster")).distinct()
 
 

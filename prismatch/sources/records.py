@@ -22,7 +22,7 @@ def running_max_accepted(df: DataFrame, keys: Sequence[str], value: str, order:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no, line`` of text files; a file is one record, split in the JVM."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    return files.select("path", F.posexplode_outer(F.split("value", "\n")).alias("line_no", "line"))
 
 
 def parse_atoms(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -49,7 +49,7 @@ def parse_id_list(lines: DataFrame, value: str = "value") -> DataFrame:
 def parse_clusters(lines: DataFrame, line_no: str = "line_no", line: str = "line") -> DataFrame:
     """(cluster, entry) edges; a blank line yields nothing but keeps its number."""
     tokens = F.filter(F.split(F.trim(F.col(line)), r"\s+"), lambda t: t != "")
-    return lines.select(F.col(line_no).alias("cluster"), F.explode(tokens).alias("token")).select(
+    return lines.select(F.col(line_no).alias("cluster"), F.explode_outer(tokens).alias("token")).where("token is not null").select(
         "cluster", entry_of("token").alias("entry")).distinct()
 
 
