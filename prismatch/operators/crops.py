@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismatch.functions.text import split_ids
+from prismatch.operators.graph import skew_safe_lookup
+from prismatch.session import stage
 
 # Allowed states.
 REVIEW_STATES = ("pending", "approved", "excluded")
@@ -15,21 +17,20 @@ REPRESENTATIONS = ("surface", "density", "backbone", "overlay", "rna_only", "loc
 
 
 def duplicate_groups(df: DataFrame, content: str, key: str) -> DataFrame:
-    """Groups of rows with equal content: ``sha256, n, first_id, ids``.
-
-    Only keys travel; the content is hashed before the shuffle.
-    """
+    """Groups of rows with equal content: ``sha256, n, first_id`` (members: :func:`duplicate_links`)."""
     hashed = df.select(F.sha2(F.col(content), 256).alias("sha256"), key)
-    return hashed.groupBy("sha256").agg(
-        F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id"), F.array_sort(F.collect_list(key)).alias("ids")
-    ).where("n > 1")
+    return hashed.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id")).where("n > 1")
 
 
 def duplicate_links(df: DataFrame, content: str, key: str) -> DataFrame:
-    """``key, first_id, n`` for every row whose content occurs more than once (no list per group)."""
-    hashed = df.select(F.sha2(F.col(content), 256).alias("sha256"), key)
+    """``key, first_id, n`` for every row whose content occurs more than once.
+
+    The content is hashed before anything is shuffled, and a group is never
+    gathered: its size does not matter.
+    """
+    hashed = stage(df.select(F.sha2(F.col(content), 256).alias("sha256"), key), "hashes")
     groups = hashed.groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id")).where("n > 1")
-    return hashed.join(groups, "sha256").select(key, "first_id", "n")
+    return skew_safe_lookup(hashed, groups, "sha256").select(key, "first_id", "n")
 
 
 def review_flags(given: Column, *, missing_coordinates: Column, pdb_status: Column, structure_type: Column, duplicate: Column,

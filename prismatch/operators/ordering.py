@@ -64,6 +64,23 @@ def with_running_total(
     return out.select(*df.columns, result.alias(name))
 
 
+def with_earlier_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str = "earlier_max") -> DataFrame:
+    """Add the largest ``value`` of the earlier rows of the same key (null on a key's first row).
+
+    A key may span partitions: only keys that open a partition can have earlier
+    rows elsewhere, so one maximum per partition is carried over for them.
+    """
+    keys = list(keys)
+    staged = sorted_stage(df, [*[F.col(k) for k in keys], *order])
+    opening = F.broadcast(staged.where(F.col(_ROW) == 0).select(*keys).distinct())  # at most one key per partition
+    per = staged.join(opening, keys, "left_semi").groupBy(_PART, *keys).agg(F.max(value).alias("__m"))
+    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(_PART, *keys, F.max("__m").over(before).alias("__carry"))
+    inside = Window.partitionBy(_PART, *keys).orderBy(_ROW).rowsBetween(Window.unboundedPreceding, -1)
+    out = staged.withColumn("__in", F.max(value).over(inside)).join(F.broadcast(carried), [_PART, *keys], "left")
+    return out.select(*df.columns, F.greatest("__in", "__carry").alias(name))
+
+
 def with_previous(df: DataFrame, order: Sequence[Column], columns: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """Add the given columns of the preceding row in the global order (null on the first)."""
     staged = sorted_stage(df, order)

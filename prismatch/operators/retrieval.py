@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismatch.operators import similarity as sim
+from prismatch.operators.graph import skew_safe_lookup
 from prismatch.operators.metrics import EXACT_DISTINCT, KS, chance_rate, rank_metrics
 from prismatch.operators.ordering import with_position
 from prismatch.session import stage
@@ -106,10 +107,9 @@ def source_coverage(
     listed = stage(listed, "listed-sources")
     found = sim.entry_ranks(index, listed, rule=rule, digits=digits)
     split = splits.select(F.upper("pdb_id").alias("entry"), "split")
+    pairs = listed.drop("emb").distinct().join(found, ["query_id", "entry"], "left")
     return (
-        listed.drop("emb").distinct()
-        .join(found, ["query_id", "entry"], "left")
-        .join(split, "entry", "left")
+        skew_safe_lookup(pairs, split, "entry", "left", n_left=listed.count())
         .select(
             F.col("query_id").alias(crop_id), F.col("entry").alias("pdb_id"), F.col("rank").isNotNull().alias("present"),
             "rank", "score", F.coalesce("split", F.lit("absent")).alias("corpus_split"),
@@ -163,7 +163,9 @@ def level_report(
     """
     q = queries.select(F.col(id_column).alias("query_id"), *[F.col(c).alias("q_" + c) for c in levels])
     i = index_rows.select(F.col(id_column).alias("entry"), *[F.col(c).alias("i_" + c) for c in levels])
-    joined = hits.select("query_id", "rank", "entry").join(q, "query_id").join(i, "entry")
+    hits = stage(hits.select("query_id", "rank", "entry"), "hits")
+    # an image that is everybody's neighbour is a hot key here
+    joined = skew_safe_lookup(hits, i, "entry").join(q, "query_id")
     first = joined.groupBy("query_id").agg(
         *[F.min(F.when(F.col("q_" + c) == F.col("i_" + c), F.col("rank"))).alias("f_" + c) for c in levels]
     )

@@ -25,7 +25,7 @@ def component_split(edges: DataFrame, entries: DataFrame | None = None, *, entry
     packed = pack(sizes, group="root", size="size", fractions=fractions, relative=True, seed=seed).select("root", "split")
     out = stage(skew_safe_lookup(comps, packed, "root").drop("root"), "component-split")
     if check:
-        assert_no_leak(edges.join(out, entry), cluster, "split")
+        assert_no_leak(skew_safe_lookup(edges, out.select(entry, "split"), entry), cluster, "split")
     return out
 
 
@@ -42,7 +42,7 @@ def member_split(df: DataFrame, family: str, cluster: str, *, min_clusters: int
     """``family, cluster, split``: clusters of a family are packed; families with few clusters stay in train."""
     sizes = stage(df.groupBy(family, cluster).agg(F.count(F.lit(1)).alias("size")), "members")
     width = sizes.groupBy(family).agg(F.count(F.lit(1)).alias("__c"))
-    marked = sizes.join(width, family)
+    marked = skew_safe_lookup(sizes, width, family)
     big = marked.where(F.col("__c") >= min_clusters)
     key = F.concat_ws("|", F.col(family).cast("string"), F.col(cluster).cast("string"))
     packed = pack(big.withColumn("__key", key), group="__key", size="size", stratum=family, fractions=fractions, seed=seed)

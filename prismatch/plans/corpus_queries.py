@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prismatch.functions import text as X
 from prismatch.functions import vectors as V
 from prismatch.operators import corpus as C
+from prismatch.operators import crops as Crops
 from prismatch.operators import graph as G
 from prismatch.operators import labels as L
 from prismatch.operators import metrics as M
@@ -412,12 +413,14 @@ def straddle_audit(spark, sf):
     return S.straddling(d, "content", "split")
 
 
-@query("duplicate_content_groups", "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("duplicate_content_groups", "SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_content_groups(spark, sf):
-    from prismatch.operators.crops import duplicate_groups
+    return Crops.duplicate_groups(table(spark, sf, "documents"), "text", "doc_id")
 
-    groups = duplicate_groups(table(spark, sf, "documents"), "text", "doc_id")
-    return groups.withColumn("ids", F.array_join("ids", ","))
+
+@query("duplicate_members", """SELECT doc_id, first_id, n FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) WHERE n > 1""")
+def duplicate_members(spark, sf):
+    return Crops.duplicate_links(table(spark, sf, "documents"), "text", "doc_id")
 
 
 # ---- labels ---------------------------------------------------------------

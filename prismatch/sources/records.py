@@ -8,19 +8,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prismatch.functions.text import residue_code
+from prismatch.operators.graph import skew_safe_lookup
+from prismatch.operators.ordering import with_earlier_max, with_position
+from prismatch.session import stage
 
 BACKBONE = ("N", "CA", "C", "O")  # fixed value: atom order of a backbone
 
 
 def running_max_accepted(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[Column], out: str = "accepted") -> DataFrame:
     """Mark rows that exceed every earlier row of their key (the first row always does)."""
-    earlier = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.max(value).over(earlier)
-    return df.withColumn("__best", best).withColumn(out, F.col("__best").isNull() | (F.col(value) > F.col("__best"))).drop("__best")
+    seen = with_earlier_max(df, keys, order, value, "__best")
+    return seen.withColumn(out, F.col("__best").isNull() | (F.col(value) > F.col("__best"))).drop("__best")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line_no, line`` of text files of any size; files are split and read in parallel."""
+    place = F.monotonically_increasing_id().alias("at")
+    lines = stage(spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), place, F.col("value").alias("line")), "lines")
+    placed = stage(with_position(lines, [F.col("path"), F.col("start"), F.col("at")], "p"), "numbered")
+    first = placed.groupBy("path").agg(F.min("p").alias("first"))
+    return skew_safe_lookup(placed, first, "path").select("path", (F.col("p") - F.col("first")).alias("line_no"), "line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, line`` of text files; a file is one record, split in the JVM."""
+    """``path, line_no, line`` of many small files; a file is one record, split in the JVM."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.select("path", F.posexplode_outer(F.split("value", "\n")).alias("line_no", "line"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from prismatch.contracts import ContractError
 from prismatch.functions.text import entry_of
-from prismatch.sources.records import read_lines
+from prismatch.sources.records import numbered_lines
 
 # Columns of the domain list.
 DOMAIN_COLUMNS = "domain_id C A T H S35 S60 S95 S100 S100_count length resolution".split()
@@ -54,8 +54,8 @@ def parse_clusters(lines: DataFrame, line_no: str = "line_no", line: str = "line
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """Cluster file to edges. The line number is the cluster id, so each file is read as one record."""
-    return parse_clusters(read_lines(spark, path).select("line_no", "line"))
+    """Cluster file to edges; the line number is the cluster id."""
+    return parse_clusters(numbered_lines(spark, path).select("line_no", "line"))
 
 
 def cluster_counts(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -214,3 +214,12 @@ def test_frames_and_contracts(spark):
     contracts.assert_same_keys(lab, sp, ["domain_id"])
     with pytest.raises(contracts.ContractError):
         contracts.assert_disjoint(lab, sp, ["domain_id"])
+
+
+def test_earlier_max_across_partitions(spark):
+    """One key fills most partitions."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"id": range(300), "k": np.where(np.arange(300) < 250, 1, np.arange(300) % 9), "v": rng.integers(0, 1000, 300)})
+    got = O.with_earlier_max(spark.createDataFrame(pdf), ["k"], [F.col("id")], "v").toPandas().set_index("id").earlier_max
+    want = pdf.groupby("k").v.transform(lambda s: s.cummax().shift())
+    assert got.sort_index().fillna(-1).tolist() == want.fillna(-1).tolist()
