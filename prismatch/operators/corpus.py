@@ -30,11 +30,14 @@ def set_cover(edges: DataFrame, resolution: DataFrame, held: DataFrame | None =
     """
     if held is not None:
         edges = edges.join(held.select(entry).distinct(), entry, "left_semi")
-    ranked = skew_safe_lookup(edges.select(entry, cluster), resolution.select(entry, value), entry, "left")
-    first = ranked.groupBy(cluster).agg(
-        F.min(F.struct(F.coalesce(F.col(value), F.lit(NO_RESOLUTION)).alias("o"), F.col(entry).alias("e"), F.col(value).alias("v"))).alias("f")
-    )
-    return first.select(F.col("f.e").alias(entry), F.col("f.v").alias(value)).distinct()
+    known = resolution.select(entry, value)
+    holders = edges.select(entry).distinct()
+    # the order becomes one number per entry, so the grouped minimum over the (larger) edge table hashes instead of sorting
+    order = [F.coalesce(F.col(value), F.lit(NO_RESOLUTION)), F.col(entry)]
+    placed = stage(with_position(holders.join(known, entry, "left"), order, "__place"), "cover-order")
+    ranked = skew_safe_lookup(edges.select(entry, cluster), placed.select(entry, "__place"), entry)
+    first = ranked.groupBy(cluster).agg(F.min("__place").alias("__place")).select("__place").distinct()
+    return placed.join(first, "__place", "left_semi").select(entry, value)
 
 
 def subset_table(edges: DataFrame, kept: DataFrame, *, entry: str = "entry", cluster: str = "cluster", shards: int = FETCH_SHARDS) -> DataFrame:
