@@ -575,7 +575,6 @@ def contrastive_terms(
     def kernel(qs: _Queries, b: _Block) -> pa.Table:
         cols = [[], [], [], []]
         at = b.find(qs.entries)
-        counts = (b.ends - b.starts).astype(np.int64)
         for part in _chunks(len(qs.ids), len(b.images)):
             logit = _similarities(qs.vectors[part], qs.ids[part], b, True) / temperature
             mass = np.exp(logit - top).sum(axis=1)
@@ -588,7 +587,6 @@ def contrastive_terms(
             n = np.where(a >= 0, here[rows_, np.maximum(a, 0)], 0)
             for c, v in zip(cols, (qs.ids[part], mass, pos, n)):
                 c.append(v)
-        del counts
         return _table(schema, [np.concatenate(c) for c in cols])
 
     tiles = _run(index, q, kernel, schema, True, broadcast_bytes)

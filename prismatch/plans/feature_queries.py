@@ -15,6 +15,7 @@ from prismatch.operators import styles as Style
 from prismatch.plans import views
 from prismatch.plans.registry import query
 from prismatch.plans.views import table
+from prismatch.session import stage
 
 SS = "WITH " + views.SS_SQL
 
@@ -85,8 +86,6 @@ w AS (SELECT domain_id, index, term, tf * idf AS w FROM tf JOIN v USING (term))
 SELECT domain_id, index, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY domain_id)), 6) AS weight FROM w""")
 def tfidf(spark, sf):
     """Fitted on the training sources, applied to every document."""
-    from prismatch.session import stage
-
     s = stage(_summary(spark, sf).select("domain_id", "source", "element_string"), "elements")
     train = s.where(F.substring("source", 4, 10).cast("int") < 14)
     vocabulary = stage(Feat.fit_tfidf(train, "domain_id", "element_string"), "vocabulary")
@@ -271,10 +270,10 @@ def nuisance_features(spark, sf):
 @query("combined_nuisance")
 def combined_nuisance(spark, sf):
     """Silhouette standardised on the gallery views, followed by the weighted colour histogram."""
-    i = views.images(spark, sf)
-    rows = i.select("image", Pix.per_image(Pix.silhouette)("rgb", "height", "width").alias("sil"),
+    i = views.images(spark, sf).withColumn("view", F.col("image") % 16)
+    rows = i.select("image", "view", Pix.per_image(Pix.silhouette)("rgb", "height", "width").alias("sil"),
                     Pix.per_image(Pix.colour_histogram)("rgb", "height", "width").alias("col"))
-    fit = V.fit_standardiser(rows.where(F.col("image") % 16 != 0), "sil")
+    fit = V.fit_standardiser(rows.where("view between 1 and 15"), "sil")
     return V.standardise(rows, "sil", fit).select("image", Pix.combined_nuisance(F.col("sil"), F.col("col")).alias("features"))
 
 
