@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismatch.llm.decontaminate import contamination_digest
+from prismatch.llm.substring_dedup import substring_digest
 from prismatch.llm.url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +36,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_decontaminate")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(_table(spark, sf_dir, "documents"))
