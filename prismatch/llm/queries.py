@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismatch.llm.decontaminate import contamination_digest
+from prismatch.llm.ngram_join import ngram_components
 from prismatch.llm.substring_dedup import substring_digest
 from prismatch.llm.url_filter import url_verdicts
 
@@ -41,3 +42,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(_table(spark, sf_dir, "documents"))
+
+
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_table(spark, sf_dir, "documents"))
