@@ -139,9 +139,11 @@ def _runs(places: np.ndarray) -> np.ndarray:
 
 
 def _by_document(block: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[tuple[int, int, bytes]]:
+    if not len(doc):
+        return []
     order = np.lexsort((place, doc))
     block, doc, place = block[order], doc[order], place[order]
-    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else order
+    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     return [(int(block[s]), int(doc[s]), _runs(place[s:e]).tobytes()) for s, e in zip(head, np.r_[head[1:], len(doc)], strict=True)]
 
 
