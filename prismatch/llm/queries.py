@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismatch.llm.decontaminate import contamination_digest
 from prismatch.llm.ngram_join import ngram_components
+from prismatch.llm.pieces import PIECE_MODEL, token_digest
 from prismatch.llm.substring_dedup import substring_digest
 from prismatch.llm.url_filter import url_verdicts
 
@@ -47,3 +48,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_MODEL)
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digest(_table(spark, sf_dir, "documents"), piece_model())
