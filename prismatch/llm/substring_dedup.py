@@ -201,13 +201,13 @@ def _confirm(docs: pa.Table, phrases: pa.Table) -> pa.Table:
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, runs) to remove: the blocks' own runs, and of the places of one window all but the earliest."""
+    """(block, docs, runs) to remove, a row for each block: its own runs, and of the places of one window all but the earliest."""
     t = _gather(batches)
     if t is None:
         return
     place = t.filter(t["at"].is_valid())
     gone = t.filter(t["at"].is_null())
-    out = list(zip(gone["doc"].to_pylist(), gone["found"].to_pylist(), strict=True))
+    out = list(zip(gone["block"].to_pylist(), gone["doc"].to_pylist(), gone["found"].to_pylist(), strict=True))
     if place.num_rows:
         place = place.combine_chunks()
         found = place["found"].chunk(0)
@@ -218,8 +218,22 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, block = (place[c].to_numpy()[row] for c in ("key", "doc", "block"))
         start = at[row].astype(np.int64) - back[col]
         _, behind = _later(doc, start, key, window)
-        out += [(d, r) for _, d, r in _by_document(block[behind], doc[behind], start[behind])]
-    yield pa.record_batch([pa.array([d for d, _ in out], pa.int64()), pa.array([r for _, r in out], pa.binary())], ["doc", "runs"])
+        out += _by_document(block[behind], doc[behind], start[behind])
+    out.sort(key=lambda x: x[0])
+    block = np.array([b for b, _, _ in out], np.int64)
+    head = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(out) else block
+    at = pa.array(np.r_[head, len(out)], pa.int32())
+    docs, runs = pa.array([d for _, d, _ in out], pa.int64()), pa.array([r for *_, r in out], pa.binary())
+    yield pa.record_batch([pa.array(block[head]), pa.ListArray.from_arrays(at, docs), pa.ListArray.from_arrays(at, runs)], ["block", "docs", "runs"])
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, runs), a row for each document; a partition holds all rows of its blocks."""
+    runs: dict[int, list[bytes]] = {}
+    for b in batches:
+        for d, r in zip(b.column(0).flatten().to_pylist(), b.column(1).flatten().to_pylist(), strict=True):
+            runs.setdefault(d, []).append(r)
+    yield pa.record_batch([pa.array(list(runs), pa.int64()), pa.array(list(runs.values()), pa.list_(pa.binary()))], ["doc", "runs"])
 
 
 def repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,8 +242,8 @@ def repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     counted = rows.mapInArrow(_phrases, "phrase bigint, block bigint, n bigint")
     shards = counted.repartition("phrase").mapInArrow(_recurring, "block bigint, phrase bigint, hot boolean")
     places = rows.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_confirm, _PLACES)
-    runs = places.repartition("key").mapInArrow(_settle, "doc bigint, runs binary")
-    return runs.groupBy("doc").agg(F.collect_list("runs").alias("runs"))  # bounded by the document's length
+    runs = places.repartition("key").mapInArrow(_settle, "block bigint, docs array<bigint>, runs array<binary>")
+    return runs.repartition("block").select("docs", "runs").mapInArrow(_documents, "doc bigint, runs array<binary>")
 
 
 def _covered(text: pa.Array, runs: pa.Array) -> Iterator[tuple[W.Words, np.ndarray, int, int]]:
