@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismatch.llm.decontaminate import contamination_digest
+from prismatch.llm.language_mix import language_report
 from prismatch.llm.ngram_join import ngram_components
 from prismatch.llm.pieces import PIECE_MODEL, token_digest
+from prismatch.llm.preferences import PREFERENCE_SQL, preference_query
 from prismatch.llm.substring_dedup import substring_digest
 from prismatch.llm.url_filter import url_verdicts
 
@@ -59,3 +61,13 @@ def piece_model() -> str:
 @query("op6_sentencepiece")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(_table(spark, sf_dir, "documents"), piece_model())
+
+
+@query("op3_language_mix")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
+@query("op2_preferences", PREFERENCE_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_query(_table(spark, sf_dir, "conversations"))
