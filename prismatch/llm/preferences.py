@@ -101,9 +101,9 @@ WITH clean AS (
 opening AS (
   SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n FROM clean) WHERE n = 1),
 ranked AS (
-  SELECT conv_id, row_number() OVER (ORDER BY role, text, conv_id) - 1 AS at FROM opening),
+  SELECT conv_id, row_number() OVER (ORDER BY role, text, conv_id) - 1 AS pos FROM opening),
 numbered AS (
-  SELECT conv_id, at % 2 AS side, min(conv_id) OVER (PARTITION BY at // 2) AS pair_id, count(*) OVER (PARTITION BY at // 2) AS n FROM ranked),
+  SELECT conv_id, pos % 2 AS side, min(conv_id) OVER (PARTITION BY pos // 2) AS pair_id, count(*) OVER (PARTITION BY pos // 2) AS n FROM ranked),
 turns AS (
   SELECT c.*, p.pair_id, p.side FROM clean c JOIN numbered p USING (conv_id) WHERE p.n = 2),
 ends AS (
