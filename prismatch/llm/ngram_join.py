@@ -2,18 +2,21 @@
 
 A text's set holds the hashes of its distinct shingles in one global order: rare
 ones first (by a counting sketch of fixed size over all documents), equals by
-hash. Two sets with Jaccard similarity of at least ``PERCENT`` must share a
-shingle among the first few of both, and it must not lie too deep in either.
+hash. For a Jaccard similarity of at least ``PERCENT`` two sets of which the
+smaller needs ``q`` shared ones (``_shared``) must have ``q`` of their first
+shingles in common, where a set of ``n`` has ``n - ceil(PERCENT * n / 100) + q``
+first ones: otherwise too few are left behind them.
 
 1. First shingles are counted by block of documents; those of one document are
    dropped. Each block gets its recurring ones and keeps the documents that hold
-   one, equal sets once.
-2. Every kept document is compared with one *lead*: the smallest document that
-   shares a first shingle with it. Leads are stored in tries, documents traverse
-   them. The links found give provisional groups, however large, by one
-   comparison per document.
-3. Only where a first shingle is shared by different groups, the pairs across
-   groups that pass the length and position bounds are compared, in tries again.
+   enough of them, equal sets once.
+2. A kept document is compared with one *lead*: of the smallest documents that
+   share its first shingles the most frequent one. Leads are stored in tries,
+   documents traverse them. The links found give provisional groups, however
+   large, by one comparison per document.
+3. Only where a first shingle is shared by different groups, pairs across groups
+   are counted; those with enough shared ones that pass the length and position
+   bounds are compared, in tries again.
 
 A comparison is exact: 100 * intersection >= PERCENT * union of the sets, whose
 members are 64-bit hashes. No pairs are made inside a group, frequent shingles
@@ -41,8 +44,9 @@ from prismatch.session import stage
 SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 16
-CELL = 512  # comparisons with one lead in one task
-SEGMENT = 48  # shingles of a trie node
+CELL = 512  # comparisons with one lead in one group
+LEADS = 64  # comparisons with different leads in one group
+SEGMENT = 32  # shingles of a trie node
 
 
 def _shingles(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -84,13 +88,18 @@ def _sketch_of(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _shared(n: np.ndarray) -> np.ndarray:
+    """First shingles that two sets, the smaller with ``n``, must share."""
+    return 1 + n // 32
+
+
 def _ordered(w: W.Words, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles in global order by row, each row's begin, and each row's number of first ones."""
     row, gram = _shingles(w)
     order = np.lexsort((gram, sketch[_slot(gram)], row))
     begin = np.searchsorted(row, np.arange(len(w.first)))
     n = np.diff(begin)
-    return gram[order], begin, np.where(n > 0, n - (PERCENT * n + 99) // 100 + 1, 0)
+    return gram[order], begin, np.where(n > 0, n - (PERCENT * n + 99) // 100 + _shared(n), 0)
 
 
 def _first_shingles(sketch) -> object:
@@ -157,7 +166,7 @@ def _keep(sketch) -> object:
                 front = own[: first[r]]
                 place = np.searchsorted(known, front)
                 hit = known[np.minimum(place, len(known) - 1)] == front
-                if not hit.any():
+                if hit.sum() < _shared((PERCENT * len(own) + 99) // 100):  # no partner is smaller
                     continue
                 doc, raw = int(ids[lo + r]), own.tobytes()
                 kept = seen.setdefault(raw, doc)
@@ -165,7 +174,8 @@ def _keep(sketch) -> object:
                     same.append((doc, kept))
                 elif doc not in sets:
                     marks = np.flatnonzero(hit).astype("<i4")
-                    sets[doc] = (int(leads[place[hit]].min()), raw, marks.tobytes())
+                    lead, times = np.unique(leads[place[hit]], return_counts=True)
+                    sets[doc] = (int(lead[times.argmax()]), raw, marks.tobytes())
         rows = [(d, None, *x) for d, x in sets.items()] + [(d, k, None, None, None) for d, k in same]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _KEPT.types, strict=True)], schema=_KEPT) if rows else _KEPT.empty_table()
 
@@ -173,10 +183,10 @@ def _keep(sketch) -> object:
 
 
 class _Node:
-    __slots__ = ("children", "doc", "most", "part", "size")
+    __slots__ = ("children", "doc", "front", "most", "part", "size")
 
     def __init__(self, part: np.ndarray, most: int):
-        self.part, self.most, self.children, self.doc, self.size = part, most, {}, [], 0
+        self.part, self.most, self.children, self.doc, self.size, self.front = part, most, {}, [], 0, None
 
 
 class Trie:
@@ -187,7 +197,6 @@ class Trie:
 
     def add(self, doc: int, grams: np.ndarray) -> None:
         node, at = self.root, 0
-        node.most = max(node.most, len(grams))
         while at < len(grams):
             child = node.children.get(int(grams[at]))
             rest = grams[at : at + SEGMENT]
@@ -217,19 +226,23 @@ class Trie:
         todo = [(self.root, 0, 0, -1)]
         while todo:
             node, depth, overlap, last = todo.pop()
-            if len(node.part):
-                place = np.minimum(np.searchsorted(values, node.part), n - 1)
-                found = by_value[place[values[place] == node.part]]
-                depth += len(node.part)
-                overlap += len(found)
-                if len(found):
-                    last = max(last, int(found[-1]))  # both are in global order
             if node.doc and 100 * overlap >= PERCENT * (n + node.size - overlap):
                 out += node.doc
-            # at best all that is left of the shorter side matches
-            best = overlap + min(node.most - depth, n - 1 - last)
-            if 100 * best >= PERCENT * (n + max(node.most, best) - best) or best * 100 >= PERCENT * n:
-                todo += [(c, depth, overlap, last) for c in node.children.values()]
+            if not node.children:
+                continue
+            if node.front is None:  # the parts of all children, one behind another
+                below = list(node.children.values())
+                sizes = np.array([len(c.part) for c in below])
+                node.front = below, np.concatenate([c.part for c in below]), np.cumsum(sizes) - sizes, depth + sizes, np.array([c.most for c in below])
+            below, parts, begin, deep, most = node.front
+            place = np.minimum(np.searchsorted(values, parts), n - 1)
+            rank = np.where(values[place] == parts, by_value[place], -1)  # place in the global order of ``grams``
+            have = overlap + np.add.reduceat((rank >= 0).astype(np.int64), begin)
+            reach = np.maximum(last, np.maximum.reduceat(rank, begin))
+            # at best all that is left of the shorter side matches; the largest set below gives the bound
+            best = have + np.minimum(most - deep, n - 1 - reach)
+            for i in np.flatnonzero(100 * best >= PERCENT * np.maximum(n, best)):
+                todo.append((below[i], int(deep[i]), int(have[i]), int(reach[i])))
         return out
 
 
@@ -250,7 +263,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among candidate pairs (doc, lead), found by tries of leads; staged."""
     pairs = stage(pairs, "pairs")
     sizes = stage(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("c")), "leads")
-    cells = max(1, pairs.count() // CELL)
+    cells = max(1, pairs.count() // LEADS)
     parts = F.greatest(F.ceil(F.col("c") / CELL), F.lit(1)).cast("int")
     cell = F.pmod(F.xxhash64("lead"), F.lit(cells)).alias("cell")
     follow = skew_safe_lookup(pairs, sizes, "lead").select(cell, F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"), "doc", F.lit(False).alias("is_lead"))
@@ -279,19 +292,38 @@ def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "doc", "n", "at", "root"])
 
 
-def _across(key: tuple, rows: pa.Table) -> pa.Table:
-    """(doc, lead): pairs of one shingle across groups that pass the length and position bounds."""
-    doc, n, at, root, other, part = (rows[c].to_numpy() for c in ("doc", "n", "at", "root", "other", "part"))
-    left, right = [], []
-    for i in np.flatnonzero(other):
-        fits = (root != root[i]) & (PERCENT * np.maximum(n, n[i]) <= 100 * np.minimum(n, n[i]))
-        best = np.minimum(n - at, n[i] - at[i])
-        fits &= (100 + PERCENT) * best >= PERCENT * (n + n[i])
-        fits &= ~other | ((doc < doc[i]) & (part == 0))  # two others meet once
-        right.append(doc[fits])
-        left.append(np.full(len(right[-1]), doc[i]))
-    none = np.zeros(0, np.int64)
-    return pa.table([pa.array(np.concatenate([none, *right])), pa.array(np.concatenate([none, *left]))], ["doc", "lead"])
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, lead, best, need, least): a row for each shingle that a pair across groups shares; a partition holds all rows of its cells.
+
+    ``best`` is what the pair can still share from there on, ``need`` the shared
+    first shingles and ``least`` the intersection that a link needs.
+    """
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    order = np.lexsort((t["doc"].to_numpy(), t["part"].to_numpy(), t["shingle"].to_numpy()))
+    gram, part, doc, n, at, root, other = (t[c].to_numpy()[order] for c in ("shingle", "part", "doc", "n", "at", "root", "other"))
+    head = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
+    size = np.diff(np.r_[head, len(gram)])
+    head, size = np.repeat(head, size), np.repeat(size, size)
+
+    def rows(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        fits = (root[i] != root[j]) & (~other[j] | ((j < i) & (part[i] == 0)))  # two others meet once
+        fits &= PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
+        i, j = i[fits], j[fits]
+        best, need = np.minimum(n[i] - at[i], n[j] - at[j]), _shared(np.minimum(n[i], n[j]))
+        least = (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
+        return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(best), pa.array(need), pa.array(least)], ["doc", "lead", "best", "need", "least"])
+
+    here = np.flatnonzero(other)
+    total = np.cumsum(size[here])
+    while len(here):  # every other one with its whole cell, about a million pairs at a time
+        k = max(1, int(np.searchsorted(total, total[0] - size[here[0]] + (1 << 20))))
+        now, here, total = here[:k], here[k:], total[k:]
+        n_now = size[now]
+        i = np.repeat(now, n_now)
+        yield rows(i, head[i] + np.arange(len(i)) - np.repeat(np.cumsum(n_now) - n_now, n_now))
 
 
 def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,14 +340,16 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     groups = stage(_labels(leads), "groups")
     known = kept.where("same is null").join(groups, "doc", "left").select("doc", "grams", "marks", F.coalesce("root", "doc").alias("root"))
     fronts = stage(known.mapInArrow(_fronts, "shingle bigint, doc bigint, n bigint, at bigint, root bigint"), "fronts")
-    mixed = fronts.groupBy("shingle").agg(F.min("root").alias("main"), F.max("root").alias("last"), F.count(F.lit(1)).alias("c")).where("main <> last")
+    by_group = fronts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_group.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     parts = F.greatest(F.ceil(F.col("c") / (4 * CELL)), F.lit(1)).cast("int")
     joined = skew_safe_lookup(fronts, stage(mixed.select("shingle", "main", parts.alias("parts")), "mixed"), "shingle")
     other = F.col("root") != F.col("main")
     own_part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
     dealt = joined.select("shingle", "doc", "n", "at", "root", other.alias("other"), F.explode(own_part).alias("part"))
-    pairs = dealt.groupBy("shingle", "part").applyInArrow(_across, "doc bigint, lead bigint").distinct()
-    more = _compare(pairs, sets)
+    met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint, best bigint, need bigint, least bigint")
+    counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"), F.max("least").alias("least"))
+    more = _compare(counted.where("c >= need and best >= least").select("doc", "lead"), sets)
     same = kept.where("same is not null").select("doc", F.col("same").alias("lead"))
     return _labels(leads.unionByName(more).unionByName(same))
 
