@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prismatch.llm.decontaminate import contamination_digest
 from prismatch.llm.language_mix import language_report
+from prismatch.llm.license_scan import license_digest
 from prismatch.llm.ngram_join import ngram_components
 from prismatch.llm.pieces import PIECE_MODEL, token_digest
 from prismatch.llm.preferences import PREFERENCE_SQL, preference_query
@@ -71,3 +72,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_preferences", PREFERENCE_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_query(_table(spark, sf_dir, "conversations"))
+
+
+@query("op9_license_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(_table(spark, sf_dir, "documents"))
