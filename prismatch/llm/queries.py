@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prismatch.llm.code_index import neighbour_query
 from prismatch.llm.decontaminate import contamination_digest
 from prismatch.llm.language_mix import language_report
 from prismatch.llm.license_scan import license_digest
@@ -77,3 +78,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(_table(spark, sf_dir, "documents"))
+
+
+@query("op1_code_index")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_query(_table(spark, sf_dir, "embeddings"))
