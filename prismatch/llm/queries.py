@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prismatch.llm.code_index import neighbour_query
+from prismatch.llm.context_mixing import score_documents
 from prismatch.llm.decontaminate import contamination_digest
 from prismatch.llm.language_mix import language_report
 from prismatch.llm.license_scan import license_digest
@@ -83,3 +84,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_code_index")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_query(_table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_context_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
