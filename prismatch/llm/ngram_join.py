@@ -29,6 +29,7 @@ document with itself; documents without an id count as one; other columns stay.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,7 @@ PERCENT = 85
 SKETCH_BITS = 16
 CELL = 512  # comparisons with one lead in one group
 LEADS = 64  # comparisons with different leads in one group
-SEGMENT = 32  # shingles of a trie node
+SEGMENT = 64  # shingles of a trie node
 
 
 def _shingles(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -93,13 +94,18 @@ def _shared(n: np.ndarray) -> np.ndarray:
     return 1 + n // 32
 
 
+def _first(n: np.ndarray) -> np.ndarray:
+    """First shingles of a set of ``n``."""
+    return np.where(n > 0, np.minimum(n - (PERCENT * n + 99) // 100 + _shared(n), n), 0)
+
+
 def _ordered(w: W.Words, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles in global order by row, each row's begin, and each row's number of first ones."""
     row, gram = _shingles(w)
     order = np.lexsort((gram, sketch[_slot(gram)], row))
     begin = np.searchsorted(row, np.arange(len(w.first)))
     n = np.diff(begin)
-    return gram[order], begin, np.where(n > 0, n - (PERCENT * n + 99) // 100 + _shared(n), 0)
+    return gram[order], begin, _first(n)
 
 
 def _first_shingles(sketch) -> object:
@@ -183,83 +189,90 @@ def _keep(sketch) -> object:
 
 
 class _Node:
-    __slots__ = ("children", "doc", "front", "most", "part", "size")
+    __slots__ = ("children", "doc", "least", "most", "opens", "part", "shuts", "size")
 
-    def __init__(self, part: np.ndarray, most: int):
-        self.part, self.most, self.children, self.doc, self.size, self.front = part, most, {}, [], 0, None
+    def __init__(self, part: np.ndarray, frequency: list[int], size: int):
+        self.part, self.children, self.doc, self.size, self.least, self.most = part, {}, [], 0, size, size
+        self.opens, self.shuts = frequency[0], frequency[-1]  # sketch counts of its first and last shingle
 
 
 class Trie:
-    """Ordered sets; a node holds a run of shingles and the size of the largest set below it."""
+    """Sets in global order; a node holds a run of shingles and the sizes of the smallest and largest set below it."""
+
+    def __init__(self, sketch: np.ndarray):
+        self.sketch, self.root = sketch, _Node(np.zeros(0, np.int64), [0], 0)
 
-    def __init__(self):
-        self.root = _Node(np.zeros(0, np.int64), 0)
+    def frequency(self, grams: np.ndarray) -> list[int]:
+        return self.sketch[_slot(grams.view(np.uint64))].tolist()
 
     def add(self, doc: int, grams: np.ndarray) -> None:
-        node, at = self.root, 0
-        while at < len(grams):
+        node, at, n = self.root, 0, len(grams)
+        while at < n:
             child = node.children.get(int(grams[at]))
             rest = grams[at : at + SEGMENT]
             if child is None:
-                child = node.children[int(grams[at])] = _Node(rest, len(grams))
+                child = node.children[int(grams[at])] = _Node(rest, self.frequency(rest), n)
                 at += len(rest)
             else:
                 m = min(len(rest), len(child.part))
                 differ = child.part[:m] != rest[:m]
                 shared = int(differ.argmax()) if differ.any() else m
                 if shared < len(child.part):  # split the node where the sets part
-                    upper = _Node(child.part[:shared], child.most)
+                    upper = _Node(child.part[:shared], self.frequency(child.part[:shared]), child.most)
+                    upper.least = child.least
                     child.part = child.part[shared:]
+                    child.opens = self.frequency(child.part[:1])[0]
                     upper.children[int(child.part[0])] = child
                     node.children[int(grams[at])] = child = upper
-                child.most = max(child.most, len(grams))
+                child.least, child.most = min(child.least, n), max(child.most, n)
                 at += shared
             node = child
         node.doc.append(doc)
-        node.size = len(grams)
+        node.size = n
 
     def links(self, grams: np.ndarray) -> list[int]:
         """Documents whose sets are similar enough to ``grams``."""
-        out, n = [], len(grams)
+        out, n, counts = [], len(grams), self.frequency(grams)
         by_value = np.argsort(grams)
         values = grams[by_value]
-        todo = [(self.root, 0, 0, -1)]
+        todo = [(self.root, 0, 0, 0)]  # node, depth, overlap, shingles of grams that are behind
         while todo:
-            node, depth, overlap, last = todo.pop()
+            node, depth, overlap, behind = todo.pop()
             if node.doc and 100 * overlap >= PERCENT * (n + node.size - overlap):
                 out += node.doc
-            if not node.children:
-                continue
-            if node.front is None:  # the parts of all children, one behind another
-                below = list(node.children.values())
-                sizes = np.array([len(c.part) for c in below])
-                node.front = below, np.concatenate([c.part for c in below]), np.cumsum(sizes) - sizes, depth + sizes, np.array([c.most for c in below])
-            below, parts, begin, deep, most = node.front
-            place = np.minimum(np.searchsorted(values, parts), n - 1)
-            rank = np.where(values[place] == parts, by_value[place], -1)  # place in the global order of ``grams``
-            have = overlap + np.add.reduceat((rank >= 0).astype(np.int64), begin)
-            reach = np.maximum(last, np.maximum.reduceat(rank, begin))
-            # at best all that is left of the shorter side matches; the largest set below gives the bound
-            best = have + np.minimum(most - deep, n - 1 - reach)
-            for i in np.flatnonzero(100 * best >= PERCENT * np.maximum(n, best)):
-                todo.append((below[i], int(deep[i]), int(have[i]), int(reach[i])))
+            for c in node.children.values():
+                if 100 * c.most < PERCENT * n or PERCENT * c.least > 100 * n:
+                    continue
+                # at best all that is left of the shorter side matches; rarer shingles than the child's cannot
+                best = overlap + min(c.most - depth, n - max(behind, bisect_left(counts, c.opens)))
+                if 100 * best < PERCENT * max(n, c.least):
+                    continue
+                place = np.minimum(np.searchsorted(values, c.part), n - 1)
+                found = by_value[place[values[place] == c.part]]
+                have, deep = overlap + len(found), depth + len(c.part)
+                now = max(behind, bisect_left(counts, c.shuts), int(found[-1]) + 1 if len(found) else 0)
+                if 100 * (have + min(c.most - deep, n - now)) >= PERCENT * max(n, c.least):
+                    todo.append((c, deep, have, now))
         return out
 
 
-def _traverse(key: tuple, rows: pa.Table) -> pa.Table:
-    """(doc, cluster): links of one cell, its leads in a trie and the other documents traversing it."""
-    trie, out = Trie(), []
-    ids, lead, sets = rows["doc"].to_pylist(), rows["is_lead"].to_pylist(), rows["grams"]
-    for d, is_lead, g in zip(ids, lead, sets, strict=True):
-        if is_lead:
-            trie.add(d, np.frombuffer(g.as_buffer(), np.int64))
-    for d, is_lead, g in zip(ids, lead, sets, strict=True):
-        if not is_lead:
-            out += [(d, k) for k in trie.links(np.frombuffer(g.as_buffer(), np.int64)) if k != d]
-    return pa.table([pa.array([d for d, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], ["doc", "lead"])
+def _traverse(sketch) -> object:
+    def traverse(key: tuple, rows: pa.Table) -> pa.Table:
+        """(doc, lead): links of one cell, its leads in a trie and the other documents traversing it."""
+        trie, out = Trie(sketch.value), []
+        ids, lead, sets = rows["doc"].to_pylist(), rows["is_lead"].to_pylist(), rows["grams"]
+        for d, is_lead, g in zip(ids, lead, sets, strict=True):
+            if is_lead:
+                trie.add(d, np.frombuffer(g.as_buffer(), np.int64))
+        for d, is_lead, g in zip(ids, lead, sets, strict=True):
+            if not is_lead:
+                out += [(d, k) for k in trie.links(np.frombuffer(g.as_buffer(), np.int64)) if k != d]
+        return pa.table([pa.array([d for d, _ in out], pa.int64()), pa.array([k for _, k in out], pa.int64())], ["doc", "lead"])
+
+    return traverse
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, sketch) -> DataFrame:
     """Links among candidate pairs (doc, lead), found by tries of leads; staged."""
     pairs = stage(pairs, "pairs")
     sizes = stage(pairs.groupBy("lead").agg(F.count(F.lit(1)).alias("c")), "leads")
@@ -269,7 +282,7 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     follow = skew_safe_lookup(pairs, sizes, "lead").select(cell, F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"), "doc", F.lit(False).alias("is_lead"))
     ahead = sizes.select(cell, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("lead").alias("doc"), F.lit(True).alias("is_lead"))
     routes = follow.distinct().unionByName(ahead)
-    return stage(routes.join(sets, "doc").groupBy("cell", "part").applyInArrow(_traverse, "doc bigint, lead bigint"), "links")
+    return stage(routes.join(sets, "doc").groupBy("cell", "part").applyInArrow(_traverse(sketch), "doc bigint, lead bigint"), "links")
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -293,10 +306,11 @@ def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, lead, best, need, least): a row for each shingle that a pair across groups shares; a partition holds all rows of its cells.
+    """(doc, lead, best, need): a row for each shingle that a pair across groups shares; a partition holds all rows of its cells.
 
-    ``best`` is what the pair can still share from there on, ``need`` the shared
-    first shingles and ``least`` the intersection that a link needs.
+    Of what a link's intersection needs, ``best`` is the surplus that the pair can
+    still reach from there on, and ``need`` the number of shared first shingles
+    without which the ones behind them can't suffice.
     """
     held = [b for b in batches if b.num_rows]
     if not held:
@@ -312,9 +326,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = (root[i] != root[j]) & (~other[j] | ((j < i) & (part[i] == 0)))  # two others meet once
         fits &= PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
         i, j = i[fits], j[fits]
-        best, need = np.minimum(n[i] - at[i], n[j] - at[j]), _shared(np.minimum(n[i], n[j]))
         least = (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
-        return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(best), pa.array(need), pa.array(least)], ["doc", "lead", "best", "need", "least"])
+        rest = np.maximum(n[i] - _first(n[i]), n[j] - _first(n[j]))
+        best, need = np.minimum(n[i] - at[i], n[j] - at[j]) - least, np.maximum(_shared(np.minimum(n[i], n[j])), least - rest)
+        return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(best), pa.array(need)], ["doc", "lead", "best", "need"])
 
     here = np.flatnonzero(other)
     total = np.cumsum(size[here])
@@ -336,7 +351,7 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     kept = rows.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_keep(sketch), "doc bigint, same bigint, lead bigint, grams binary, marks binary")
     kept = stage(kept, "sets")
     sets = kept.where("same is null").select("doc", "grams")
-    leads = _compare(kept.where("same is null and lead <> doc").select("doc", "lead"), sets)
+    leads = _compare(kept.where("same is null and lead <> doc").select("doc", "lead"), sets, sketch)
     groups = stage(_labels(leads), "groups")
     known = kept.where("same is null").join(groups, "doc", "left").select("doc", "grams", "marks", F.coalesce("root", "doc").alias("root"))
     fronts = stage(known.mapInArrow(_fronts, "shingle bigint, doc bigint, n bigint, at bigint, root bigint"), "fronts")
@@ -347,9 +362,9 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     other = F.col("root") != F.col("main")
     own_part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
     dealt = joined.select("shingle", "doc", "n", "at", "root", other.alias("other"), F.explode(own_part).alias("part"))
-    met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint, best bigint, need bigint, least bigint")
-    counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"), F.max("least").alias("least"))
-    more = _compare(counted.where("c >= need and best >= least").select("doc", "lead"), sets)
+    met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint, best bigint, need bigint")
+    counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"))
+    more = _compare(counted.where("c >= need and best >= 0").select("doc", "lead"), sets, sketch)
     same = kept.where("same is not null").select("doc", F.col("same").alias("lead"))
     return _labels(leads.unionByName(more).unionByName(same))
 
