@@ -127,6 +127,10 @@ def infer(column: pa.Array, names: list[str], table: np.ndarray) -> tuple[np.nda
     return np.concatenate(shares), np.concatenate(words)
 
 
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predictor(labelled: DataFrame):
     """A function of a text column: struct of ``lang``, ``score`` (its share) and ``langs`` (the selected set)."""
     names, table = fit(labelled)
@@ -146,9 +150,9 @@ def predictor(labelled: DataFrame):
     none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.array().cast("array<struct<lang:string,share:double>>").alias("langs"))
 
     def predict(text: Column) -> Column:
-        letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
-        return F.when(letter, call(text.cast("string"))).otherwise(none) if names else none
+        return F.when(has_letter(text), call(text.cast("string"))).otherwise(none) if names else none
 
+    predict.languages = names
     return predict
 
 
@@ -164,6 +168,11 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The documents in which a language was found; all columns stay as they are."""
+    """The documents in which a language was found; all columns stay as they are.
+
+    Without any labelled document there are no languages to tell apart, and those with a letter stay.
+    """
     predict = predictor(_training(docs))
-    return docs.withColumn("__language", predict(F.col("text"))).where(F.col("__language.lang") != UNKNOWN).drop("__language")
+    found = docs.withColumn("__language", predict(F.col("text")))
+    keep = F.col("__language.lang") != UNKNOWN if predict.languages else has_letter(F.col("text"))
+    return found.where(keep).drop("__language")

@@ -298,7 +298,7 @@ def cut_documents(docs: DataFrame, *, text: str = "text", n_chars: str = "n_char
     """The documents with repeated passages cut out; a text without any stays as it is."""
     found = cut_repeats(docs)
     changed = F.col("__cut.n_removed") > 0
-    new: dict[str, Column] = {text: F.when(changed, F.decode("__cut.kept", F.lit("UTF-8"))).otherwise(F.col(text))}
+    new: dict[str, Column] = {text: F.when(changed, F.col("__cut.kept").cast("string")).otherwise(F.col(text))}
     if n_chars in docs.columns:
-        new[n_chars] = F.when(changed, F.length(F.decode("__cut.kept", F.lit("UTF-8")))).otherwise(F.col(n_chars))
+        new[n_chars] = F.when(changed, F.length(F.col("__cut.kept").cast("string"))).otherwise(F.col(n_chars))
     return found.withColumns(new).select(*[F.col(f"`{c}`").cast(docs.schema[c].dataType) for c in docs.columns])
