@@ -21,7 +21,17 @@ SMALL_ROWS = 1_000_000
 
 def skew_safe_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner", n_left: int | None = None,
                      small_rows: int = SMALL_ROWS) -> DataFrame:
-    """Join with a right side that is unique on ``key`` although few keys may hold most left rows."""
+    """Join with a right side that is unique on ``key`` although few keys may hold most left rows.
+
+    Rows without a key match nothing and are not shuffled.
+    """
+    if how == "left":
+        bare = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name != key]
+        order = [key, *[c for c in left.columns if c != key], *[f.name for f in right.schema.fields if f.name != key]]
+        without = left.where(F.col(key).isNull()).select("*", *bare)
+        found = skew_safe_lookup(left.where(F.col(key).isNotNull()), right, key, "keyed-left", n_left, small_rows)
+        return found.select(*order).unionByName(without.select(*order))
+    how = "left" if how == "keyed-left" else how
     n = left.count() if n_left is None else n_left
     if n <= small_rows:
         return left.join(right, key, how)

@@ -57,7 +57,7 @@ def evaluate(
     ties: str = "alphabetical",
     median: str = "interpolated",
     ks: Sequence[int] = KS,
-    digits: int | None = 6,
+    digits: int | None = None,
     query_id: str = "render_id",
     index: sim.GalleryIndex | None = None,
 ) -> DataFrame:
@@ -80,7 +80,7 @@ def evaluate(
 
 def ranks_with_empty_entries(
     index: sim.GalleryIndex, queries: DataFrame, vocabulary: DataFrame, *, rule: str, query_id: str = "render_id",
-    digits: int | None = 6, entry: str = "entry",
+    digits: int | None = None, entry: str = "entry",
 ) -> DataFrame:
     """Ranks over a vocabulary that also holds entries without gallery images.
 
@@ -97,7 +97,7 @@ def ranks_with_empty_entries(
 
 
 def source_coverage(
-    index: sim.GalleryIndex, crops: DataFrame, splits: DataFrame, *, rule: str = "top5", digits: int | None = 6,
+    index: sim.GalleryIndex, crops: DataFrame, splits: DataFrame, *, rule: str = "top5", digits: int | None = None,
     crop_id: str = "crop_id", sources: str = "pdb_ids", vector: str = "emb",
 ) -> DataFrame:
     """One row per listed source of a crop: present or absent, rank, score and corpus split."""

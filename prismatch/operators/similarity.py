@@ -3,13 +3,16 @@
 The gallery is laid out once as an index: blocks of whole entries, one Parquet
 row per block with a float32 matrix. An entry with more than ``hot_rows`` images
 is spread over several blocks; such blocks report partial results that Spark
-merges, so no entry has to fit into one task. Queries reach the blocks in one of
-two ways:
+merges, so no entry has to fit into one task. Queries reach the blocks in parts:
+they are staged, and parts of at most ``BROADCAST_BYTES`` (by their row count)
+are broadcast one after another to tasks that scan the index; the index is never
+shuffled. A task answers for all its blocks at once, so what leaves it is bounded
+by the queries, not by queries times blocks.
 
-* up to ``BROADCAST_BYTES`` of query vectors (checked by reading at most one row
-  more than fits) are broadcast to the tasks that scan the index;
-* beyond that, queries are packed into blocks as well and both sides are
-  replicated to the (query block, gallery block) grid and joined on it.
+Equal inputs give equal bits: vectors are split into a coarse and a fine part of so
+few binary digits that their products and sums are exact in a double, whatever the
+order in which a matrix product adds them. Pooled means add their values from the
+largest down, in numpy and in Spark alike. Ranks thus need no rounded scores.
 
 A tile never returns its similarities. It returns what the question needs: the
 score of a target entry, the number of entries that beat it, the best k entries
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from prismatch.session import stage
 
 BROADCAST_BYTES = 64 << 20
-QUERY_BLOCK_ROWS = 4096
+HELD_ROWS = 1 << 20  # result rows that a task holds before it merges them
 TILE_CELLS = 2_000_000  # similarities held at once by a task (16 MB of doubles)
 EPS = 1e-12
 
@@ -90,11 +93,31 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return flat.reshape(-1, dim)
 
 
-def _unit(m: np.ndarray, normalise: bool) -> np.ndarray:
+class _Exact:
+    """Rows as sums of a coarse part of 26 binary digits of the row's size and a fine part of 22 more."""
+
+    def __init__(self, coarse: np.ndarray, fine: np.ndarray):
+        self.coarse, self.fine = coarse, fine
+
+    def __getitem__(self, rows) -> _Exact:
+        return _Exact(self.coarse[rows], self.fine[rows])
+
+    def dot(self, other: _Exact) -> np.ndarray:
+        """All dot products. In each of the three matrix products every sum is exact (up to 4,096 dimensions)."""
+        mixed = self.coarse @ other.fine.T + self.fine @ other.coarse.T
+        return self.coarse @ other.coarse.T + mixed
+
+
+def _unit(m: np.ndarray, normalise: bool) -> _Exact:
     m = m.astype(np.float64)
-    if not normalise:
-        return m
-    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), EPS)
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    if normalise:
+        m, size = m / np.maximum(size, EPS), np.ones_like(size)
+    _, exponent = np.frexp(size)
+    grain = np.ldexp(1.0, exponent - 26)
+    coarse = np.round(m / grain) * grain
+    grain = np.ldexp(1.0, exponent - 48)
+    return _Exact(coarse, np.round((m - coarse) / grain) * grain)
 
 
 def build_index(
@@ -194,8 +217,8 @@ class _Queries:
         self.scores = t["score"].to_numpy() if "score" in t.column_names else None
 
 
-def _similarities(q: np.ndarray, ids: np.ndarray, b: _Block, own: bool) -> np.ndarray:
-    sim = q @ b.vectors.T
+def _similarities(q: _Exact, ids: np.ndarray, b: _Block, own: bool) -> np.ndarray:
+    sim = q.dot(b.vectors)
     if own:  # a query never meets its own image
         at = np.searchsorted(np.sort(b.images), ids)
         order = np.argsort(b.images, kind="stable")
@@ -220,15 +243,34 @@ def _pool(sim: np.ndarray, b: _Block, width: int) -> np.ndarray:
         cube = np.where(valid[None], sim[:, np.minimum(idx, sim.shape[1] - 1)], -np.inf)
         if wide > width:
             cube = -np.partition(-cube, width - 1, axis=2)[:, :, :width]
+        cube = -np.sort(-cube, axis=2)
         ok = np.isfinite(cube)
         n = ok.sum(axis=2)
-        total = np.where(ok, cube, 0.0).sum(axis=2)
+        total = np.zeros(n.shape)
+        for k in range(cube.shape[2]):  # from the largest down, as _top_mean does
+            total = total + np.where(ok[:, :, k], cube[:, :, k], 0.0)
         out[:, sel] = np.where(n > 0, total / np.maximum(n, 1), -np.inf)
     return out
 
 
+def _first_best(shown: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Column of the first largest value in [start, end) of each row."""
+    size = ends - starts
+    head = np.cumsum(size) - size
+    column = np.arange(size.sum()) - np.repeat(head - starts, size)
+    value = shown[np.repeat(rows, size), column]
+    top = np.repeat(np.maximum.reduceat(value, head), size) if len(size) else value
+    place = np.where(value == top, column, shown.shape[1])
+    return np.minimum.reduceat(place, head) if len(size) else column
+
+
 def _round(x: np.ndarray, digits: int | None) -> np.ndarray:
-    return x if digits is None else np.round(x, digits)
+    return x if digits is None else np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
+def _rounded(x, digits: int | None):
+    """The same rounding as a column."""
+    return x if digits is None else F.floor(x * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
 
 
 def _chunks(n_queries: int, n_rows: int) -> Iterator[slice]:
@@ -244,73 +286,55 @@ def _run(
     schema: T.StructType,
     normalise: bool,
     broadcast_bytes: int = BROADCAST_BYTES,
+    merge: Callable[[pa.Table], pa.Table] | None = None,
 ) -> DataFrame:
-    """Run ``kernel`` on every (queries, block) tile."""
-    spark = queries.sparkSession
-    dim = index.dim
+    """Run ``kernel`` on every query and block; ``merge`` joins the rows of a task's blocks."""
+    spark, dim = queries.sparkSession, index.dim
     fits = max(1, broadcast_bytes // (4 * dim + 64))
-    head = queries.limit(fits + 1).toArrow()
-
-    def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i] for c in ("entries", "images", "whole")}
-            yield {c: v.values for c, v in row.items()} | {"matrix": batch.column("matrix")[i].as_buffer()}
-
-    if head.num_rows <= fits:
-        shared = spark.sparkContext.broadcast(head)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = _Queries(shared.value, dim, normalise)
-            for batch in batches:
-                for row in rows_of(batch):
-                    out = kernel(q, _Block(row, dim, normalise))
-                    if out is not None and out.num_rows:
-                        yield from out.to_batches()
-
-        return index.blocks.select("entries", "images", "whole", "matrix").mapInArrow(scan, schema)
-
-    return _run_grid(index, stage(queries, "queries"), kernel, schema, normalise, rows_of)
-
-
-def _span(n: int):
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
+    queries = stage(queries, "queries")
+    n_parts = max(1, math.ceil(queries.count() / fits))
+    place = F.pmod(F.xxhash64(*[c for c in queries.columns if c != "vector"]), F.lit(n_parts))
+    tiles = None
+    for p in range(n_parts):
+        part = (queries if n_parts == 1 else queries.where(place == p)).toArrow()
+        scan = _scanner(spark.sparkContext.broadcast(part), dim, normalise, kernel, merge)
+        found = index.blocks.select("entries", "images", "whole", "matrix").mapInArrow(scan, schema)
+        tiles = found if tiles is None else tiles.unionByName(found)
+    return tiles
+
+
+def _scanner(shared, dim: int, normalise: bool, kernel, merge):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, held, rows, limit = _Queries(shared.value, dim, normalise), [], 0, HELD_ROWS
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].values for c in ("entries", "images", "whole")}
+                out = kernel(q, _Block(row | {"matrix": batch.column("matrix")[i].as_buffer()}, dim, normalise))
+                if out is None or not out.num_rows:
+                    continue
+                if merge is None:
+                    yield from out.to_batches()
+                    continue
+                held.append(out)
+                rows += out.num_rows
+                if rows >= limit:
+                    held = [merge(pa.concat_tables(held))]
+                    rows = held[0].num_rows
+                    limit = max(HELD_ROWS, 2 * rows)  # merging again pays only after as much has come
+        if held:
+            yield from merge(pa.concat_tables(held)).to_batches()
 
-def _run_grid(index, queries, kernel, schema, normalise, rows_of) -> DataFrame:
-    dim = index.dim
-    n_qblocks = max(1, math.ceil(queries.count() / QUERY_BLOCK_ROWS))
-    extra = [c for c in queries.columns if c != "vector"]
-    qtype = T.StructType(
-        [T.StructField("qblock", T.LongType())]
-        + [T.StructField("q_" + c, T.ArrayType(queries.schema[c].dataType)) for c in extra]
-        + [T.StructField("q_matrix", T.BinaryType())]
-    )
+    return scan
 
-    def pack(t: pa.Table) -> pa.Table:
-        lists = [pa.ListArray.from_arrays(pa.array([0, t.num_rows], pa.int32()), t[c].combine_chunks()) for c in extra]
-        m = _matrix(t["vector"], dim)
-        return pa.table(
-            [pa.array([t["qblock"][0].as_py()], pa.int64()), *lists, pa.array([m.tobytes()], pa.binary())],
-            names=["qblock", *["q_" + c for c in extra], "q_matrix"],
-        )
 
-    keyed = queries.withColumn("qblock", F.pmod(F.xxhash64(*extra), F.lit(n_qblocks)))
-    packed = stage(keyed.groupBy("qblock").applyInArrow(pack, qtype), "query-blocks")
-    left = index.blocks.select("block", "entries", "images", "whole", "matrix").withColumn("qblock", F.explode(_span(n_qblocks)))
-    right = packed.withColumn("block", F.explode(_span(index.n_blocks)))
-    grid = left.join(right, ["qblock", "block"])
+def _sums(keys: list[str], values: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Merge that adds ``values`` of equal ``keys``."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, row in enumerate(rows_of(batch)):
-                t = pa.table({c: batch.column("q_" + c)[i].values for c in extra})
-                m = np.frombuffer(batch.column("q_matrix")[i].as_buffer(), np.float32).reshape(-1, dim)
-                q = _Queries(t, dim, normalise, m)
-                out = kernel(q, _Block(row, dim, normalise))
-                if out is not None and out.num_rows:
-                    yield from out.to_batches()
+    def merge(t: pa.Table) -> pa.Table:
+        out = t.group_by(keys).aggregate([(v, "sum") for v in values])
+        return pa.table({c: out[c if c in keys else f"{c}_sum"].cast(t.schema.field(c).type) for c in t.column_names})
 
-    return grid.mapInArrow(scan, schema)
+    return merge
 
 
 def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -329,6 +353,12 @@ def _query_rows(queries: DataFrame, query_id: str, vector: str, **more: str) ->
     return queries.select(*cols, *[F.col(c).alias(n) for n, c in more.items()])
 
 
+def _mean_down(value: str):
+    """Mean of a group of at most five values, added from the largest down as _pool does."""
+    best = F.sort_array(F.collect_list(value), asc=False)
+    return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
+
+
 def _top_mean(df: DataFrame, keys: list[str], value: str, width: int, digits: int | None, out: str) -> DataFrame:
     """Mean of the best ``width`` values per key (the limit is applied before the shuffle)."""
     if width == 1:
@@ -336,8 +366,8 @@ def _top_mean(df: DataFrame, keys: list[str], value: str, width: int, digits: in
     else:
         w = Window.partitionBy(*keys).orderBy(F.col(value).desc())
         pooled = df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= width)
-        pooled = pooled.groupBy(*keys).agg(F.avg(value).alias(out))
-    return pooled if digits is None else pooled.withColumn(out, F.round(out, digits))
+        pooled = pooled.groupBy(*keys).agg(_mean_down(value).alias(out))
+    return pooled.withColumn(out, _rounded(F.col(out), digits))
 
 
 def target_scores(
@@ -375,7 +405,7 @@ def target_scores(
             lo, hi = b.starts[e], b.ends[e]
             for part in _chunks(len(members), hi - lo):
                 m = members[part]
-                sim = qs.vectors[m] @ b.vectors[lo:hi].T
+                sim = qs.vectors[m].dot(b.vectors[lo:hi])
                 if exclude_self:
                     sim[b.images[lo:hi][None, :] == qs.ids[m][:, None]] = -np.inf
                 keep = min(width, sim.shape[1])
@@ -435,7 +465,7 @@ def entry_ranks(
             beats = pooled > t
             if alphabetical:
                 beats |= (pooled == t) & (b.names[None, :] < qs.entries[part][:, None])
-            beats &= b.whole[None, :]
+            beats &= b.whole[None, :] & (b.names[None, :] != qs.entries[part][:, None])
             found.append(beats.sum(axis=1))
             for e in split:
                 piece = sim[:, b.starts[e]:b.ends[e]]
@@ -456,7 +486,15 @@ def entry_ranks(
         ]))
         return pa.concat_tables(out)
 
-    tiles = _run(index, q, kernel, schema, normalise, broadcast_bytes)
+    add = _sums(["query_id", "entry", "score"], ["better"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        counts, pieces = t.filter(t["value"].is_null()), t.filter(t["value"].is_valid())
+        summed = add(counts.select(["query_id", "entry", "score", "better"]))
+        empty = [pa.nulls(summed.num_rows, t.schema.field(c).type) for c in ("other", "value")]
+        return pa.concat_tables([pa.table([*summed.columns, *empty], names=t.column_names), pieces])
+
+    tiles = _run(index, q, kernel, schema, normalise, broadcast_bytes, merge)
     key = ["query_id", "entry", "score"]
     if index.has_split:
         tiles = stage(tiles, "beats")
@@ -464,7 +502,7 @@ def entry_ranks(
         wins = F.col("score_other") > F.col("score")
         if alphabetical:
             wins = wins | ((F.col("score_other") == F.col("score")) & (F.col("other") < F.col("entry")))
-        split = split.groupBy(*key).agg(F.count_if(wins).alias("better"))
+        split = split.groupBy(*key).agg(F.count_if(wins & (F.col("other") != F.col("entry"))).alias("better"))
         tiles = tiles.where("value is null").select(*key, "better").unionByName(split)
     return tiles.groupBy(*key).agg((F.sum("better") + 1).cast("bigint").alias("rank"))
 
@@ -514,7 +552,7 @@ def top_hits(
             first = np.searchsorted(r, r, side="left")
             keep = np.arange(len(r)) - first < n
             r, e = r[keep], e[keep]
-            best = np.fromiter((np.argmax(shown[i, b.starts[j]:b.ends[j]]) + b.starts[j] for i, j in zip(r, e)), np.int64, len(r))
+            best = _first_best(shown, r, b.starts[e], b.ends[e])
             emit(qs.ids[part][r], b.names[e], pooled[r, e], b.images[best], shown[r, best])
             for j in np.flatnonzero(~b.whole):
                 piece = sim[:, b.starts[j]:b.ends[j]]
@@ -528,7 +566,14 @@ def top_hits(
                      b.images[b.starts[j] + cc], shown[rr, b.starts[j] + cc])
         return _table(schema, [np.concatenate(c) for c in (ids, names, values, images, cosines)])
 
-    tiles = _run(index, q, kernel, schema, normalise, broadcast_bytes)
+    def merge(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("query_id", "ascending"), ("value", "descending"), ("entry", "ascending")])
+        ids = t["query_id"].to_numpy()
+        head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        return t.filter(pa.array(np.arange(len(ids)) - np.repeat(head, np.diff(np.r_[head, len(ids)])) < k))
+
+    # pieces of a split entry cannot be ranked before they meet
+    tiles = _run(index, q, kernel, schema, normalise, broadcast_bytes, None if index.has_split else merge)
     key = ["query_id", "entry"]
     if index.has_split:
         # the pieces of an entry may come from several blocks
@@ -536,11 +581,10 @@ def top_hits(
         pooled = (
             tiles.withColumn("__n", F.row_number().over(views)).where(F.col("__n") <= width)
             .groupBy(*key)
-            .agg(F.avg("value").alias("score"), F.max("cosine").alias("best_cosine"),
+            .agg(_mean_down("value").alias("score"), F.max("cosine").alias("best_cosine"),
                  F.min_by("image", F.struct(-F.col("cosine"), F.col("image"))).alias("best_image"))
         )
-        if digits is not None:
-            pooled = pooled.withColumn("score", F.round("score", digits))
+        pooled = pooled.withColumn("score", _rounded(F.col("score"), digits))
     else:
         pooled = tiles.select(*key, F.col("value").alias("score"), F.col("cosine").alias("best_cosine"), F.col("image").alias("best_image"))
     place = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("entry").asc())
@@ -589,7 +633,7 @@ def contrastive_terms(
                 c.append(v)
         return _table(schema, [np.concatenate(c) for c in cols])
 
-    tiles = _run(index, q, kernel, schema, True, broadcast_bytes)
+    tiles = _run(index, q, kernel, schema, True, broadcast_bytes, _sums(["query_id"], ["mass", "pos", "n_pos"]))
     merged = tiles.groupBy("query_id").agg(F.sum("mass").alias("mass"), F.sum("pos").alias("pos"), F.sum("n_pos").alias("n_pos"))
     lse = F.log("mass") + F.lit(top)
     return merged.select(

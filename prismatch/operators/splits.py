@@ -76,13 +76,17 @@ def hashed_split(df: DataFrame, key: str, *, fractions: Sequence[float] = FRACTI
 
 def build_all(df: DataFrame, *, key: str = "domain_id", arch: str = "cath_arch", topo: str = "cath_topo",
               homsf: str = "cath_homsf", s35: str = "S35", seed: int = 0) -> DataFrame:
-    """One row per domain with its split under each scheme."""
+    """One row per domain with its split under each scheme; null where a domain has no code for the scheme."""
     df = stage(df.select(key, arch, topo, homsf, s35), "domains")
-    out = df.select(key, homsf, topo, s35)
-    out = out.join(random_split(df, key, seed=seed).withColumnRenamed("split", "split_random"), key)
-    out = out.join(grouped_split(df, homsf, stratum=arch, seed=seed).withColumnRenamed("split", "split_homsf"), homsf)
-    out = out.join(grouped_split(df, topo, stratum=arch, seed=seed).withColumnRenamed("split", "split_topo"), topo)
-    out = out.join(member_split(df, homsf, s35, seed=seed).withColumnRenamed("split", "split_member"), [homsf, s35])
+    out = df.select(key, homsf, topo, s35).join(random_split(df, key, seed=seed).withColumnRenamed("split", "split_random"), key, "left")
+    for code, name in ((homsf, "split_homsf"), (topo, "split_topo")):
+        split = grouped_split(df.where(F.col(code).isNotNull()), code, stratum=arch, seed=seed)
+        out = skew_safe_lookup(out, stage(split.withColumnRenamed("split", name), name), code, "left")
+    member = member_split(df.where(F.col(homsf).isNotNull() & F.col(s35).isNotNull()), homsf, s35, seed=seed)
+    pair = F.to_json(F.struct(F.col(homsf).alias("h"), F.col(s35).alias("s")))
+    member = member.select(pair.alias("__pair"), F.col("split").alias("split_member"))
+    keyed = out.withColumn("__pair", F.when(F.col(homsf).isNotNull() & F.col(s35).isNotNull(), pair))
+    out = skew_safe_lookup(keyed, stage(member, "split_member"), "__pair", "left")
     return out.select(key, "split_random", "split_homsf", "split_topo", "split_member")
 
 

@@ -50,7 +50,7 @@ FROM ranks"""
 def _protocol_query(rule: str):
     def run(spark, sf):
         q, g = R.same_split(views.manifest(spark, sf), R.VIEW0_QUERY)
-        return R.evaluate(q, g, rule=rule)
+        return R.evaluate(q, g, rule=rule, digits=6)
 
     return run
 
@@ -62,7 +62,16 @@ for _rule, _k in sim.RULES.items():
 @query("retrieval_optimistic_rank", scores_sql(V0_QUERIES, V0_GALLERY, 1) + OPTIMISTIC + metrics_sql("max", "quantile_disc(rank, 0.5)"))
 def retrieval_optimistic_rank(spark, sf):
     q, g = R.same_split(views.manifest(spark, sf), R.VIEW0_QUERY)
-    return R.evaluate(q, g, rule="max", ties="optimistic", median="lower")
+    return R.evaluate(q, g, rule="max", ties="optimistic", median="lower", digits=6)
+
+
+@query("retrieval_exact_unrounded", scores_sql(V0_QUERIES, V0_GALLERY, 5).replace("round(avg(s), 6)", "avg(s)") + RANKS + """
+SELECT query_id, entry, round(score, 6) AS score, rank FROM ranks""")
+def retrieval_exact_unrounded(spark, sf):
+    """Ranks of exact scores; only the printed score is rounded."""
+    q, g = R.same_split(views.manifest(spark, sf), R.VIEW0_QUERY)
+    ranks = sim.entry_ranks(sim.build_index(g), q, rule="top5", query_id="render_id")
+    return ranks.select("query_id", "entry", F.round("score", 6).alias("score"), "rank")
 
 
 @query("retrieval_topk_hits", scores_sql(V0_QUERIES, V0_GALLERY, 5) + """
@@ -92,7 +101,7 @@ def _full(view: int, excluded: str) -> tuple[str, str]:
 for _p, (_q, _g) in {"view0_query": _full(0, "0"), "style_matched": _full(15, "0, 15")}.items():
     def _run(spark, sf, name=_p):
         q, g = R.full_minus_cohort(views.manifest(spark, sf), R.PROTOCOLS[name], F.col("split") == "test")
-        return R.evaluate(q, g, rule="top5")
+        return R.evaluate(q, g, rule="top5", digits=6)
 
     query(f"full_index_{_p}", scores_sql(_q, _g, 5) + RANKS + metrics_sql("top5"))(_run)
 
@@ -120,7 +129,7 @@ def rule_selection(spark, sf):
     index = sim.build_index(g)
     rows, n_entries = None, m.select("entry").distinct().count()
     for rule in sim.RULES:
-        ranks = R.ranks_with_empty_entries(index, q, m, rule=rule)
+        ranks = R.ranks_with_empty_entries(index, q, m, rule=rule, digits=6)
         one = M.rank_metrics(ranks, ks=(1,), digits=6, max_rank=n_entries).select(F.lit(rule).alias("rule"), F.col("n").alias("n_queries"), "r_at_1", "mrr")
         rows = one if rows is None else rows.unionByName(one)
     return M.select_rule(rows, list(sim.RULES))
@@ -187,7 +196,7 @@ coverage AS (SELECT DISTINCT l.query_id AS crop_id, l.pdb_id, r.rank IS NOT NULL
 def _coverage(spark, sf):
     crops = views.crops(spark, sf)
     index = sim.build_index(views.manifest(spark, sf))
-    return crops, R.source_coverage(index, crops, views.splits(spark, sf)), index
+    return crops, R.source_coverage(index, crops, views.splits(spark, sf), digits=6), index
 
 
 @query("source_coverage", _CROP_RANKS + " SELECT * REPLACE (CAST(rank AS DOUBLE) AS rank) FROM coverage")

@@ -19,7 +19,7 @@ def toy(n=240, d=8, entries=17, hot=90):
     return pd.DataFrame({"render_id": np.arange(n), "entry": e, "view": np.arange(n) % 6, "emb": [v.tolist() for v in x]})
 
 
-def brute(rows, k, ties="alphabetical", own=False):
+def brute(rows, k, ties="alphabetical", own=False, digits=6):
     q, g = rows[rows.view == 0], rows[rows.view > 0] if not own else rows
     unit = lambda f: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True))(np.array(f.emb.tolist(), dtype=np.float32).astype(float))
     sim = unit(q) @ unit(g).T
@@ -30,7 +30,8 @@ def brute(rows, k, ties="alphabetical", own=False):
     for n in names:
         top = np.sort(sim[:, (g.entry == n).to_numpy()], axis=1)[:, ::-1][:, :k]
         pooled.append(np.array([t[np.isfinite(t)].mean() for t in top]))
-    scores = np.round(np.stack(pooled, 1), 6)
+    scores = np.stack(pooled, 1)
+    scores = scores if digits is None else np.round(scores, digits)
     ranks, lists = {}, {}
     for i, (qid, e) in enumerate(zip(q.render_id, q.entry)):
         order = np.argsort(-scores[i], kind="stable")
@@ -45,12 +46,12 @@ LAYOUTS = {"whole": {}, "split": {"hot_rows": 7}, "many blocks": {"block_rows":
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
-@pytest.mark.parametrize("grid", [False, True])
+@pytest.mark.parametrize("parts", [False, True])
 @pytest.mark.parametrize("rule", ["max", "top5"])
-def test_ranks_and_hits_match_numpy(spark, monkeypatch, layout, grid, rule):
-    if grid:
-        monkeypatch.setattr(S, "QUERY_BLOCK_ROWS", 9)
-    size = 64 if grid else S.BROADCAST_BYTES
+def test_ranks_and_hits_match_numpy(spark, monkeypatch, layout, parts, rule):
+    if parts:
+        monkeypatch.setattr(S, "HELD_ROWS", 8)  # tasks merge what they hold again and again
+    size = 9 * (4 * 8 + 64) if parts else S.BROADCAST_BYTES
     rows = toy()
     df = spark.createDataFrame(rows)
     index = S.build_index(df.where("view > 0"), **LAYOUTS[layout])
@@ -63,6 +64,23 @@ def test_ranks_and_hits_match_numpy(spark, monkeypatch, layout, grid, rule):
         assert list(zip(part.entry, part.score)) == lists[qid][:5]
 
 
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("rule", list(S.RULES))
+@pytest.mark.parametrize("ties", ["alphabetical", "optimistic"])
+def test_unrounded_ranks(spark, layout, rule, ties):
+    """Ranks of exact scores; with every entry twice, the twin adds one place for each better entry."""
+    rows = toy()
+    df = spark.createDataFrame(rows)
+    q = df.where("view = 0")
+    want = brute(rows, S.RULES[rule], ties, digits=None)[0]
+    gallery = df.where("view > 0")
+    once = S.entry_ranks(S.build_index(gallery, **LAYOUTS[layout]), q, rule=rule, ties=ties, query_id="render_id").toPandas()
+    assert dict(zip(once.query_id, once["rank"])) == want
+    twins = gallery.unionByName(gallery.withColumn("entry", F.concat("entry", F.lit("x"))).withColumn("render_id", F.col("render_id") + 1000))
+    twice = S.entry_ranks(S.build_index(twins, **LAYOUTS[layout]), q, rule=rule, ties=ties, query_id="render_id").toPandas()
+    assert dict(zip(twice.query_id, twice["rank"])) == {i: 2 * r - 1 for i, r in want.items()}
+
+
 def test_optimistic_ties_and_self_exclusion(spark):
     rows = toy()
     rows["emb"] = [[1.0, float(i % 3), 0.0] for i in range(len(rows))]  # many exact ties
