@@ -91,7 +91,7 @@ def _sketch_of(texts: DataFrame) -> np.ndarray:
 
 def _shared(n: np.ndarray) -> np.ndarray:
     """First shingles that two sets, the smaller with ``n``, must share."""
-    return 1 + n // 32
+    return 1 + n // 20
 
 
 def _first(n: np.ndarray) -> np.ndarray:
@@ -144,6 +144,12 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(block[keep]), pa.array(gram[keep]), pa.array(lead[keep])], ["block", "shingle", "lead"])
 
 
+def _needed(n, m):
+    """First shingles that a pair of sizes must share: all behind the first ones of one of them may match."""
+    least = (PERCENT * (n + m) + 99 + PERCENT) // (100 + PERCENT)
+    return np.maximum(_shared(np.minimum(n, m)), least - np.maximum(n - _first(n), m - _first(m)))
+
+
 _KEPT = pa.schema([("doc", pa.int64()), ("same", pa.int64()), ("lead", pa.int64()), ("grams", pa.binary()), ("marks", pa.binary())])
 
 
@@ -181,7 +187,8 @@ def _keep(sketch) -> object:
                 elif doc not in sets:
                     marks = np.flatnonzero(hit).astype("<i4")
                     lead, times = np.unique(leads[place[hit]], return_counts=True)
-                    sets[doc] = (int(lead[times.argmax()]), raw, marks.tobytes())
+                    best = int(lead[times.argmax()]) if times.max() >= _needed(len(own), len(own)) else doc
+                    sets[doc] = (best, raw, marks.tobytes())
         rows = [(d, None, *x) for d, x in sets.items()] + [(d, k, None, None, None) for d, k in same]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _KEPT.types, strict=True)], schema=_KEPT) if rows else _KEPT.empty_table()
 
@@ -292,7 +299,7 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, doc, n, at, root): the recurring first shingles of (doc, grams, marks, root)."""
+    """(shingle, doc, n, at, h, root): the ``h`` recurring first shingles of (doc, grams, marks, root)."""
     for b in batches:
         grams = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
         marks = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(2)]
@@ -301,8 +308,8 @@ def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.concatenate([g[m] for g, m in zip(grams, marks, strict=True)]) if len(grams) else np.zeros(0, np.int64)
         size = np.array([len(g) for g in grams], np.int64)
         at = np.concatenate(marks).astype(np.int64) if marks else row
-        columns = [own, b.column(0).to_numpy()[row], size[row], at, b.column(3).to_numpy()[row]]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "doc", "n", "at", "root"])
+        columns = [own, b.column(0).to_numpy()[row], size[row], at, n[row], b.column(3).to_numpy()[row]]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "doc", "n", "at", "h", "root"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +324,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.Table.from_batches(held)
     order = np.lexsort((t["doc"].to_numpy(), t["part"].to_numpy(), t["shingle"].to_numpy()))
-    gram, part, doc, n, at, root, other = (t[c].to_numpy()[order] for c in ("shingle", "part", "doc", "n", "at", "root", "other"))
+    gram, part, doc, n, at, h, root, other = (t[c].to_numpy()[order] for c in ("shingle", "part", "doc", "n", "at", "h", "root", "other"))
     head = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
     size = np.diff(np.r_[head, len(gram)])
     head, size = np.repeat(head, size), np.repeat(size, size)
@@ -326,9 +333,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = (root[i] != root[j]) & (~other[j] | ((j < i) & (part[i] == 0)))  # two others meet once
         fits &= PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
         i, j = i[fits], j[fits]
-        least = (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
-        rest = np.maximum(n[i] - _first(n[i]), n[j] - _first(n[j]))
-        best, need = np.minimum(n[i] - at[i], n[j] - at[j]) - least, np.maximum(_shared(np.minimum(n[i], n[j])), least - rest)
+        need = _needed(n[i], n[j])
+        fits = np.minimum(h[i], h[j]) >= need  # the rarer side has that many
+        i, j, need = i[fits], j[fits], need[fits]
+        best = np.minimum(n[i] - at[i], n[j] - at[j]) - (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
         return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(best), pa.array(need)], ["doc", "lead", "best", "need"])
 
     here = np.flatnonzero(other)
@@ -354,14 +362,14 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     leads = _compare(kept.where("same is null and lead <> doc").select("doc", "lead"), sets, sketch)
     groups = stage(_labels(leads), "groups")
     known = kept.where("same is null").join(groups, "doc", "left").select("doc", "grams", "marks", F.coalesce("root", "doc").alias("root"))
-    fronts = stage(known.mapInArrow(_fronts, "shingle bigint, doc bigint, n bigint, at bigint, root bigint"), "fronts")
+    fronts = stage(known.mapInArrow(_fronts, "shingle bigint, doc bigint, n bigint, at bigint, h bigint, root bigint"), "fronts")
     by_group = fronts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = by_group.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     parts = F.greatest(F.ceil(F.col("c") / (4 * CELL)), F.lit(1)).cast("int")
-    joined = skew_safe_lookup(fronts, stage(mixed.select("shingle", "main", parts.alias("parts")), "mixed"), "shingle")
+    joined = fronts.join(mixed.select("shingle", "main", parts.alias("parts")), "shingle")  # large partitions are split as the join runs
     other = F.col("root") != F.col("main")
     own_part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
-    dealt = joined.select("shingle", "doc", "n", "at", "root", other.alias("other"), F.explode(own_part).alias("part"))
+    dealt = joined.select("shingle", "doc", "n", "at", "h", "root", other.alias("other"), F.explode(own_part).alias("part"))
     met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint, best bigint, need bigint")
     counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"))
     more = _compare(counted.where("c >= need and best >= 0").select("doc", "lead"), sets, sketch)
