@@ -117,7 +117,7 @@ def rules() -> list[Rule]:
         out.append(Rule(label, rf"{granted}(?:{name})", keyword, 4, 0.85))
         out.append(Rule(label, rf"(?:spdx )?licen[cs]e identifier {label.replace('-', ' ')}", "identifier", 2, 1.0))
         for v in versions:
-            version = rf"(?: version| v)? {v}(?! \d)"
+            version = rf"(?: version| v)? v?{v}(?! \d)"
             out.append(Rule(f"{label}-{v.replace(' ', '.')}", rf"(?:{granted})?(?:{name}){version}", keyword, 3, 0.95))
             out.append(Rule(f"{label}-{v.replace(' ', '.')}-or-later", rf"(?:{granted})?(?:{name}){version} or (?:\(?at your option\)? )?(?:any )?later(?: version)?", keyword, 2, 0.95))
     return out

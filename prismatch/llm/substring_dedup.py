@@ -19,7 +19,8 @@ one place per block of one window.
 Windows are told apart by 64 bits of their own and 64 of their phrase.
 Defined cases: null has no words; texts under ``WINDOW`` words lose nothing;
 repeated rows of one document share its places, so none removes the other's
-words; a null id counts as one document behind all others; other columns stay.
+words; rows without an id count as one document behind all others, in which only
+an earlier start removes; other columns stay.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ WINDOW = 20
 PHRASE = 6
 HOT = 256
 SPREAD = WINDOW - PHRASE + 1  # phrases of a window
-_PLACES = "key bigint, block bigint, doc bigint, at int, mask bigint, found binary"
+_PLACES = "key bigint, block bigint, doc bigint, twin bigint, at int, mask bigint, found binary"
 
 
 def _elect(grams: np.ndarray, n_words: int) -> np.ndarray:
@@ -138,13 +139,15 @@ def _runs(places: np.ndarray) -> np.ndarray:
     return np.stack([places[head], places[tail] + 1], 1).astype("<i4")
 
 
-def _by_document(block: np.ndarray, doc: np.ndarray, place: np.ndarray) -> list[tuple[int, int, bytes]]:
+def _by_document(block: np.ndarray, doc: np.ndarray, twin: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, bytes]]:
     if not len(doc):
         return []
-    order = np.lexsort((place, doc))
-    block, doc, place = block[order], doc[order], place[order]
-    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    return [(int(block[s]), int(doc[s]), _runs(place[s:e]).tobytes()) for s, e in zip(head, np.r_[head[1:], len(doc)], strict=True)]
+    order = np.lexsort((place, twin, doc))
+    block, doc, twin, place = block[order], doc[order], twin[order], place[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]) | (place[1:] != place[:-1])]  # repeated rows have the same places
+    block, doc, twin, place = block[new], doc[new], twin[new], place[new]
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])])
+    return [(int(block[s]), int(doc[s]), int(twin[s]), _runs(place[s:e]).tobytes()) for s, e in zip(head, np.r_[head[1:], len(doc)], strict=True)]
 
 
 def _later(doc: np.ndarray, place: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,13 +165,13 @@ def _later(doc: np.ndarray, place: np.ndarray, *keys: np.ndarray) -> tuple[np.nd
 
 def _confirm(docs: pa.Table, phrases: pa.Table) -> pa.Table:
     """One block: candidate windows' first places, and the runs removed because the block has them earlier."""
-    schema = pa.schema([(n, t) for n, t in zip(("key", "block", "doc", "at", "mask", "found"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)])
+    schema = pa.schema([(n, t) for n, t in zip(("key", "block", "doc", "twin", "at", "mask", "found"), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)])
     if not docs.num_rows or not phrases.num_rows:
         return schema.empty_table()
     docs, shard = docs.combine_chunks(), phrases["phrase"].to_numpy()
     order = np.argsort(shard)
     shard, hot = shard[order], phrases["hot"].to_numpy()[order]
-    text, ids = docs["text"].chunk(0), docs["doc"].to_numpy()
+    text, ids, twins = docs["text"].chunk(0), docs["doc"].to_numpy(), docs["twin"].to_numpy()
     parts = []
     for lo, hi in W.slices(text):
         w = W.words_of(text[lo:hi], lower=False)
@@ -178,25 +181,25 @@ def _confirm(docs: pa.Table, phrases: pa.Table) -> pa.Table:
             continue
         on = _locate(w, grams, elected, shard)[elected]
         place, row, elected = place[on], row[on], elected[on]
-        parts.append((W.signed(grams[elected]), W.signed(W.gram_hashes(h, WINDOW)[place]), ids[lo:hi][row], place - w.first[row], elected - w.first[row]))
+        parts.append((W.signed(grams[elected]), W.signed(W.gram_hashes(h, WINDOW)[place]), ids[lo:hi][row], twins[lo:hi][row], place - w.first[row], elected - w.first[row]))
     if not parts:
         return schema.empty_table()
-    phrase, window, doc, place, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    phrase, window, doc, twin, place, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     first, behind = _later(doc, place, phrase, window)
     number = int(docs["block"][0].as_py())
-    removed = _by_document(np.full(len(behind), number), doc[behind], place[behind])
-    first = first[np.lexsort((place[first], doc[first]))]
-    phrase, window, doc, place, at = (x[first] for x in (phrase, window, doc, place, at))
+    removed = _by_document(np.full(len(behind), number), doc[behind], twin[behind], place[behind])
+    first = first[np.lexsort((place[first], twin[first], doc[first]))]
+    phrase, window, doc, twin, place, at = (x[first] for x in (phrase, window, doc, twin, place, at))
     own = hot[np.minimum(np.searchsorted(shard, phrase), len(shard) - 1)]
-    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]) | own[1:] | own[:-1]]) if len(first) else first
+    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]) | (at[1:] != at[:-1]) | own[1:] | own[:-1]]) if len(first) else first
     key = np.where(own, window, phrase)[head]
     mask = np.bitwise_or.reduceat(np.int64(1) << (at - place), head) if len(head) else head
     ends = np.r_[head, len(first)] * 8
     found = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(window.tobytes())])
-    places = pa.table([pa.array(key), pa.array(np.full(len(head), number)), pa.array(doc[head]), pa.array(at[head].astype(np.int32)), pa.array(mask), found], schema=schema)
+    places = pa.table([pa.array(key), pa.array(np.full(len(head), number)), pa.array(doc[head]), pa.array(twin[head]), pa.array(at[head].astype(np.int32)), pa.array(mask), found], schema=schema)
     gone = pa.table(
-        [pa.array([d for _, d, _ in removed], pa.int64()), pa.array([b for b, _, _ in removed], pa.int64()), pa.array([d for _, d, _ in removed], pa.int64()),
-         pa.nulls(len(removed), pa.int32()), pa.nulls(len(removed), pa.int64()), pa.array([r for *_, r in removed], pa.binary())], schema=schema)
+        [pa.array([d for _, d, _, _ in removed], pa.int64()), *[pa.array([r[k] for r in removed], pa.int64()) for k in range(3)],
+         pa.nulls(len(removed), pa.int32()), pa.nulls(len(removed), pa.int64()), pa.array([r[3] for r in removed], pa.binary())], schema=schema)
     return pa.concat_tables([places, gone])
 
 
@@ -207,7 +210,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     place = t.filter(t["at"].is_valid())
     gone = t.filter(t["at"].is_null())
-    out = list(zip(gone["block"].to_pylist(), gone["doc"].to_pylist(), gone["found"].to_pylist(), strict=True))
+    out = list(zip(*(gone[c].to_pylist() for c in ("block", "doc", "twin", "found")), strict=True))
     if place.num_rows:
         place = place.combine_chunks()
         found = place["found"].chunk(0)
@@ -215,35 +218,43 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, at = place["mask"].to_numpy(), place["at"].to_numpy()
         back = np.arange(SPREAD - 1, -1, -1)
         row, col = np.nonzero((mask[:, None] >> back) & 1)
-        key, doc, block = (place[c].to_numpy()[row] for c in ("key", "doc", "block"))
+        key, doc, twin, block = (place[c].to_numpy()[row] for c in ("key", "doc", "twin", "block"))
         start = at[row].astype(np.int64) - back[col]
         _, behind = _later(doc, start, key, window)
-        out += _by_document(block[behind], doc[behind], start[behind])
+        out += _by_document(block[behind], doc[behind], twin[behind], start[behind])
     out.sort(key=lambda x: x[0])
-    block = np.array([b for b, _, _ in out], np.int64)
+    block = np.array([r[0] for r in out], np.int64)
     head = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(out) else block
     at = pa.array(np.r_[head, len(out)], pa.int32())
-    docs, runs = pa.array([d for _, d, _ in out], pa.int64()), pa.array([r for *_, r in out], pa.binary())
-    yield pa.record_batch([pa.array(block[head]), pa.ListArray.from_arrays(at, docs), pa.ListArray.from_arrays(at, runs)], ["block", "docs", "runs"])
+    lists = [pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.binary())]
+    yield pa.record_batch([pa.array(block[head]), *[pa.ListArray.from_arrays(at, x) for x in lists]], ["block", "docs", "twins", "runs"])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, runs), a row for each document; a partition holds all rows of its blocks."""
-    runs: dict[int, list[bytes]] = {}
+    """(doc, twin, runs), a row for each document; a partition holds all rows of its blocks."""
+    runs: dict[tuple[int, int], list[bytes]] = {}
     for b in batches:
-        for d, r in zip(b.column(0).flatten().to_pylist(), b.column(1).flatten().to_pylist(), strict=True):
-            runs.setdefault(d, []).append(r)
-    yield pa.record_batch([pa.array(list(runs), pa.int64()), pa.array(list(runs.values()), pa.list_(pa.binary()))], ["doc", "runs"])
+        for d, t, r in zip(*(c.flatten().to_pylist() for c in b.columns), strict=True):
+            runs.setdefault((d, t), []).append(r)
+    keys = [pa.array([k[i] for k in runs], pa.int64()) for i in range(2)]
+    yield pa.record_batch([*keys, pa.array(list(runs.values()), pa.list_(pa.binary()))], ["doc", "twin", "runs"])
+
+
+def twin_of(text: str) -> Column:
+    return F.xxhash64(F.col(text).cast("string"))
 
 
 def repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, runs``: for each document with windows that start earlier, lists of int32 pairs [begin, end) of their places."""
-    rows = docs.select(block_of(docs, doc_id, text).alias("block"), order_of(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    counted = rows.mapInArrow(_phrases, "phrase bigint, block bigint, n bigint")
+    """``doc, twin, runs``: for each document with windows that start earlier, lists of int32 pairs [begin, end) of their places.
+
+    ``twin`` is the text's hash: rows that share an id, or have none, may differ in their texts.
+    """
+    rows = docs.select(block_of(docs, doc_id, text).alias("block"), order_of(doc_id).alias("doc"), F.col(text).cast("string").alias("text"), twin_of(text).alias("twin"))
+    counted = rows.drop("twin").mapInArrow(_phrases, "phrase bigint, block bigint, n bigint")
     shards = counted.repartition("phrase").mapInArrow(_recurring, "block bigint, phrase bigint, hot boolean")
     places = rows.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_confirm, _PLACES)
-    runs = places.repartition("key").mapInArrow(_settle, "block bigint, docs array<bigint>, runs array<binary>")
-    return runs.repartition("block").select("docs", "runs").mapInArrow(_documents, "doc bigint, runs array<binary>")
+    runs = places.repartition("key").mapInArrow(_settle, "block bigint, docs array<bigint>, twins array<bigint>, runs array<binary>")
+    return runs.repartition("block").select("docs", "twins", "runs").mapInArrow(_documents, "doc bigint, twin bigint, runs array<binary>")
 
 
 def _covered(text: pa.Array, runs: pa.Array) -> Iterator[tuple[W.Words, np.ndarray, int, int]]:
@@ -280,10 +291,11 @@ def _cut(text: pa.Array, runs: pa.Array) -> pa.Array:
 
 def cut_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", out: str = "__cut") -> DataFrame:
     """Add struct ``out``: ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by one space (UTF-8)."""
-    runs = repeated_runs(docs, doc_id=doc_id, text=text).select(F.col("doc").alias("__doc"), F.col("runs").alias("__runs"))
-    joined = docs.withColumn("__doc", order_of(doc_id)).join(runs, "__doc", "left")
+    found = repeated_runs(docs, doc_id=doc_id, text=text)
+    runs = found.select(F.col("doc").alias("__doc"), F.col("twin").alias("__twin"), F.col("runs").alias("__runs"))
+    joined = docs.withColumn("__doc", order_of(doc_id)).withColumn("__twin", twin_of(text)).join(runs, ["__doc", "__twin"], "left")
     cut = F.arrow_udf(_cut, "struct<n_words:bigint,n_removed:bigint,kept:binary>")
-    return joined.withColumn(out, cut(F.col(text).cast("string"), F.col("__runs"))).drop("__doc", "__runs")
+    return joined.withColumn(out, cut(F.col(text).cast("string"), F.col("__runs"))).drop("__doc", "__twin", "__runs")
 
 
 def substring_digest(docs: DataFrame) -> DataFrame:
