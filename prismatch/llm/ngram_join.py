@@ -13,7 +13,8 @@ first ones: otherwise too few are left behind them.
 2. A kept document is compared with one *lead*: of the smallest documents that
    share its first shingles the most frequent one. Leads are stored in tries,
    documents traverse them. The links found give provisional groups, however
-   large, by one comparison per document.
+   large. Documents left outside are compared once more, with the least altered
+   document that shares their shingles. That is two comparisons per document.
 3. Only where a first shingle is shared by different groups, pairs across groups
    are counted; those with enough shared ones that pass the length and position
    bounds are compared, in tries again.
@@ -299,32 +300,33 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, doc, n, at, h, root): the ``h`` recurring first shingles of (doc, grams, marks, root)."""
+    """(shingle, doc, n, at, h, r, root): the ``h`` recurring first shingles of (doc, grams, marks, root), ranked."""
     for b in batches:
         grams = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
         marks = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(2)]
         n = np.array([len(m) for m in marks], int)
         row = np.repeat(np.arange(b.num_rows), n)
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         own = np.concatenate([g[m] for g, m in zip(grams, marks, strict=True)]) if len(grams) else np.zeros(0, np.int64)
         size = np.array([len(g) for g in grams], np.int64)
         at = np.concatenate(marks).astype(np.int64) if marks else row
-        columns = [own, b.column(0).to_numpy()[row], size[row], at, n[row], b.column(3).to_numpy()[row]]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "doc", "n", "at", "h", "root"])
+        columns = [own, b.column(0).to_numpy()[row], size[row], at, n[row], rank, b.column(3).to_numpy()[row]]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "doc", "n", "at", "h", "r", "root"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, lead, best, need): a row for each shingle that a pair across groups shares; a partition holds all rows of its cells.
 
     Of what a link's intersection needs, ``best`` is the surplus that the pair can
-    still reach from there on, and ``need`` the number of shared first shingles
-    without which the ones behind them can't suffice.
+    still reach from there on, and ``need`` the number of such rows without which
+    the pair can't share enough.
     """
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     t = pa.Table.from_batches(held)
     order = np.lexsort((t["doc"].to_numpy(), t["part"].to_numpy(), t["shingle"].to_numpy()))
-    gram, part, doc, n, at, h, root, other = (t[c].to_numpy()[order] for c in ("shingle", "part", "doc", "n", "at", "h", "root", "other"))
+    gram, part, doc, n, at, h, r, root, other = (t[c].to_numpy()[order] for c in ("shingle", "part", "doc", "n", "at", "h", "r", "root", "other"))
     head = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
     size = np.diff(np.r_[head, len(gram)])
     head, size = np.repeat(head, size), np.repeat(size, size)
@@ -334,8 +336,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits &= PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
         i, j = i[fits], j[fits]
         need = _needed(n[i], n[j])
-        fits = np.minimum(h[i], h[j]) >= need  # the rarer side has that many
-        i, j, need = i[fits], j[fits], need[fits]
+        some = 1 + need // 6
+        # a pair that shares ``need`` recurring ones shares ``some`` among those with ``need - some`` more behind
+        fits = np.minimum(h[i] - r[i], h[j] - r[j]) > need - some
+        i, j, need = i[fits], j[fits], some[fits]
         best = np.minimum(n[i] - at[i], n[j] - at[j]) - (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
         return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(best), pa.array(need)], ["doc", "lead", "best", "need"])
 
@@ -349,6 +353,25 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(i, head[i] + np.arange(len(i)) - np.repeat(np.cumsum(n_now) - n_now, n_now))
 
 
+def _fronts_of(kept: DataFrame, links: DataFrame) -> DataFrame:
+    """Recurring first shingles of all kept sets, with the groups that the links make; staged."""
+    groups = stage(_labels(links), "groups")
+    known = kept.where("same is null").join(groups, "doc", "left").select("doc", "grams", "marks", F.coalesce("root", "doc").alias("root"))
+    return stage(known.mapInArrow(_fronts, "shingle bigint, doc bigint, n bigint, at bigint, h bigint, r bigint, root bigint"), "fronts")
+
+
+def _clean_leads(fronts: DataFrame) -> DataFrame:
+    """(doc, lead): for documents outside the group of the document with the most recurring shingles, that one.
+
+    It is the least altered copy, so what links with any of its group links most likely with it.
+    """
+    best = fronts.groupBy("shingle").agg(F.max(F.struct("h", "doc", "root")).alias("b"), F.min("root").alias("least"), F.max("root").alias("most"))
+    best = best.where("least <> most").select("shingle", F.col("b.doc").alias("lead"), F.col("b.root").alias("lead_root"))
+    met = fronts.join(best, "shingle").where("root <> lead_root").groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    chosen = met.groupBy("doc").agg(F.max(F.struct("c", "lead"))["lead"].alias("lead"), F.max("c").alias("c"), F.max("n").alias("n"))
+    return chosen.where(F.col("c") > F.col("n") / 20).select("doc", "lead")
+
+
 def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, root``: every document that links with another one, and the smallest document reachable."""
     spark = docs.sparkSession
@@ -359,22 +382,22 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     kept = rows.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_keep(sketch), "doc bigint, same bigint, lead bigint, grams binary, marks binary")
     kept = stage(kept, "sets")
     sets = kept.where("same is null").select("doc", "grams")
-    leads = _compare(kept.where("same is null and lead <> doc").select("doc", "lead"), sets, sketch)
-    groups = stage(_labels(leads), "groups")
-    known = kept.where("same is null").join(groups, "doc", "left").select("doc", "grams", "marks", F.coalesce("root", "doc").alias("root"))
-    fronts = stage(known.mapInArrow(_fronts, "shingle bigint, doc bigint, n bigint, at bigint, h bigint, root bigint"), "fronts")
+    links = _compare(kept.where("same is null and lead <> doc").select("doc", "lead"), sets, sketch)
+    fronts = _fronts_of(kept, links)
+    links = stage(links.unionByName(_compare(_clean_leads(fronts), sets, sketch)), "leads")
+    fronts = _fronts_of(kept, links)
     by_group = fronts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = by_group.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     parts = F.greatest(F.ceil(F.col("c") / (4 * CELL)), F.lit(1)).cast("int")
     joined = fronts.join(mixed.select("shingle", "main", parts.alias("parts")), "shingle")  # large partitions are split as the join runs
     other = F.col("root") != F.col("main")
     own_part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
-    dealt = joined.select("shingle", "doc", "n", "at", "h", "root", other.alias("other"), F.explode(own_part).alias("part"))
+    dealt = joined.select("shingle", "doc", "n", "at", "h", "r", "root", other.alias("other"), F.explode(own_part).alias("part"))
     met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint, best bigint, need bigint")
     counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"))
     more = _compare(counted.where("c >= need and best >= 0").select("doc", "lead"), sets, sketch)
     same = kept.where("same is not null").select("doc", F.col("same").alias("lead"))
-    return _labels(leads.unionByName(more).unionByName(same))
+    return _labels(links.unionByName(more).unionByName(same))
 
 
 def _sizes(column: pa.Array) -> pa.Array:
