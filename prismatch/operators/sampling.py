@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from prismatch.operators.ordering import with_position
 from prismatch.session import stage
 
-DIGEST_ROWS = 100_000
-STREAM_ENTRIES = 5_000_000
-
 
 def panel_entries(manifest: DataFrame, split: str = "val", entry: str = "entry") -> DataFrame:
     """Entries of a split that have view 0 and some other view."""
@@ -40,80 +37,46 @@ def validation_panel(manifest: DataFrame, count: int, seed: int, *, entry: str =
 def panel_digest(panel: DataFrame, key: str = "render_id") -> str:
     """SHA-256 of the sorted ids joined by newlines.
 
-    A panel of ordinary size is hashed in one aggregate; a larger one is
-    streamed through the hash in key order, one partition at a time.
+    For a panel, whose size its ``count`` fixes: the ids are brought to the driver
+    in key order, a partition at a time.
     """
-    ids = panel.select(F.col(key).cast("string").alias("k"))
-    head = ids.limit(DIGEST_ROWS + 1).count()
-    if head <= DIGEST_ROWS:
-        return ids.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), "\n"), 256).alias("d")).first()["d"]
-    h, first = hashlib.sha256(), True
-    for row in ids.orderBy("k").toLocalIterator():
-        h.update((row["k"] if first else "\n" + row["k"]).encode())
+    digest, first = hashlib.sha256(), True
+    for row in panel.select(F.col(key).cast("string").alias("k")).orderBy("k").toLocalIterator():
+        digest.update((row["k"] if first else "\n" + row["k"]).encode())
         first = False
-    return h.hexdigest()
-
-
-def draw_batches(sizes: np.ndarray, p: int, k: int, steps: int, seed: int, first_step: int = 0) -> np.ndarray:
-    """Rows (step, slot, entry place, view place) of one seeded stream.
-
-    Every step draws ``p`` different entries, then ``k`` views of each (with
-    repetition only where an entry has fewer). Steps before ``first_step`` are
-    drawn and dropped, so a resumed run continues the stream.
-    """
-    rng = np.random.default_rng(seed)
-    out = []
-    for step in range(steps):
-        for label, e in enumerate(rng.choice(len(sizes), size=p, replace=False)):
-            n = int(sizes[e])
-            views = rng.choice(n, size=min(k, n), replace=n < k)
-            if step >= first_step:
-                out += [(step, label, int(e), int(v)) for v in views]
-    return np.array(out, dtype=np.int64).reshape(-1, 4)
+    return digest.hexdigest()
 
 
 def pk_batches(rows: DataFrame, *, p: int, k: int, steps: int, seed: int, first_step: int = 0, entry: str = "entry",
-               key: str = "render_id", stream: str = "numpy") -> DataFrame:
-    """Training batches ``step, label, entry, key``.
+               key: str = "render_id") -> DataFrame:
+    """Training batches ``step, label, entry, key``: ``p`` different entries a step, ``k`` views of each.
 
-    ``stream="numpy"`` replays one generator over all steps; it needs the entry
-    sizes on the driver and is limited to five million entries.
-    ``stream="per_step"`` seeds every step on its own, draws in parallel and has
-    no limit.
+    Views repeat only where an entry has fewer than ``k``. Every step, and every
+    place in it, has a random stream of its own, so steps are drawn in parallel
+    and a run that resumes at ``first_step`` sees the same batches.
     """
-    if stream not in ("numpy", "per_step"):
-        raise ValueError(f"unknown stream {stream!r}")
     spark = rows.sparkSession
     placed = stage(with_position(rows.select(entry, key), [F.col(entry), F.col(key)], "__p"), "batch-rows")
     groups = placed.groupBy(entry).agg(F.count(F.lit(1)).alias("__n"), F.min("__p").alias("__first"))
     groups = stage(with_position(groups, [F.col(entry)], "__e"), "batch-entries")
-    schema = "step bigint, label bigint, __e bigint, __v bigint"
-    if stream == "numpy":
-        head = groups.select("__e", "__n").limit(STREAM_ENTRIES + 1).toPandas()
-        if len(head) > STREAM_ENTRIES:
-            raise ValueError("too many entries for one stream; use stream='per_step'")
-        sizes = head.sort_values("__e")["__n"].to_numpy()
-        drawn = spark.createDataFrame(draw_batches(sizes, p, k, steps, seed, first_step).tolist(), schema)
-    else:
-        total = groups.count()
-
-        def entries(batches):
-            for pdf in batches:
-                for step in pdf["id"]:
-                    rng = np.random.default_rng([seed, int(step)])
-                    picks = rng.choice(total, size=p, replace=False)
-                    yield _frame(step=np.full(p, step), label=np.arange(p), __e=picks)
-
-        picked = spark.range(first_step, steps).mapInPandas(entries, "step bigint, label bigint, __e bigint").join(groups.select("__e", "__n"), "__e")
-
-        def views(batches):
-            for pdf in batches:
-                for step, label, e, n in zip(pdf["step"], pdf["label"], pdf["__e"], pdf["__n"]):
-                    rng = np.random.default_rng([seed, int(step), int(label)])
-                    v = rng.choice(n, size=min(k, n), replace=n < k)
-                    yield _frame(step=np.full(len(v), step), label=np.full(len(v), label), __e=np.full(len(v), e), __v=v)
-
-        drawn = picked.mapInPandas(views, schema)
+    total = groups.count()
+
+    def entries(batches):
+        for pdf in batches:
+            for step in pdf["id"]:
+                picks = np.random.default_rng([seed, int(step)]).choice(total, size=p, replace=False)
+                yield _frame(step=np.full(p, step), label=np.arange(p), __e=picks)
+
+    picked = spark.range(first_step, steps).mapInPandas(entries, "step bigint, label bigint, __e bigint").join(groups.select("__e", "__n"), "__e")
+
+    def views(batches):
+        for pdf in batches:
+            for step, label, e, n in zip(pdf["step"], pdf["label"], pdf["__e"], pdf["__n"]):
+                rng = np.random.default_rng([seed, int(step), int(label)])
+                v = rng.choice(n, size=min(k, n), replace=n < k)
+                yield _frame(step=np.full(len(v), step), label=np.full(len(v), label), __e=np.full(len(v), e), __v=v)
+
+    drawn = picked.mapInPandas(views, "step bigint, label bigint, __e bigint, __v bigint")
     at = drawn.join(groups.select("__e", "__first"), "__e").withColumn("__p", F.col("__first") + F.col("__v"))
     return at.join(placed, "__p").select("step", "label", entry, key)
 

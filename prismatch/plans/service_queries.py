@@ -75,13 +75,13 @@ def admission(spark, sf):
 _PAGE = r"""WITH r AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'Other.example.com:8080' ELSE regexp_extract(url, '^[a-z]+://([^/]+)', 1) || ':443' END AS host,
  len(url) * (CASE WHEN page_id % 11 = 0 THEN 60 ELSE 1 END) AS ql, CASE WHEN page_id % 3 = 0 THEN '/api/search' ELSE regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) END AS path,
  CASE page_id % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'POST' ELSE 'DELETE' END AS method, CASE WHEN page_id % 5 = 0 THEN CAST(len(html) * 4000 AS VARCHAR) WHEN page_id % 7 = 0 THEN '12x' ELSE CAST(len(html) AS VARCHAR) END AS cl,
- CASE WHEN page_id % 13 = 0 THEN 'https://evil.example' WHEN page_id % 2 = 0 THEN 'https://ok.example' END AS origin, CASE WHEN page_id % 17 = 0 THEN 'text/html' ELSE 'Image/PNG; q=1' END AS mime FROM pages)"""
+ CASE WHEN page_id % 13 = 0 THEN 'https://evil.example' WHEN page_id % 10 = 1 THEN '' WHEN page_id % 2 = 0 THEN 'https://ok.example' END AS origin, CASE WHEN page_id % 17 = 0 THEN 'text/html' ELSE 'Image/PNG; q=1' END AS mime FROM pages)"""
 
 
 @query("request_predicates", _PAGE + r""" SELECT page_id, CASE WHEN lower(split_part(host, ':', 1)) NOT LIKE '%.example.com' OR lower(split_part(host, ':', 1)) = 'other.example.com' THEN 400
  WHEN ql > 2048 OR len(path) > 256 THEN 414 WHEN method NOT IN ('GET', 'HEAD', 'POST') OR (method = 'POST' AND path <> '/api/search') THEN 405
  WHEN method = 'POST' AND (len(cl) > 12 OR NOT regexp_matches(cl, '^[0-9]+$') OR TRY_CAST(cl AS BIGINT) > 10485760) THEN 413
- WHEN method = 'POST' AND origin IS NOT NULL AND origin <> 'https://ok.example' THEN 403 WHEN method = 'POST' AND lower(split_part(mime, ';', 1)) <> 'image/png' THEN 415 ELSE 200 END AS status FROM r""")
+ WHEN method = 'POST' AND origin IS NOT NULL AND origin NOT IN ('', 'https://ok.example') THEN 403 WHEN method = 'POST' AND lower(split_part(mime, ';', 1)) <> 'image/png' THEN 415 ELSE 200 END AS status FROM r""")
 def request_predicates(spark, sf):
     p, k = table(spark, sf, "pages"), F.col("page_id")
     rows = p.select(
@@ -91,7 +91,7 @@ def request_predicates(spark, sf):
         F.when(k % 3 == 0, "/api/search").otherwise(F.regexp_extract("url", "^[a-z]+://[^/]+([^?#]*)", 1)).alias("path"),
         F.when(k % 4 == 0, "GET").when(k % 4 == 3, "DELETE").otherwise("POST").alias("method"),
         F.when(k % 5 == 0, (F.length("html") * 4000).cast("string")).when(k % 7 == 0, "12x").otherwise(F.length("html").cast("string")).alias("content_length"),
-        F.when(k % 13 == 0, "https://evil.example").when(k % 2 == 0, "https://ok.example").alias("origin"),
+        F.when(k % 13 == 0, "https://evil.example").when(k % 10 == 1, "").when(k % 2 == 0, "https://ok.example").alias("origin"),
         F.when(k % 17 == 0, "text/html").otherwise("Image/PNG; q=1").alias("mime"))
     # the allowed hosts of this catalogue entry: every example.com host of the table but one
     hosts = F.lower(F.substring_index("host", ":", 1))
@@ -162,12 +162,15 @@ def json_ids(spark, sf):
     return Text.parse_json_ids(table(spark, sf, "events").select(arr.alias("value")))
 
 
-@query("provenance_counts", """SELECT 'customer' AS artifact, count(*) AS n_rows FROM customer
-UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem""")
+@query("provenance_counts", """SELECT 'customer' AS artifact, false AS is_file, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'orders', false, count(*) FROM orders UNION ALL SELECT 'lineitem', false, count(*) FROM lineitem
+UNION ALL SELECT x || '.parquet', true, -1 FROM (VALUES ('customer'), ('orders'), ('lineitem')) AS t(x)""")
 def provenance_counts(spark, sf):
+    """Rows of the tables, and their files, of which bytes and digest must be there."""
     names = ("customer", "orders", "lineitem")
-    files = Text.checksums(spark, f"{sf}/region.parquet").where("false")
-    return Text.provenance(files, {n: table(spark, sf, n) for n in names}).select("artifact", "n_rows")
+    files = Text.checksums(spark, [f"{sf}/{n}.parquet" for n in names])
+    rows = Text.provenance(files, {n: table(spark, sf, n) for n in names})
+    return rows.select("artifact", (F.col("bytes").isNotNull() & (F.length("sha256") == 64)).alias("is_file"), F.coalesce("n_rows", F.lit(-1)).alias("n_rows"))
 
 
 @query("file_checksums")

@@ -223,3 +223,13 @@ def test_earlier_max_across_partitions(spark):
     got = O.with_earlier_max(spark.createDataFrame(pdf), ["k"], [F.col("id")], "v").toPandas().set_index("id").earlier_max
     want = pdf.groupby("k").v.transform(lambda s: s.cummax().shift())
     assert got.sort_index().fillna(-1).tolist() == want.fillna(-1).tolist()
+
+
+def test_every_domain_gets_its_row(spark):
+    """Missing codes leave the schemes that need them open, not the domain out."""
+    rows = [("a", 1, 1, 1, 1), ("b", 1, 1, None, 2), ("c", None, None, 3, None), ("d", 1, None, None, None), ("e", 2, 2, 1, 1)]
+    df = spark.createDataFrame(rows, "domain_id string, cath_arch int, cath_topo int, cath_homsf int, S35 int")
+    out = {r.domain_id: r for r in Sp.build_all(df).collect()}
+    assert set(out) == {"a", "b", "c", "d", "e"} and all(r.split_random for r in out.values())
+    assert out["b"].split_homsf is None and out["c"].split_topo is None and out["c"].split_homsf is not None
+    assert out["d"].split_member is None and out["a"].split_member is not None
