@@ -45,7 +45,8 @@ from prismatch.session import stage
 
 SHINGLE = 4
 PERCENT = 85
-SKETCH_BITS = 16
+SKETCH_BITS = 19
+PACK = 1 << 16
 CELL = 512  # comparisons with one lead in one group
 LEADS = 64  # comparisons with different leads in one group
 SEGMENT = 64  # shingles of a trie node
@@ -74,19 +75,30 @@ def _slot(gram: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    """(pack, n): a scan task's counts in packs of 32-bit numbers."""
+    total = np.zeros(1 << SKETCH_BITS, np.int32)
     for b in batches:
         for lo, hi in W.slices(b.column(0)):
-            total += np.bincount(_slot(_shingles(W.words_of(b.column(0)[lo:hi]))[1]), minlength=len(total))
-    on = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(on), pa.array(total[on])], ["slot", "n"])
+            total += np.bincount(_slot(_shingles(W.words_of(b.column(0)[lo:hi]))[1]), minlength=len(total)).astype(np.int32)
+    for k in range(0, len(total), PACK):
+        yield pa.record_batch([pa.array([k // PACK], pa.int64()), pa.array([total[k : k + PACK].tobytes()], pa.binary())], ["pack", "n"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            part = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
+            total[k] = total[k] + part if k in total else part
+    for k, v in total.items():
+        yield pa.record_batch([pa.array([k], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["pack", "n"])
 
 
 def _sketch_of(texts: DataFrame) -> np.ndarray:
-    """Occurrences by the leading bits of a shingle's hash: 65,536 numbers whatever the input."""
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in texts.mapInArrow(_sketch, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        out[r.slot] = r.n
+    """Occurrences by the leading bits of a shingle's hash: half a million numbers whatever the input."""
+    out, shape = np.zeros(1 << SKETCH_BITS, np.int64), "pack bigint, n binary"
+    for r in texts.mapInArrow(_sketch, shape).repartition("pack").mapInArrow(_added, shape).collect():
+        out[r.pack * PACK : (r.pack + 1) * PACK] = np.frombuffer(r.n, np.int64)
     return out
 
 
@@ -300,7 +312,7 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, doc, n, at, h, r, root): the ``h`` recurring first shingles of (doc, grams, marks, root), ranked."""
+    """(shingle, doc, n, at, h, r): the ``h`` recurring first shingles of (doc, grams, marks), ranked."""
     for b in batches:
         grams = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
         marks = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(2)]
@@ -310,8 +322,8 @@ def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.concatenate([g[m] for g, m in zip(grams, marks, strict=True)]) if len(grams) else np.zeros(0, np.int64)
         size = np.array([len(g) for g in grams], np.int64)
         at = np.concatenate(marks).astype(np.int64) if marks else row
-        columns = [own, b.column(0).to_numpy()[row], size[row], at, n[row], rank, b.column(3).to_numpy()[row]]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "doc", "n", "at", "h", "r", "root"])
+        columns = [own, b.column(0).to_numpy()[row], size[row], at, n[row], rank]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "doc", "n", "at", "h", "r"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,11 +365,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(i, head[i] + np.arange(len(i)) - np.repeat(np.cumsum(n_now) - n_now, n_now))
 
 
-def _fronts_of(kept: DataFrame, links: DataFrame) -> DataFrame:
-    """Recurring first shingles of all kept sets, with the groups that the links make; staged."""
-    groups = stage(_labels(links), "groups")
-    known = kept.where("same is null").join(groups, "doc", "left").select("doc", "grams", "marks", F.coalesce("root", "doc").alias("root"))
-    return stage(known.mapInArrow(_fronts, "shingle bigint, doc bigint, n bigint, at bigint, h bigint, r bigint, root bigint"), "fronts")
+def _grouped(fronts: DataFrame, links: DataFrame) -> DataFrame:
+    """The first shingles with ``root``, the group that the links make of their document; staged."""
+    groups = _labels(links)
+    return stage(fronts.join(groups, "doc", "left").withColumn("root", F.coalesce("root", "doc")), "fronts")
 
 
 def _clean_leads(fronts: DataFrame) -> DataFrame:
@@ -383,9 +394,11 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     kept = stage(kept, "sets")
     sets = kept.where("same is null").select("doc", "grams")
     links = _compare(kept.where("same is null and lead <> doc").select("doc", "lead"), sets, sketch)
-    fronts = _fronts_of(kept, links)
-    links = stage(links.unionByName(_compare(_clean_leads(fronts), sets, sketch)), "leads")
-    fronts = _fronts_of(kept, links)
+    shape = "shingle bigint, doc bigint, n bigint, at bigint, h bigint, r bigint"
+    all_fronts = stage(kept.where("same is null").select("doc", "grams", "marks").mapInArrow(_fronts, shape), "fronts")
+    clean = _clean_leads(_grouped(all_fronts, links))
+    links = stage(links.unionByName(_compare(clean, sets, sketch)), "leads")
+    fronts = _grouped(all_fronts, links)
     by_group = fronts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = by_group.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     parts = F.greatest(F.ceil(F.col("c") / (4 * CELL)), F.lit(1)).cast("int")
