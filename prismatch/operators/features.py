@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismatch.functions.text import char_ngrams
@@ -54,10 +54,11 @@ def fit_tfidf(train: DataFrame, key: str, text: str, *, lo: int = 1, hi: int = 5
 
 def transform_tfidf(df: DataFrame, vocabulary: DataFrame, key: str, text: str, *, lo: int = 1, hi: int = 5) -> DataFrame:
     """Row-normalised weights in long form: ``key, index, term, weight`` (rows without known terms are absent)."""
-    # the vocabulary has at most max_features rows
-    raw = term_counts(df, key, text, lo, hi).join(F.broadcast(vocabulary), "term").withColumn("__w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
-    return raw.join(norms, key).select(key, "index", "term", (F.col("__w") / F.col("__norm")).alias("weight"))
+    # one shuffle of the texts by key serves the counts and the norms
+    raw = term_counts(df.select(key, text).repartition(F.col(key)), key, text, lo, hi)
+    raw = raw.join(F.broadcast(vocabulary), "term").withColumn("__w", F.col("tf") * F.col("idf"))  # at most max_features terms
+    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(key)))
+    return raw.select(key, "index", "term", (F.col("__w") / norm).alias("weight"))
 
 
 def dense(weights: DataFrame, key: str, width: int) -> DataFrame:
