@@ -338,7 +338,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.Table.from_batches(held)
     order = np.lexsort((t["doc"].to_numpy(), t["part"].to_numpy(), t["shingle"].to_numpy()))
-    gram, part, doc, n, at, h, r, root, other = (t[c].to_numpy()[order] for c in ("shingle", "part", "doc", "n", "at", "h", "r", "root", "other"))
+    names = ("shingle", "part", "doc", "n", "at", "h", "hm", "r", "root", "main", "other")
+    gram, part, doc, n, at, h, hm, r, root, main, other = (t[c].to_numpy()[order] for c in names)
     head = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
     size = np.diff(np.r_[head, len(gram)])
     head, size = np.repeat(head, size), np.repeat(size, size)
@@ -350,7 +351,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = _needed(n[i], n[j])
         some = 1 + need // 6
         # a pair that shares ``need`` recurring ones shares ``some`` among those with ``need - some`` more behind
-        fits = np.minimum(h[i] - r[i], h[j] - r[j]) > need - some
+        fits = (np.minimum(h[i] - r[i], h[j] - r[j]) > need - some) & (np.where(root[j] == main[i], hm[i], h[i]) >= need)
         i, j, need = i[fits], j[fits], some[fits]
         best = np.minimum(n[i] - at[i], n[j] - at[j]) - (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
         return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(best), pa.array(need)], ["doc", "lead", "best", "need"])
@@ -403,9 +404,13 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     mixed = by_group.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     parts = F.greatest(F.ceil(F.col("c") / (4 * CELL)), F.lit(1)).cast("int")
     joined = fronts.join(mixed.select("shingle", "main", parts.alias("parts")), "shingle")  # large partitions are split as the join runs
+    joined = stage(joined, "mixed")
+    outside = joined.where("root <> main")
+    reach = outside.groupBy("doc", "main").agg(F.count(F.lit(1)).alias("hm"))  # all that it shares with any of the main group
+    joined = outside.join(reach, ["doc", "main"]).unionByName(joined.where("root = main").withColumn("hm", F.col("h")))
     other = F.col("root") != F.col("main")
     own_part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
-    dealt = joined.select("shingle", "doc", "n", "at", "h", "r", "root", other.alias("other"), F.explode(own_part).alias("part"))
+    dealt = joined.select("shingle", "doc", "n", "at", "h", "hm", "r", "root", "main", other.alias("other"), F.explode(own_part).alias("part"))
     met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint, best bigint, need bigint")
     counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"))
     more = _compare(counted.where("c >= need and best >= 0").select("doc", "lead"), sets, sketch)
