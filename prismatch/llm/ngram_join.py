@@ -384,6 +384,21 @@ def _clean_leads(fronts: DataFrame) -> DataFrame:
     return chosen.where(F.col("c") > F.col("n") / 20).select("doc", "lead")
 
 
+def _reach(joined: DataFrame, by_group: DataFrame) -> DataFrame:
+    """(doc, main, hm): for each document outside the main group of one of its shingles, how many of its shingles any of that group has.
+
+    Shingles of which the group is the main one count first. Only where these may be too few
+    for a pair, those that the group has beside another main group are looked up.
+    """
+    direct = stage(joined.where("root <> main").groupBy("doc", "main").agg(F.count(F.lit(1)).alias("hm"), F.max("n").alias("n")), "direct")
+    mains = joined.select("shingle", "main").distinct()
+    minor = stage(by_group.join(mains, "shingle").where("root <> main").select("shingle", F.col("root").alias("group")), "minor")
+    few = direct.where(F.col("hm") < 0.12 * F.col("n") + 3).select("doc", F.col("main").alias("group"))  # no pair of such a document needs more
+    few = few.join(minor.select("group").distinct(), "group", "left_semi")
+    more = joined.select("shingle", "doc").join(few, "doc").join(minor, ["shingle", "group"]).groupBy("doc", F.col("group").alias("main")).agg(F.count(F.lit(1)).alias("hm"))
+    return direct.select("doc", "main", "hm").unionByName(more).groupBy("doc", "main").agg(F.sum("hm").alias("hm"))
+
+
 def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, root``: every document that links with another one, and the smallest document reachable."""
     spark = docs.sparkSession
@@ -405,9 +420,7 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     parts = F.greatest(F.ceil(F.col("c") / (4 * CELL)), F.lit(1)).cast("int")
     joined = fronts.join(mixed.select("shingle", "main", parts.alias("parts")), "shingle")  # large partitions are split as the join runs
     joined = stage(joined, "mixed")
-    outside = joined.where("root <> main")
-    reach = outside.groupBy("doc", "main").agg(F.count(F.lit(1)).alias("hm"))  # all that it shares with any of the main group
-    joined = outside.join(reach, ["doc", "main"]).unionByName(joined.where("root = main").withColumn("hm", F.col("h")))
+    joined = joined.where("root <> main").join(_reach(joined, by_group), ["doc", "main"]).unionByName(joined.where("root = main").withColumn("hm", F.col("h")))
     other = F.col("root") != F.col("main")
     own_part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
     dealt = joined.select("shingle", "doc", "n", "at", "h", "hm", "r", "root", "main", other.alias("other"), F.explode(own_part).alias("part"))

@@ -116,6 +116,21 @@ def test_components_over_many_cells(docs, monkeypatch):
     assert got == sorted((d, x[1]) for d, x in brute.groups(CORPUS).items())
 
 
+def test_families_of_chained_copies_stay_whole(spark):
+    """Each copy alters the one before it, so leads leave groups of similar size that only pairs across them join."""
+    rng, texts = random.Random(2), []
+    for f in range(40):
+        w = [f"f{f}w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(12):
+            texts.append(" ".join(w))
+            for _ in range(2):
+                w[rng.randrange(200)] = f"n{rng.randrange(10**6)}"
+    rng.shuffle(texts)
+    want = brute.groups(list(enumerate(texts)))
+    got = rows_of(ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")), "doc_id", "component_id")
+    assert got == sorted((d, x[1]) for d, x in want.items())
+
+
 def test_one_document_of_each_group_stays(docs):
     out = ngram_join.one_of_each_group(docs)
     assert out.schema == docs.schema
