@@ -24,8 +24,10 @@ members are 64-bit hashes. No pairs are made inside a group, frequent shingles
 and leads are split over tasks by their counts, and nothing is capped.
 
 Defined cases: null and texts without words have an empty set and no links; a
-text of fewer than four words is one shingle; repeated rows link only their
-document with itself; documents without an id count as one; other columns stay.
+text of fewer than four words is one shingle; rows that share an id, or have none,
+but differ in their texts are documents of their own, told apart by 64 bits; equal rows
+are one. Components are those of ids, where rows without one count as one id. Of the
+documents of a group the one with the smallest id stays; other columns stay.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismatch.llm import words as W
@@ -163,7 +165,7 @@ def _needed(n, m):
     return np.maximum(_shared(np.minimum(n, m)), least - np.maximum(n - _first(n), m - _first(m)))
 
 
-_KEPT = pa.schema([("doc", pa.int64()), ("same", pa.int64()), ("lead", pa.int64()), ("grams", pa.binary()), ("marks", pa.binary())])
+_KEPT = pa.schema([("doc", pa.int64()), ("id", pa.int64()), ("same", pa.int64()), ("lead", pa.int64()), ("grams", pa.binary()), ("marks", pa.binary())])
 
 
 def _keep(sketch) -> object:
@@ -175,14 +177,12 @@ def _keep(sketch) -> object:
         known = shard["shingle"].to_numpy()
         order = np.lexsort((shard["lead"].to_numpy(), known))
         known, leads = known[order], shard["lead"].to_numpy()[order]
-        text, ids = docs["text"].chunk(0), docs["doc"].to_numpy()
+        text, keys, ids = docs["text"].chunk(0), docs["doc"].to_numpy(), docs["id"].to_numpy()
         seen: dict[bytes, int] = {}
-        sets: dict[int, tuple[int, bytes, bytes]] = {}
-        same: list[tuple[int, int]] = []
-        for r in np.argsort(ids, kind="stable").tolist():  # smallest ids first; texts are read in slices below
-            seen.setdefault("order", []).append(r)
-        ranked = text.take(pa.array(seen.pop("order")))
-        ids = np.sort(ids, kind="stable")
+        sets: dict[int, tuple[int, None, int, bytes, bytes]] = {}
+        same: dict[int, tuple[int, int]] = {}
+        order = np.lexsort((keys, ids))  # smallest ids first; texts are read in slices below
+        ranked, keys, ids = text.take(pa.array(order)), keys[order], ids[order]
         for lo, hi in W.slices(ranked):
             gram, begin, first = _ordered(W.words_of(ranked[lo:hi]), sketch.value)
             gram = W.signed(gram)
@@ -193,16 +193,16 @@ def _keep(sketch) -> object:
                 hit = known[np.minimum(place, len(known) - 1)] == front
                 if hit.sum() < _shared((PERCENT * len(own) + 99) // 100):  # no partner is smaller
                     continue
-                doc, raw = int(ids[lo + r]), own.tobytes()
+                doc, raw = int(keys[lo + r]), own.tobytes()
                 kept = seen.setdefault(raw, doc)
                 if kept != doc:
-                    same.append((doc, kept))
+                    same[doc] = (int(ids[lo + r]), kept)
                 elif doc not in sets:
                     marks = np.flatnonzero(hit).astype("<i4")
                     lead, times = np.unique(leads[place[hit]], return_counts=True)
                     best = int(lead[times.argmax()]) if times.max() >= _needed(len(own), len(own)) else doc
-                    sets[doc] = (best, raw, marks.tobytes())
-        rows = [(d, None, *x) for d, x in sets.items()] + [(d, k, None, None, None) for d, k in same]
+                    sets[doc] = (int(ids[lo + r]), None, best, raw, marks.tobytes())
+        rows = [(d, *x) for d, x in sets.items()] + [(d, i, k, None, None, None) for d, (i, k) in same.items()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _KEPT.types, strict=True)], schema=_KEPT) if rows else _KEPT.empty_table()
 
     return keep
@@ -399,14 +399,19 @@ def _reach(joined: DataFrame, by_group: DataFrame) -> DataFrame:
     return direct.select("doc", "main", "hm").unionByName(more).groupBy("doc", "main").agg(F.sum("hm").alias("hm"))
 
 
+def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Tells documents apart: rows that share an id, or have none, may differ in their texts."""
+    return F.xxhash64(order_of(doc_id), F.col(text).cast("string"))
+
+
 def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, root``: every document that links with another one, and the smallest document reachable."""
+    """``doc, id, root``: every document (by ``key_of``) that links with another one, its id, and its group."""
     spark = docs.sparkSession
-    rows = docs.select(block_of(docs, doc_id, text).alias("block"), order_of(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(block_of(docs, doc_id, text).alias("block"), key_of(doc_id, text).alias("doc"), order_of(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch_of(rows.select("text")))
-    firsts = rows.mapInArrow(_first_shingles(sketch), "shingle bigint, block bigint, n bigint, doc bigint")
+    firsts = rows.select("block", "doc", "text").mapInArrow(_first_shingles(sketch), "shingle bigint, block bigint, n bigint, doc bigint")
     shards = firsts.repartition("shingle").mapInArrow(_recurring, "block bigint, shingle bigint, lead bigint")
-    kept = rows.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_keep(sketch), "doc bigint, same bigint, lead bigint, grams binary, marks binary")
+    kept = rows.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_keep(sketch), "doc bigint, id bigint, same bigint, lead bigint, grams binary, marks binary")
     kept = stage(kept, "sets")
     sets = kept.where("same is null").select("doc", "grams")
     links = _compare(kept.where("same is null and lead <> doc").select("doc", "lead"), sets, sketch)
@@ -428,7 +433,7 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"))
     more = _compare(counted.where("c >= need and best >= 0").select("doc", "lead"), sets, sketch)
     same = kept.where("same is not null").select("doc", F.col("same").alias("lead"))
-    return _labels(links.unionByName(more).unionByName(same))
+    return _labels(links.unionByName(more).unionByName(same)).join(kept.select("doc", "id"), "doc")
 
 
 def _sizes(column: pa.Array) -> pa.Array:
@@ -442,12 +447,16 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     """Per document: the size of its set and the smallest document reachable by links."""
     size = F.arrow_udf(_sizes, "bigint")
     sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), order_of().alias("doc"), size(F.col("text").cast("string")).alias("n_shingles"))
-    found = sized.join(similar_groups(docs.select("doc_id", "text")), "doc", "left")
+    groups = similar_groups(docs.select("doc_id", "text"))
+    ids = component_labels(groups.select(F.col("id").alias("entry"), F.col("root").alias("cluster"))).select(F.col("entry").alias("doc"), "root")
+    found = sized.join(ids, "doc", "left")
     component = F.coalesce("root", "doc")
     return found.select("doc_id", "n_shingles", F.when(component != NO_ID, component).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents without those that a smaller one is reachable from; all columns stay as they are."""
-    groups = similar_groups(docs.select("doc_id", "text")).where("doc <> root").select("doc")
-    return docs.withColumn("__doc", order_of()).join(groups.withColumnRenamed("doc", "__doc"), "__doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = stage(similar_groups(docs.select("doc_id", "text")), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "doc"))["doc"].alias("first"))
+    later = skew_safe_lookup(groups, first, "root").where("doc <> first").select(F.col("doc").alias("__doc"))
+    return docs.withColumn("__doc", key_of()).join(later, "__doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -137,6 +137,19 @@ def test_one_document_of_each_group_stays(docs):
     assert {r.doc_id for r in out.collect()} == {d for d, x in brute.groups(CORPUS).items() if d == x[1]}
 
 
+def test_similar_texts_without_or_with_shared_ids(spark):
+    """Rows without an id are documents of their own for deduplication, and so are texts that share an id."""
+    a, b, c, d = (prose(100) for _ in range(4))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a), (None, near(a)), (None, b), (None, near(b)), (None, prose(100)), (None, ""), (5, c), (5, d), (3, near(d)), (5, prose(90)), (6, prose(90))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {(r.doc_id, r.text) for r in ngram_join.one_of_each_group(df).collect()}
+    assert {r for r in rows if r not in kept} - {(None, b), (None, near(b))} == {(None, near(a)), (5, d)}
+    assert len(kept & {(None, b), (None, near(b))}) == 1
+    got = ngram_join.ngram_components(df).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (5, 3), (3, 3), (6, 6)} and len(got) == len(rows)
+
+
 def test_trie_links_equal_set_arithmetic():
     rng = np.random.default_rng(1)
     sketch = rng.integers(0, 50, 1 << ngram_join.SKETCH_BITS)
