@@ -1,8 +1,9 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A text becomes its words, joined by single spaces. Every rule is a regular
-expression over them with a keyword, a priority and a confidence. A text without
-any gate word is done; on the others a rule runs only where its keyword occurs.
+expression over them with keywords, a priority and a confidence. Whatever a rule
+matches holds one of its keywords: a text without any keyword of any rule is done,
+on the others a rule runs only where a keyword of its own occurs.
 Detections are word intervals; one that lies inside another of a stronger rule is
 suppressed. Base phrases are reported whether suppressed or not.
 
@@ -26,13 +27,9 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Words of which a text with a detection holds one.
-GATE = ("licen", "copyright", "gnu ", "gpl", "cc by", "cc0", "public domain", "creative commons", "all rights reserved", "spdx")
-
-
 @dataclass(frozen=True)
 class Rule:
-    """A smaller ``priority`` is stronger."""
+    """A smaller ``priority`` is stronger; ``keyword`` has strings, parted by ``|``, of which every match between spaces holds one."""
 
     label: str
     pattern: str
@@ -50,25 +47,25 @@ FAMILIES = (
     ("apache", r"apache(?: software)? licen[cs]e", "apache", ("1 0", "1 1", "2 0", "2")),
     ("mit", r"(?:the )?(?:mit|expat|x11) licen[cs]e", "mit licen|expat licen|x11 licen", ()),
     ("bsd", r"(?:new |modified |simplified |original )?bsd(?: style)? licen[cs]e", "bsd", ()),
-    ("bsd-2-clause", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd)(?: licen[cs]e)?", "clause", ()),
-    ("bsd-3-clause", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd)(?: licen[cs]e)?", "clause", ()),
-    ("mpl", r"mozilla public licen[cs]e|mpl", "mozilla|mpl", ("1 0", "1 1", "2 0")),
-    ("epl", r"eclipse public licen[cs]e|epl", "eclipse|epl", ("1 0", "2 0")),
+    ("bsd-2-clause", r"(?:bsd (?:2|two) clause|(?:2|two) clause bsd)(?: licen[cs]e)?", " bsd ", ()),
+    ("bsd-3-clause", r"(?:bsd (?:3|three) clause|(?:3|three) clause bsd)(?: licen[cs]e)?", " bsd ", ()),
+    ("mpl", r"mozilla public licen[cs]e|mpl", "mozilla public| mpl ", ("1 0", "1 1", "2 0")),
+    ("epl", r"eclipse public licen[cs]e|epl", "eclipse public| epl ", ("1 0", "2 0")),
     ("cddl", r"common development and distribution licen[cs]e|cddl", "cddl|common development", ("1 0", "1 1")),
     ("cpl", r"common public licen[cs]e", "common public", ("1 0",)),
     ("eupl", r"european union public licen[cs]e|eupl", "eupl|european union public", ("1 0", "1 1", "1 2")),
-    ("artistic", r"(?:the )?(?:perl )?artistic licen[cs]e", "artistic", ("1 0", "2 0")),
+    ("artistic", r"(?:the )?(?:perl )?artistic licen[cs]e", "artistic licen", ("1 0", "2 0")),
     ("isc", r"isc licen[cs]e", "isc licen", ()),
     ("zlib", r"zlib(?: libpng)? licen[cs]e", "zlib", ()),
-    ("bsl", r"boost software licen[cs]e", "boost", ("1 0",)),
-    ("python", r"python software foundation licen[cs]e|psf licen[cs]e", "psf|python software", ("2",)),
+    ("bsl", r"boost software licen[cs]e", "boost software", ("1 0",)),
+    ("python", r"python software foundation licen[cs]e|psf licen[cs]e", "psf licen|python software", ("2",)),
     ("unlicense", r"(?:the )?unlicense", "unlicense", ()),
     ("wtfpl", r"do what the fuck you want to public licen[cs]e|wtfpl", "wtfpl|fuck", ("1", "2")),
     ("postgresql", r"postgresql licen[cs]e", "postgresql", ()),
     ("openssl", r"openssl licen[cs]e", "openssl", ()),
-    ("ofl", r"(?:sil )?open font licen[cs]e|ofl", "open font|ofl", ("1 0", "1 1")),
+    ("ofl", r"(?:sil )?open font licen[cs]e|ofl", "open font| ofl ", ("1 0", "1 1")),
     ("odbl", r"open database licen[cs]e|odbl", "open database|odbl", ("1 0",)),
-    ("ms-pl", r"microsoft public licen[cs]e|ms pl", "microsoft public|ms pl", ()),
+    ("ms-pl", r"microsoft public licen[cs]e|ms pl", "microsoft public| ms pl ", ()),
     ("cc-by", r"cc by|creative commons attribution(?: licen[cs]e)?", "cc by|commons attribution", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-sa", r"cc by sa|creative commons attribution share ?alike(?: licen[cs]e)?", "cc by sa|attribution share", ("1 0", "2 0", "2 5", "3 0", "4 0")),
     ("cc-by-nc", r"cc by nc|creative commons attribution non ?commercial(?: licen[cs]e)?", "cc by nc|attribution non", ("1 0", "2 0", "2 5", "3 0", "4 0")),
@@ -97,7 +94,7 @@ SIGNATURES = (
     ("public-domain", r"(?:released|placed|dedicated|donated) (?:in ?to|to) the public domain", "public domain", 2, 0.9),
     ("public-domain", r"(?:is|are) in the public domain", "public domain", 3, 0.8),
     ("public-domain", r"public domain", "public domain", 6, 0.4),
-    ("proprietary", r"(?:confidential|proprietary) and (?:confidential|proprietary)", "proprietary", 4, 0.6),
+    ("proprietary", r"(?:confidential|proprietary) and (?:confidential|proprietary)", "proprietary and|confidential and", 4, 0.6),
     ("proprietary", r"may not be (?:reproduced|copied|redistributed|distributed) (?:\S+ ){0,8}without (?:\S+ ){0,4}permission", "may not be", 3, 0.7),
     ("all-rights-reserved", r"all rights reserved", "all rights reserved", 5, 0.5),
     ("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 7, 0.3),
@@ -115,7 +112,7 @@ def rules() -> list[Rule]:
     for label, name, keyword, versions in FAMILIES:
         out.append(Rule(label, rf"(?:{name})", keyword, 5, 0.7))
         out.append(Rule(label, rf"{granted}(?:{name})", keyword, 4, 0.85))
-        out.append(Rule(label, rf"(?:spdx )?licen[cs]e identifier {label.replace('-', ' ')}", "identifier", 2, 1.0))
+        out.append(Rule(label, rf"(?:spdx )?licen[cs]e identifier {label.replace('-', ' ')}", "nse identifier|nce identifier", 2, 1.0))
         for v in versions:
             version = rf"(?: version| v)? v?{v}(?! \d)"
             out.append(Rule(f"{label}-{v.replace(' ', '.')}", rf"(?:{granted})?(?:{name}){version}", keyword, 3, 0.95))
@@ -123,6 +120,12 @@ def rules() -> list[Rule]:
     return out
 
 
+def gate_words(using: list[Rule]) -> list[str]:
+    """The fewest strings of which every match of a rule, and every base phrase, holds one."""
+    words = {k for r in using for k in r.keyword.split("|")} | {f" {p} " for p in BASE}
+    return sorted(w for w in words if not any(v in w for v in words - {w}))
+
+
 def normalised(text: Column) -> Column:
     """Lower-cased words joined by single spaces, one space in front and behind; two spaces where there are none."""
     words = F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
@@ -183,7 +186,7 @@ def scan(docs: DataFrame, *, text: str = "text", out: str = "__licenses", using:
     norm = docs.withColumn("__norm", normalised(F.col(text)))
     n = F.col("__norm")
     gate = F.lit(False)
-    for word in GATE + tuple(f" {p.split()[0]} {p.split()[1]}" for p in BASE):
+    for word in gate_words(using):
         gate = gate | F.contains(n, F.lit(word))
     base_kind, found_kind = "array<struct<start:int,end:int,label:string>>", "array<struct<start:int,end:int,label:string,priority:int,weight:double,id:int>>"
     none = F.array().cast(base_kind)

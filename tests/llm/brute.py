@@ -106,6 +106,17 @@ def licenses(docs):
     return out
 
 
+def license_labels(text, rules):
+    """Labels of base phrases and of all detections that no stronger one contains, without any keyword."""
+    norm = f" {' '.join(plain(text))} "
+    found = []
+    for i, r in enumerate(rules):
+        for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= )", norm):
+            found.append((m.start(), m.end(), r.priority, m.start() - m.end(), i, r.label))
+    kept = {d[5] for d in found if not any(e[0] <= d[0] and e[1] >= d[1] and e[2:5] < d[2:5] for e in found)}
+    return ",".join(sorted(kept | {label for phrase, label in LICENSES.items() if f" {phrase} " in norm}))
+
+
 def unigrams(docs):
     """[(doc_id, held_out, n_tokens, n_known, train_tokens, base)]."""
     end, counts = object(), Counter()

@@ -211,6 +211,42 @@ def test_license_base_equals_brute_force(spark):
     assert len(license_scan.rules()) > 200 and got.loc[9, "labels"] == ""
 
 
+def sentence(tree, rng):
+    """A random text that a parsed pattern matches; looks around are left out."""
+    out = ""
+    for op, x in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "IN":
+            kind, value = rng.choice(x)
+            out += chr(value) if str(kind) == "LITERAL" else {"CATEGORY_DIGIT": "4", "CATEGORY_NOT_SPACE": "z"}[str(value)]
+        elif name == "BRANCH":
+            out += sentence(rng.choice(x[1]), rng)
+        elif name == "SUBPATTERN":
+            out += sentence(x[3], rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(sentence(x[2], rng) for _ in range(rng.randint(x[0], min(x[1], x[0] + 2))))
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_every_license_rule_runs_on_its_own_words(spark):
+    """A text that holds nothing but a rule's words gets the labels that all rules without keywords give it."""
+    from re import _parser
+
+    rng, rules = random.Random(5), license_scan.rules()
+    texts = [sentence(_parser.parse(r.pattern), rng) for r in rules for _ in range(4)]
+    texts += ["released under the MPL 2.0", "BSD 3-Clause", "two-clause BSD", "CC Zero", "MS-PL", "confidential and proprietary", "Confidential and confidential", "a simple reply"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.labels, r.score > 0) for r in license_scan.license_digest(rows).collect()}
+    want = [brute.license_labels(t, rules) for t in texts]
+    assert [t for i, t in enumerate(texts) if got[i] != (want[i], want[i] != "")] == []
+    assert all(want[: 4 * len(rules)]) and want[-1] == "" and want[-8:-6] == ["mpl-2.0", "bsd-3-clause"]
+    assert all(any(g in f" {t} " for g in license_scan.gate_words(rules)) for t in texts[:-8])
+
+
 def test_language_is_learned_and_mixtures_are_seen(spark):
     tongues = {n: [f"{n[0]}{a}{b}{n[1]}" for a in "aeiou" for b in "bdklmnrst"] for n in ("xy", "qz", "fj")}
     rng = random.Random(1)
