@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from prismatch.llm.code_index import neighbour_query
 from prismatch.llm.context_mixing import score_documents
 from prismatch.llm.decontaminate import contamination_digest
+from prismatch.llm.fill_middle import MIDDLE_SQL, middle_digest
 from prismatch.llm.language_mix import language_report
 from prismatch.llm.license_scan import license_digest
 from prismatch.llm.ngram_join import ngram_components
+from prismatch.llm.periodic_runs import run_digest
 from prismatch.llm.pieces import PIECE_MODEL, token_digest
 from prismatch.llm.preferences import PREFERENCE_SQL, preference_query
 from prismatch.llm.substring_dedup import substring_digest
+from prismatch.llm.suffix_levels import string_digest
 from prismatch.llm.url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +92,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_context_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_fill_middle", MIDDLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_digest(_table(spark, sf_dir, "documents"))
+
+
+@query("op12_suffix_levels")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_digest(_table(spark, sf_dir, "documents"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(_table(spark, sf_dir, "documents"))

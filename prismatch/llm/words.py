@@ -147,3 +147,19 @@ def gram_rows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def joined_rows(w: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the kept words of every row, with single spaces between, and the rows' offsets."""
+    starts, size = w.starts[kept], (w.ends - w.starts)[kept]
+    first = np.concatenate([[0], np.cumsum(kept)])[w.first]
+    n = np.diff(first)
+    spaces = np.ones(len(size), np.int64)  # one before every word but the first of a row
+    spaces[first[:-1][n > 0]] = 0
+    begin = np.cumsum(size + spaces) - size
+    total = int((size + spaces).sum())
+    out = np.full(total, 0x20, np.uint8)
+    before = np.cumsum(size) - size
+    flat = np.arange(int(size.sum()))
+    out[flat + np.repeat(begin - before, size)] = w.buf[flat + np.repeat(starts - before, size)]
+    return out, np.concatenate([[0], np.cumsum(size + spaces)])[first]
