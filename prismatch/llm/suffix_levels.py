@@ -35,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from prismatch.llm import words as W
-from prismatch.llm.blocks import block_of, order_of
+from prismatch.llm.blocks import NO_ID, block_of
 
 LENGTH = 100
 GRAM = 32
@@ -49,9 +50,9 @@ HOT = 4096
 SLICE_TEXT = 256 << 10
 BATCH = 512
 _PIECE = 256 << 10
-_CONTEXTS = "slice bigint, doc bigint, twin bigint, at int, n int, context binary"
-_RUNS = "doc bigint, twin bigint, s int, e int"
-_CUT = "struct<n_bytes:bigint,n_removed:bigint,spans:array<struct<s:int,e:int>>,kept:binary>"
+_CONTEXTS = "slice bigint, block bigint, doc bigint, twin bigint, at int, n int, context binary"
+_RUNS = "block bigint, doc bigint, twin bigint, s int, e int"
+_CUT_FIELDS = "n_bytes bigint, n_removed bigint, spans array<struct<s:int,e:int>>, kept binary"
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -134,7 +135,7 @@ def _bytes_of(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> pa.Array
 
 def _contexts(n_slices: int):
     """One block: its recurring grams' contexts, each told once, and the runs of strings that the block has earlier."""
-    schema = pa.schema([("slice", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("context", pa.binary())])
+    schema = pa.schema([("slice", pa.int64()), ("block", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("context", pa.binary())])
 
     def extract(docs: pa.Table, keys: pa.Table) -> pa.Table:
         if not docs.num_rows or not keys.num_rows:
@@ -142,7 +143,8 @@ def _contexts(n_slices: int):
         docs, shard = docs.combine_chunks(), keys["gram"].to_numpy()
         order = np.argsort(shard)
         shard, hot = shard[order], keys["hot"].to_numpy()[order]
-        text, ids, twins = docs["text"].chunk(0), docs["doc"].to_numpy(), docs["twin"].to_numpy()
+        text, ids, twins = docs["text"].chunk(0), docs["id"].fill_null(NO_ID).to_numpy(), docs["twin"].to_numpy()
+        number = docs["block"][0].as_py()
         bufs, rows = [], []
         for lo, skipped, buf, offsets in _pieces(text):
             grams = gram_hashes(buf)
@@ -173,16 +175,16 @@ def _contexts(n_slices: int):
         head = np.flatnonzero(new)
         leader = np.repeat(order[head], np.diff(np.r_[head, len(order)]))
         behind = order[(doc[order] > doc[leader]) | (place[order] > place[leader])]
-        out = [_gone(schema, doc[behind], twin[behind], place[behind], place[behind] + n[behind])]
+        out = [_gone(schema, number, doc[behind], twin[behind], place[behind], place[behind] + n[behind])]
         first = order[head]
         for k, buf in enumerate(bufs):
             mine = first[(own[first] == k) & ~split[first]]
             part = np.mod(W.signed(W.mix(key[mine].view(np.uint64))), n_slices)
-            out.append(_table(schema, part, doc[mine], twin[mine], place[mine], n[mine], _bytes_of(buf, start[mine], n[mine] + LENGTH - 1)))
+            out.append(_table(schema, part, number, doc[mine], twin[mine], place[mine], n[mine], _bytes_of(buf, start[mine], n[mine] + LENGTH - 1)))
         mine = first[split[first]]
         pair = np.ascontiguousarray(np.stack([key[mine], whole[mine]], 1)).view(np.uint8).ravel()
         prints = _bytes_of(pair, np.arange(len(mine)) * 16, np.full(len(mine), 16))
-        out.append(_table(schema, n_slices + np.mod(whole[mine], n_slices), doc[mine], twin[mine], place[mine], n[mine], prints))
+        out.append(_table(schema, n_slices + np.mod(whole[mine], n_slices), number, doc[mine], twin[mine], place[mine], n[mine], prints))
         return pa.concat_tables(out)
 
     return extract
@@ -196,24 +198,26 @@ def _fingerprint(grams: np.ndarray, start: np.ndarray) -> np.ndarray:
     return h
 
 
-def _table(schema: pa.Schema, part, doc, twin, place, n, context: pa.Array) -> pa.Table:
-    return pa.table([pa.array(part, pa.int64()), pa.array(doc), pa.array(twin), pa.array(place, pa.int32()), pa.array(n, pa.int32()), context], schema=schema)
+def _table(schema: pa.Schema, part, block: int, doc, twin, place, n, context: pa.Array) -> pa.Table:
+    return pa.table([pa.array(part, pa.int64()), pa.repeat(pa.scalar(block, pa.int64()), len(doc)), pa.array(doc), pa.array(twin), pa.array(place, pa.int32()), pa.array(n, pa.int32()), context], schema=schema)
 
 
-def _merged(doc: np.ndarray, twin: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs [s, e) of starts, those that touch joined."""
-    order = np.lexsort((s, twin, doc))
-    doc, twin, s, e = doc[order], twin[order], s[order], e[order]
+def _merged(s: np.ndarray, e: np.ndarray, *of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs [s, e) of starts with what they belong to; those that touch are joined."""
+    order = np.lexsort((s, *of[::-1]))
+    s, e, of = s[order], e[order], [x[order] for x in of]
     new = np.ones(len(order), bool)  # runs of one document end in the order in which they start
-    new[1:] = (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]) | (s[1:] > e[:-1])
+    new[1:] = s[1:] > e[:-1]
+    for x in of:
+        new[1:] |= x[1:] != x[:-1]
     head = np.flatnonzero(new)
-    return doc[head], twin[head], s[head], np.maximum.reduceat(e, head) if len(head) else e
+    return s[head], np.maximum.reduceat(e, head) if len(head) else e, *(x[head] for x in of)
 
 
-def _gone(schema: pa.Schema, doc: np.ndarray, twin: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Table:
+def _gone(schema: pa.Schema, block: int, doc: np.ndarray, twin: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Table:
     """Runs already known: rows without a context, dealt by document."""
-    doc, twin, s, e = _merged(doc, twin, s, e)
-    return _table(schema, -1 - np.mod(doc, 1 << 20), doc, twin, s, e - s, pa.nulls(len(doc), pa.binary()))
+    s, e, doc, twin = _merged(s, e, doc, twin)
+    return _table(schema, -1 - np.mod(doc, 1 << 20), block, doc, twin, s, e - s, pa.nulls(len(doc), pa.binary()))
 
 
 class Levels:
@@ -262,13 +266,13 @@ class _Slice:
         self.families: dict[int, Levels] = {}
         self.whole: dict[bytes, tuple[int, int]] = {}
 
-    def add(self, doc: np.ndarray, twin: np.ndarray, at: np.ndarray, n: np.ndarray, context: pa.Array) -> tuple[np.ndarray, ...]:
-        """Runs of strings that came before."""
+    def add(self, doc: np.ndarray, at: np.ndarray, n: np.ndarray, context: pa.Array) -> tuple[np.ndarray, ...]:
+        """Runs [s, e) of strings that came before, and the contexts they are from."""
         raw = context.to_pylist()
         seen = [self.whole.setdefault(c, (d, p)) for c, d, p in zip(raw, doc.tolist(), at.tolist(), strict=True)]
         first = np.array(seen, np.int64).reshape(-1, 2)
         known = (doc > first[:, 0]) | (at > first[:, 1])  # equal as a whole
-        out = [(doc[known], twin[known], at[known], (at + n)[known])]
+        out = [(at[known], (at + n)[known], np.flatnonzero(known))]
         rest = np.flatnonzero(~known)
         size = np.array([len(x) for x in raw], np.int64)[rest]
         width = size - n[rest] + 1
@@ -285,57 +289,69 @@ class _Slice:
             order = np.lexsort((p, d))
             earlier = np.empty(len(order), bool)
             earlier[order] = family.add(strings[order], d[order], p[order])
-            out.append((d[earlier], twin[mine][owner][earlier], p[earlier], p[earlier] + 1))
+            out.append((p[earlier], p[earlier] + 1, mine[owner][earlier]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, twin, s, e): starts of removed strings. Rows come sorted by slice, document and place."""
+    """(block, doc, twin, s, e): starts of removed strings. Rows come sorted by slice, document and place."""
     number, current = None, _Slice()
     for b in batches:
-        part, doc, twin, at, n = (b.column(k).to_numpy().astype(np.int64) for k in range(5))
-        known = part < 0
-        runs = [(doc[known], twin[known], at[known], (at + n)[known])]
+        part, block, doc, twin, at, n = (b.column(k).to_numpy().astype(np.int64) for k in range(6))
+        known = np.flatnonzero(part < 0)
+        runs = [(at[known], (at + n)[known], known)]
         edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else part
-        for s, e in zip(edges.tolist(), np.r_[edges[1:], len(part)].tolist(), strict=True):
-            if part[s] < 0:
+        for lo, hi in zip(edges.tolist(), np.r_[edges[1:], len(part)].tolist(), strict=True):
+            if part[lo] < 0:
                 continue
-            if part[s] != number:
-                number, current = part[s], _Slice()
-            for k in range(s, e, BATCH):
-                own = slice(k, min(k + BATCH, e))
-                runs.append(current.add(doc[own], twin[own], at[own], n[own], b.column(5)[own.start : own.stop]))
-        doc, twin, s, e = _merged(*(np.concatenate(x) for x in zip(*runs, strict=True)))
-        yield pa.record_batch([pa.array(doc), pa.array(twin), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["doc", "twin", "s", "e"])
+            if part[lo] != number:
+                number, current = part[lo], _Slice()
+            for k in range(lo, hi, BATCH):
+                own = slice(k, min(k + BATCH, hi))
+                s, e, row = current.add(doc[own], at[own], n[own], b.column(6)[own.start : own.stop])
+                runs.append((s, e, row + k))
+        s, e, row = (np.concatenate(x) for x in zip(*runs, strict=True))
+        s, e, block, doc, twin = _merged(s, e, block[row], doc[row], twin[row])
+        yield pa.record_batch([pa.array(block), pa.array(doc), pa.array(twin), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["block", "doc", "twin", "s", "e"])
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, extra: dict[str, str]) -> DataFrame:
+    """``block, id, twin, text`` and the extra columns by their new names."""
+    value = F.col(f"`{text}`").cast("string")
+    own = [F.col(f"`{old}`").alias(new) for new, old in extra.items()]
+    return docs.select(block_of(docs, doc_id, text).alias("block"), F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.xxhash64(value).alias("twin"), value.alias("text"), *own)
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """``block, id, twin, s, e``: runs [s, e) of byte places at which a string begins that starts earlier in the corpus."""
+    rows = rows.select("block", "id", "twin", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = rows.select("block", "text").mapInArrow(_counts, "gram bigint, block bigint, n bigint")
+    n = F.sum("n").over(Window.partitionBy("gram"))
+    keys = counted.withColumn("n", n).where("n > 1").select("block", "gram", (F.col("n") > HOT).alias("hot"))
+    contexts = rows.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(_contexts(1 + int(total) // SLICE_TEXT), _CONTEXTS)
+    return contexts.repartition("slice").sortWithinPartitions("slice", "doc", "at").mapInArrow(_settle, _RUNS)
 
 
 def repeated_starts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, twin, s, e``: runs [s, e) of byte places at which a string begins that starts earlier in the corpus.
 
-    ``twin`` is the text's hash: rows that share an id, or have none, may differ in their texts.
+    ``twin`` is the text's hash: rows that share an id, or have none (``doc`` is then
+    the largest bigint), may differ in their texts.
     """
-    value = F.col(text).cast("string")
-    rows = docs.select(block_of(docs, doc_id, text).alias("block"), order_of(doc_id).alias("doc"), F.xxhash64(value).alias("twin"), value.alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_slices = 1 + int(total) // SLICE_TEXT
-    counted = rows.select("block", "text").mapInArrow(_counts, "gram bigint, block bigint, n bigint")
-    n = F.sum("n").over(Window.partitionBy("gram"))
-    keys = counted.withColumn("n", n).where("n > 1").select("block", "gram", (F.col("n") > HOT).alias("hot"))
-    contexts = rows.groupBy("block").cogroup(keys.groupBy("block")).applyInArrow(_contexts(n_slices), _CONTEXTS)
-    dealt = contexts.repartition("slice").sortWithinPartitions("slice", "doc", "at")
-    return dealt.mapInArrow(_settle, _RUNS)
+    return _starts(_rows(docs, doc_id, text, {})).drop("block")
 
 
-def _cut(column: pa.Array, runs: pa.Array) -> pa.Array:
+def _cut(column: pa.Array, owner: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
+    """Sizes, removed runs and kept bytes of all texts; runs of starts come sorted by the row that owns them."""
     out = []
     for lo, hi in W.slices(column):
         spare, offsets = W.text_bytes(column[lo:hi], lower=False)
-        own = runs[lo:hi]
-        owner = np.repeat(np.arange(hi - lo), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        s, e = (x.to_numpy(zero_copy_only=False).astype(np.int64) + offsets[owner] for x in own.flatten().flatten())
+        own = slice(*np.searchsorted(owner, (lo, hi)))
+        base = offsets[owner[own] - lo]
         edge = np.zeros(len(spare) - 7, np.int64)
-        np.add.at(edge, s, 1)
-        np.add.at(edge, e - 1 + LENGTH, -1)
+        np.add.at(edge, base + s[own], 1)
+        np.add.at(edge, base + e[own] - 1 + LENGTH, -1)
         gone = np.zeros(len(spare) - 6, bool)  # a kept byte before and behind
         np.greater(np.cumsum(edge)[:-1], 0, out=gone[1:-1])
         begin, end = gone[1:] & ~gone[:-1], gone[:-1] & ~gone[1:]
@@ -350,26 +366,50 @@ def _cut(column: pa.Array, runs: pa.Array) -> pa.Array:
         rest = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(kept[offsets].astype(np.int32)), pa.py_buffer(spare[:-8][~gone[1:-1]])])
         size = np.diff(offsets)
         out.append(pa.StructArray.from_arrays([pa.array(size), pa.array(size - np.diff(kept[offsets])), pa.ListArray.from_arrays(at, spans), rest], ["n_bytes", "n_removed", "spans", "kept"]))
-    return pa.concat_arrays(out)
+    return pa.chunked_array(out)
+
+
+def _row_keys(doc: np.ndarray, twin: np.ndarray) -> np.ndarray:
+    return W.mix(doc.view(np.uint64) * W._P1) + twin.view(np.uint64)
+
+
+def _cutter(columns: list[str]):
+    """One block: the given columns of its rows, and what is cut from their texts."""
+
+    def cut(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        key = _row_keys(docs["id"].fill_null(NO_ID).to_numpy(), docs["twin"].to_numpy())
+        order = np.argsort(key, kind="stable")
+        wanted = _row_keys(*(np.ascontiguousarray(runs[c].to_numpy()) for c in ("doc", "twin"))) if runs.num_rows else key[:0]
+        lo, hi = np.searchsorted(key[order], wanted, "left"), np.searchsorted(key[order], wanted, "right")
+        n = hi - lo  # rows alike share their runs
+        of = np.repeat(np.arange(len(wanted)), n)
+        owner = order[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        sort = np.argsort(owner, kind="stable")
+        s, e = (runs[c].to_numpy().astype(np.int64)[of][sort] if runs.num_rows else np.zeros(0, np.int64) for c in ("s", "e"))
+        found = _cut(docs["text"].combine_chunks(), owner[sort], s, e)
+        return pa.table([*(docs[c] for c in columns), found], names=[*columns, "cut"])
+
+    return cut
+
+
+def _cut_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of ``_rows`` and struct ``cut``; texts and runs meet by block, as texts and grams did."""
+    schema = StructType([f for f in rows.schema if f.name in columns]).add("cut", StructType.fromDDL(_CUT_FIELDS))
+    return rows.groupBy("block").cogroup(_starts(rows).groupBy("block")).applyInArrow(_cutter([f.name for f in schema][:-1]), schema)
 
 
 def cut_strings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", out: str = "cut") -> DataFrame:
     """Add struct ``out``: ``n_bytes``, ``n_removed``, ``spans`` (maximal removed runs of bytes, end exclusive) and ``kept`` (the other bytes)."""
     if out in docs.columns:
         raise ValueError(f"column {out} exists")
-    doc, twin, runs = (f"{out} {x}" for x in ("doc", "twin", "runs"))  # names that no column of ``docs`` has
-    while {doc, twin, runs} & set(docs.columns):
-        doc, twin, runs = (f"{x} " for x in (doc, twin, runs))
-    found = repeated_starts(docs, doc_id=doc_id, text=text).groupBy(F.col("doc").alias(doc), F.col("twin").alias(twin)).agg(F.collect_list(F.struct("s", "e")).alias(runs))
-    rows = docs.withColumns({doc: order_of(doc_id), twin: F.xxhash64(F.col(text).cast("string"))})
-    cut: Column = F.arrow_udf(_cut, _CUT)(F.col(text).cast("string"), F.col(f"`{runs}`"))
-    return rows.join(found, [doc, twin], "left").withColumn(out, cut).drop(doc, twin, runs)
+    extra = {f"c{k}": c for k, c in enumerate(docs.columns)}
+    found = _cut_rows(_rows(docs, doc_id, text, extra), list(extra))
+    return found.select(*[F.col(new).alias(old) for new, old in extra.items()], F.col("cut").alias(out))
 
 
 def string_digest(docs: DataFrame) -> DataFrame:
     """Per document: its bytes, those removed, the number of removed runs and the digest of the rest."""
-    found = cut_strings(docs.select("doc_id", "text"))
+    found = _cut_rows(_rows(docs, "doc_id", "text", {}), ["id"])
     return found.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "cut.n_bytes", "cut.n_removed", F.size("cut.spans").cast("bigint").alias("n_spans"),
-        F.sha2("cut.kept", 256).alias("kept_sha256"),
-    )
+        F.col("id").alias("doc_id"), "cut.n_bytes", "cut.n_removed", F.size("cut.spans").cast("bigint").alias("n_spans"), F.sha2("cut.kept", 256).alias("kept_sha256")
+    )
