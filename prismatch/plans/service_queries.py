@@ -22,8 +22,7 @@ HOUR = 3600.0
 
 
 def _folder(spark, label: str) -> str:
-    root = staging_root(spark).removeprefix("file://").removeprefix("file:")
-    return f"{root.rstrip('/')}/prismatch-{label}-{uuid.uuid4().hex}"
+    return f"{staging_root(spark).rstrip('/')}/prismatch-{label}-{uuid.uuid4().hex}"
 
 
 # one hour of the event log plays one second of traffic
@@ -117,8 +116,8 @@ def npz_source(spark, sf):
     """Embeddings written as npz parts and read back by the data source."""
     folder = _folder(spark, "npz")
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("render_id"), F.col("embedding").alias("emb"))
-    Arch.write_npz(e, folder, half=False).count()
-    back = Arch.read_npz(spark, folder + "/*.npz")
+    Arch.write_npz(e, folder, half=False, rows_per_part=4096)
+    back = Arch.read_npz(spark, folder + "/*.npz", split_bytes=256 << 10)
     one = F.aggregate("emb", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return back.agg(F.count("*").alias("n"), F.count_distinct("render_id").alias("ids"), F.min(F.size("emb")).cast("bigint").alias("dim"), F.round(F.sum(one), 4).alias("total"))
 
@@ -130,13 +129,25 @@ def tar_source(spark, sf):
     langs = ("en", "fr", "de", "es")
     code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
     d = table(spark, sf, "documents").select(code.alias("shard"), F.concat(F.col("doc_id"), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
-    Arch.write_tar_parts(d, folder, members_per_part=200).count()
-    back = Arch.read_tar(spark, folder + "/*.tar", suffix=".txt")
+    Arch.write_tar_parts(d, folder, members_per_part=200)
+    back = Arch.read_tar(spark, folder + "/*.tar", suffix=".txt", split_bytes=256 << 10)
     shard = F.regexp_extract("archive", r"shard_(\d+)_", 1).cast("int")
     return back.groupBy(F.element_at(F.array(*map(F.lit, langs)), shard).alias("shard")).agg(
         F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min(F.sha2("content", 256)).alias("first_hash"))
 
 
+@query("archive_parts", """WITH r AS (SELECT lang, floor((row_number() OVER (PARTITION BY lang ORDER BY doc_id || '.txt') - 1) / 100) AS p FROM documents)
+SELECT lang AS shard, CAST(p AS BIGINT) AS part, count(*) AS n_rows FROM r GROUP BY ALL""")
+def archive_parts(spark, sf):
+    """What the tar writer reports as committed: every part with its members."""
+    langs = ("en", "fr", "de", "es")
+    code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int")
+    d = table(spark, sf, "documents").select(code.alias("shard"), F.concat(F.col("doc_id"), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
+    done = Arch.write_tar_parts(d, _folder(spark, "parts"), members_per_part=100)
+    shard = F.element_at(F.array(*map(F.lit, langs)), F.regexp_extract("part", r"shard_(\d+)_", 1).cast("int"))
+    return done.select(shard.alias("shard"), F.regexp_extract("part", r"_p(\d+)", 1).cast("bigint").alias("part"), F.col("rows").alias("n_rows"))
+
+
 @query("cluster_file", r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 t AS (SELECT doc_id, line_no, unnest(list_filter(regexp_split_to_array(trim(line, E' \t\r\x0b\x0c'), '[\t\r\x0b\x0c ]+'), lambda x: x <> '')) AS token FROM l)
 SELECT doc_id, count(DISTINCT (line_no, lower(split_part(token, '_', 1)))) AS n_edges FROM t GROUP BY 1""")

@@ -1,18 +1,22 @@
 """Sources, sinks, admission, streams, catalogue."""
 
+import io
 import json
 import os
+import tarfile
 import zipfile
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from prismatch.contracts import ContractError
+from prismatch.plans import catalogue
 from prismatch.sources import archives as A
 from prismatch.sources import records as Rec
 from prismatch.sources import sinks as K
@@ -84,6 +88,67 @@ def test_npz_and_tar(spark, tmp_path):
     assert A.pending_archives(web.select("archive").distinct(), done).count() == 3
 
 
+def test_archives_are_read_in_ranges(spark, tmp_path):
+    """Every row and member once, for all range sizes, with and without an index, compressed or not, by URI."""
+    x = np.arange(900, dtype=np.float32).reshape(300, 3) + 1
+    ids = np.array([f"id{i}" for i in range(300)])
+    np.savez(tmp_path / "a.npz", render_id=ids, emb=x.astype(np.float16))
+    np.savez_compressed(tmp_path / "b.npz", emb=x, render_id=ids.astype("S"))
+    body = {f"m{i:03d}" + ("/" + "n" * 150 if i % 9 == 0 else ""): os.urandom(i * 7 % 2000) for i in range(120)}
+    for name, mode in (("c.tar", "w"), ("d.tgz", "w:gz")):
+        with tarfile.open(tmp_path / name, mode) as tar:
+            for m, content in body.items():
+                info = tarfile.TarInfo(m)
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+    here = f"file://{tmp_path}"
+    for split in (1 << 26, 1100, 20_000):
+        for name in ("a.npz", "b.npz"):
+            df = A.read_npz(spark, f"{here}/{name}", split_bytes=split)
+            assert df.rdd.getNumPartitions() > 1 or split > 1100
+            got = df.toPandas()
+            assert sorted(got.render_id) == sorted(ids) and np.isclose(np.stack(got.emb).sum(), x.astype(np.float16 if name == "a.npz" else np.float32).astype(np.float64).sum())
+        for name in ("c.tar", "d.tgz"):
+            got = A.read_tar(spark, f"{here}/{name}", split_bytes=split).collect()
+            assert len(got) == 120 and {r.member: bytes(r.content) for r in got} == body
+    rows = spark.createDataFrame([(3, m, bytearray(c)) for m, c in body.items()], "shard int, member string, content binary")
+    parts = A.write_tar_parts(rows, f"{here}/out", members_per_part=50).collect()
+    assert sorted(tuple(p) for p in parts) == [("shard_003_p00", 50), ("shard_003_p01", 50), ("shard_003_p02", 20)]
+    got = A.read_tar(spark, f"{here}/out/*.tar", split_bytes=3000).collect()
+    assert len(got) == 120 and {r.member: bytes(r.content) for r in got} == body
+    direct = spark.read.format("tar").option("path", f"{tmp_path}/out/*.tar").option("split_bytes", 9000).load()
+    assert direct.count() == 120
+    with pytest.raises(FileNotFoundError):
+        A.read_npz(spark, f"{here}/none*.npz")
+
+
+def test_commit_keeps_one_attempt_and_abort_none(spark, tmp_path, monkeypatch):
+    class Task:
+        def __init__(self, attempt):
+            self.attempt = attempt
+
+        def partitionId(self):
+            return 0
+
+        def taskAttemptId(self):
+            return self.attempt
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), pa.array([[1.0, 2.0]] * 3, pa.list_(pa.float32()))], names=["render_id", "emb"])
+    writer = A.NpzWriter({"path": str(tmp_path / "w"), "rows_per_part": "2"}, False)
+    messages = []
+    for attempt in (7, 8):  # the second one runs as well, as after a lost executor
+        monkeypatch.setattr("pyspark.TaskContext.get", lambda attempt=attempt: Task(attempt))
+        messages.append(writer.write(iter([batch])))
+    writer.commit([messages[1], None])
+    assert len([f for f in os.listdir(tmp_path / "w") if f.endswith(".npz")]) == 2
+    assert sorted(os.listdir(tmp_path / "w"))[0].startswith("manifest") and len(os.listdir(tmp_path / "w")) == 3
+    monkeypatch.undo()
+    bad = spark.createDataFrame([("a", [0.0, 0.0]), ("b", [1.0, 1.0])], "render_id string, emb array<float>").repartition(2)
+    with pytest.raises(Exception, match="not zero"):
+        A.write_npz(bad, str(tmp_path / "bad"))
+    assert os.listdir(tmp_path / "bad") == []
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "render_id string, emb array<float>")
     K.write_embeddings(df, str(tmp_path / "e"), 2)
@@ -179,8 +244,9 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_catalogue_shape():
-    queries, sql = entry.queries(), entry.oracle_sql()
+    queries, sql = catalogue.QUERIES, catalogue.ORACLES
     assert set(sql) <= set(queries) and len(queries) > 100
+    assert set(queries) <= set(entry.queries()) and set(sql) <= set(entry.oracle_sql())
     no_twin = set(queries) - set(sql)
     assert len(no_twin) < 15, sorted(no_twin)
 
