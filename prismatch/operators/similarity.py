@@ -1,7 +1,7 @@
 """Exact cosine search as tiles of a matrix product.
 
 The gallery is laid out once as an index: blocks of whole entries, one Parquet
-row per block with a float32 matrix. An entry with more than ``hot_rows`` images
+row per block with a float32 matrix of at most ``BLOCK_BYTES``. An entry with more than ``hot_rows`` images
 is spread over several blocks; such blocks report partial results that Spark
 merges, so no entry has to fit into one task. Queries reach the blocks in parts:
 they are staged, and parts of at most ``BROADCAST_BYTES`` (by their row count)
@@ -22,6 +22,7 @@ of the block, or the partial sums of a loss.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prismatch.session import stage
+from prismatch.session import stage, staging_root
 
 BROADCAST_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20  # of one block's matrix, and so of one row of the index
 HELD_ROWS = 1 << 20  # result rows that a task holds before it merges them
 TILE_CELLS = 2_000_000  # similarities held at once by a task (16 MB of doubles)
 EPS = 1e-12
@@ -136,18 +138,20 @@ def build_index(
     sessions can use :func:`open_index`.
     """
     spark = gallery.sparkSession
-    hot_rows = hot_rows or max(block_rows // 4, 1)
+    given, largest = hot_rows, block_rows
     src = gallery.select(F.col(entry).alias("entry"), F.col(image).alias("image"), F.col(vector).alias("vector"))
     etype, itype = _key_type(src, "entry"), _key_type(src, "image")
     src = src.withColumn("entry", F.col("entry").cast(etype)).withColumn("image", F.col("image").cast(itype))
     sizes = src.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim"))
-    stats = sizes.agg(
-        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("entries"), F.max("dim").alias("dim"),
-        F.count_if(F.col("n") > hot_rows).alias("hot"),
-    ).first()
+    top = F.max("dim").alias("dim")
+    fit = F.greatest(F.lit(1), F.least(F.lit(largest), F.floor(BLOCK_BYTES / (4 * F.greatest(F.col("dim"), F.lit(1))))))
+    many = F.lit(given) if given else F.greatest(F.floor(fit / 4), F.lit(1))
+    stats = sizes.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("entries"), top, F.count_if(F.col("n") > many).alias("hot")).first()
     if not stats["rows"]:
         raise ValueError("the gallery is empty")
     n_rows, dim = int(stats["rows"]), int(stats["dim"])
+    block_rows = max(1, min(largest, BLOCK_BYTES // (4 * max(dim, 1))))
+    hot_rows = given or max(block_rows // 4, 1)
     cores = spark.sparkContext.defaultParallelism
     n_blocks = max(math.ceil(n_rows / block_rows), min(cores, math.ceil(n_rows / 256)))
     if stats["hot"]:
@@ -180,11 +184,10 @@ def build_index(
     ])
     packed = src.groupBy("block").applyInArrow(pack, schema)
     packed = packed.withColumn("n_entries", F.lit(int(stats["entries"]))).withColumn("n_blocks", F.lit(n_blocks))
-    if path:
-        packed.write.mode("errorifexists").parquet(path)
-        blocks = spark.read.schema(packed.schema).parquet(path)
-    else:
-        blocks = stage(packed, "index")
+    path = path or f"{staging_root(spark).rstrip('/')}/prismatch-index-{uuid.uuid4().hex}"
+    # a row is a block of megabytes: close row groups by size from the first row on
+    packed.write.mode("errorifexists").options(**{"parquet.block.size": 4 * BLOCK_BYTES, "parquet.page.size.row.check.min": 1}).parquet(path)
+    blocks = spark.read.schema(packed.schema).parquet(path)
     return GalleryIndex(blocks, etype, itype, dim, n_rows, int(stats["entries"]), n_blocks, stats["hot"] > 0)
 
 
