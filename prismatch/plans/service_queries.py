@@ -57,8 +57,8 @@ def _bucket_sql(name: str, source: str, part: str, caps: tuple[int, int], rates:
 @query("token_bucket", "WITH RECURSIVE " + _REQ + ", " + _bucket_sql("c", "req", "client || '/' || kind", (3, 3), (10, 12)) + " SELECT id, wait FROM c_w WHERE n > 0")
 def token_bucket(spark, sf):
     """Per-client buckets only."""
-    wide = {k: Adm.Limit(1e9, 1e12) for k in CLIENT}
-    return Adm.admit(_requests(spark, sf), client_limits=CLIENT, global_limits=wide).select("id", "wait")
+    rows = _requests(spark, sf).withColumn("us", F.round(F.col("ts") * Adm.MICROS).cast("bigint"))
+    return Adm.bucket_waits(rows, ["client", "kind"], CLIENT).select("id", "wait")
 
 
 @query("admission", "WITH RECURSIVE " + _REQ + ", " + _bucket_sql("c", "req", "client || '/' || kind", (3, 3), (10, 12)) + """,

@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import os
 import tarfile
 import zipfile
@@ -199,8 +200,10 @@ def admit_loop(pdf, max_clients=10_000, idle=600.0):
         for store, limits in ((own, Adm.CLIENT_LIMITS), (shared, Adm.GLOBAL_LIMITS)):
             lim = limits[r.kind]
             tokens, at = store.get(r.kind, (float(lim.capacity), r.ts))
-            tokens, wait = lim.take(tokens, at, r.ts)
-            store[r.kind] = (tokens, r.ts)
+            rate = lim.per_minute / 60
+            tokens = min(lim.capacity, tokens + max(0.0, r.ts - at) * rate)
+            wait = max(1, math.ceil((1 - tokens) / rate)) if tokens < 1 else 0
+            store[r.kind] = (tokens if wait else tokens - 1, r.ts)
             if wait:
                 break
         seen[r.client] = (r.ts, own)
