@@ -246,6 +246,58 @@ def test_stream_equals_batch(spark, tmp_path):
     assert dict(zip(got.id, got.wait)) == dict(zip(want.id, want.wait.astype(int)))
 
 
+def test_dense_traffic_is_cut_without_pauses(spark):
+    """Requests never pause for a whole refill, yet the shared timeline falls into many pieces; a flood is one."""
+    rng = np.random.default_rng(5)
+    us = np.cumsum(rng.exponential(2.5e6, 3000)).astype(int)
+    flood = us[-1] + np.arange(1, 500) * 1000
+    rows = pd.DataFrame({"id": range(3499), "client": "c", "kind": "search", "us": np.concatenate([us, flood])})
+    limits = {"search": Adm.Limit(6, 30)}
+    got = Adm.with_pieces(spark.createDataFrame(rows), ["kind"], limits).toPandas().sort_values("id")
+    assert got.piece.nunique() > 300 and np.diff(us).max() < 1e6 * 60 and got.piece.tail(499).nunique() == 1
+    waits = Adm.bucket_waits(spark.createDataFrame(rows), ["kind"], limits).toPandas().sort_values("id").wait.to_numpy()
+    alone, _, _ = Adm.take(rows.us.to_numpy(), 0, int(rows.us[0]), limits["search"])
+    assert (waits == alone).all() and (waits > 0).sum() > 480
+
+
+def test_taking_in_steps_equals_one_by_one():
+    rng = np.random.default_rng(2)
+    for k in range(60):
+        limit = Adm.Limit(int(rng.integers(1, 9)), int(rng.integers(1, 90)))
+        us = np.cumsum(rng.integers(0, 4_000_000 if k % 2 else 60_000, 300))
+        token, refill = limit.units
+        backlog, at, want = 0, int(us[0]), []
+        for t in us.tolist():
+            backlog, at = max(0, backlog - refill * (t - at)), t
+            lack = backlog - limit.room
+            want.append(max(1, -(-lack // (refill * Adm.MICROS))) if lack > 0 else 0)
+            backlog += 0 if want[-1] else token
+        half = Adm.take(us[:170], 0, int(us[0]), limit)
+        rest = Adm.take(us[170:], *half[1:], limit)
+        assert [*half[0], *rest[0]] == want
+
+
+def test_admission_stream_equals_batch(spark, tmp_path):
+    """Shuffled micro-batches, three stages; state goes once its clients were idle."""
+    pdf = traffic(3, 240, 12, 0.6).assign(ts=lambda d: d.ts.round(3))
+    late = pd.DataFrame({"id": [900, 901, 902], "client": "z", "kind": "api", "ts": pdf.ts.max() + np.array([700.0, 1400.0, 2200.0])})
+    micros = F.timestamp_micros(F.round(F.col("ts") * 1_000_000).cast("bigint"))
+    parts = [x.sample(frac=1, random_state=1) for x in np.array_split(pdf, 3)] + [late.iloc[[k]] for k in range(3)]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part).select("id", "client", "kind", micros.alias("time")).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    src = spark.readStream.schema("id long, client string, kind string, time timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    out = Adm.admission_stream(src, max_clients=8, delay="90 seconds")
+    q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination(240)
+    got = spark.read.parquet(str(tmp_path / "out")).toPandas().set_index("id")
+    want = Adm.admit(spark.createDataFrame(pd.concat([pdf, late])), max_clients=8).toPandas().set_index("id").drop(index=902)
+    assert got.wait.sort_index().tolist() == want.wait.sort_index().astype(int).tolist()
+    assert got.reason.fillna("").sort_index().tolist() == want.reason.fillna("").sort_index().tolist()
+    assert {"full", "client", "global"} & set(got.reason) >= {"full", "client"}
+    left = sum(o["numRowsTotal"] for o in q.recentProgress[-1]["stateOperators"])
+    assert left <= 16  # of thirteen clients only the last one's states are there
+
+
 def test_catalogue_shape():
     queries, sql = catalogue.QUERIES, catalogue.ORACLES
     assert set(sql) <= set(queries) and len(queries) > 100
