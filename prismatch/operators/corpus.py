@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismatch.functions.text import holding_path
 from prismatch.operators.graph import skew_safe_lookup
 from prismatch.operators.ordering import with_position
+from prismatch.operators.selection import values_at
 from prismatch.session import stage
 
 # Unresolved entries sort last; fetch shards; object limits.
@@ -60,12 +61,17 @@ def coverage_verdict(edges: DataFrame, kept: DataFrame, n_clusters: int | None =
 
 
 def order_statistics(df: DataFrame, value: str, key: str, fractions: dict[str, float]) -> DataFrame:
-    """Values at place ``int(n * fraction)`` of the sorted column (one row, with ``n_with`` and ``n_without``)."""
+    """Values at place ``int(n * fraction)`` of the sorted column (one row, with ``n_with`` and ``n_without``).
+
+    Selected digit by digit in scans of the one column, without a sort. ``key``
+    would break ties, which cannot change a value.
+    """
     counts = df.agg(F.count(value).alias("n_with"), F.count_if(F.col(value).isNull()).alias("n_without"))
-    placed = with_position(df.where(F.col(value).isNotNull()).select(value, key), [F.col(value), F.col(key)], "__i")
-    hit = placed.join(F.broadcast(counts)).agg(
-        *[F.max(F.when(F.col("__i") == F.floor(F.col("n_with") * f), F.col(value))).alias(n) for n, f in fractions.items()])
-    return counts.join(F.broadcast(hit))
+    n = counts.first()["n_with"]
+    places = {name: int(n * f) for name, f in fractions.items()}
+    found = values_at(df, value, sorted({p for p in places.values() if p < n}))
+    known = dict(zip(sorted({p for p in places.values() if p < n}), found, strict=True))
+    return counts.select("*", *[F.lit(known.get(p)).cast("double").alias(name) for name, p in places.items()])
 
 
 def object_flags(df: DataFrame) -> DataFrame:

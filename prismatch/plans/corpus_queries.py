@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prismatch.contracts import checked_join
 from prismatch.functions import text as X
 from prismatch.functions import vectors as V
+from prismatch.functions.canonical import canonical_json, fingerprint
 from prismatch.operators import corpus as C
 from prismatch.operators import crops as Crops
 from prismatch.operators import graph as G
@@ -15,6 +16,7 @@ from prismatch.operators import metrics as M
 from prismatch.operators import packing as P
 from prismatch.operators import splits as S
 from prismatch.operators.ordering import with_position, with_running_total
+from prismatch.operators.selection import bottom_k, values_at
 from prismatch.plans import views
 from prismatch.plans.registry import query
 from prismatch.plans.views import table
@@ -208,6 +210,45 @@ def resolution_quantiles(spark, sf):
     return C.order_statistics(_cover(spark, sf)[1], "resolution", "entry", {"median": 0.5, "p90": 0.9})
 
 
+def _subsample_sql(limit: int, seed: int) -> str:
+    return f"""WITH {views.MANIFEST_SQL}, r AS (SELECT split, render_id, row_number() OVER (PARTITION BY split ORDER BY substr(sha256('{seed}:' || render_id), 1, 15), render_id) AS n FROM manifest)
+SELECT split, render_id FROM r WHERE n <= CASE WHEN split = 'train' THEN {limit} ELSE {max(1, limit // 4)} END"""
+
+
+@query("seeded_subsample", _subsample_sql(200, 7))
+def seeded_subsample(spark, sf):
+    """A limited run's rows: the limit for training, a quarter of it for each other split."""
+    m = views.manifest(spark, sf).select("split", "render_id")
+    return bottom_k(m, {"train": 200, "val": 50, "test": 50}, ["render_id"], 7, by="split")
+
+
+@query("price_order_statistics", """WITH s AS (SELECT list_sort(list(l_extendedprice * (1 - l_discount))) AS v FROM lineitem)
+SELECT p AS place, v[p + 1] AS price FROM (SELECT v, unnest([0, len(v) // 4, len(v) // 2, (len(v) * 9) // 10, len(v) - 1]) AS p FROM s)""")
+def price_order_statistics(spark, sf):
+    """Order statistics of a computed double column by radix selection."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("price"))
+    n = rows.count()
+    places = [0, n // 4, n // 2, n * 9 // 10, n - 1]
+    return spark.createDataFrame(list(zip(places, values_at(rows, "price", places), strict=True)), "place bigint, price double")
+
+
+@query("config_fingerprint", r"""WITH t AS (SELECT p_partkey, '{"attributes": {"brand": "' || p_brand || '", "size": ' || p_size || ', "type": "' || p_type || '"}, "batch_size": ' || p_size % 7
+ || ', "by_key": {"a' || p_size % 3 || '": ' || p_size || ', "b": null}, "flag": ' || CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END || ', "name": "' || p_name || '", "steps": [' || p_size || ', ' || p_size + 1 || ']}' AS blob FROM part)
+SELECT p_partkey, blob, substr(sha256(blob || '|lr=' || CAST(p_partkey % 10 AS VARCHAR)), 1, 16) AS print FROM t""")
+def config_fingerprint(spark, sf):
+    """Canonical JSON of nested settings whose fields are declared in no particular order, and its fingerprint."""
+    size = F.col("p_size")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", F.col("p_name").alias("name"), F.array(size, size + 1).alias("steps"), (size % 2 == 0).alias("flag"), (size % 7).alias("batch_size"),
+        F.create_map(F.lit("b"), F.lit(None).cast("int"), F.concat(F.lit("a"), size % 3), size).alias("by_key"),
+        F.struct(F.col("p_type").alias("type"), F.col("p_brand").alias("brand"), size.alias("size")).alias("attributes"))
+    names = [c for c in rows.columns if c != "p_partkey"]
+    rate = F.concat(F.lit("|lr="), (F.col("p_partkey") % 10).cast("string"))
+    whole = F.struct(*names)
+    blob = canonical_json(whole, rows.select(whole.alias("x")).schema["x"].dataType)
+    return rows.select("p_partkey", blob.alias("blob"), fingerprint(rows, names, suffix=rate).alias("print"))
+
+
 _OBJ = """WITH idx AS (
   SELECT o_orderkey AS pdb_id, CAST(floor(o_totalprice / 10) AS BIGINT) AS au_atoms, CAST(floor(o_totalprice) AS BIGINT) % 97 AS au_res,
          CAST(coalesce(asm, 0) AS BIGINT) AS asm1_atoms, coalesce(n, 0) * 12 AS asm1_res,

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from prismatch import contracts
 from prismatch.functions import vectors as V
+from prismatch.operators import exact as E
 from prismatch.operators import metrics as M
 from prismatch.operators import retrieval as R
 from prismatch.operators import similarity as sim
 from prismatch.plans import views
 from prismatch.plans.registry import query
+from prismatch.session import stage
 
 KS = (1, 5, 10, 20)
 
@@ -227,6 +229,34 @@ def subset_metrics(spark, sf):
     return out.drop("mean_rank", "n_ranked")
 
 
+@query("recomputed_metrics", _CROP_RANKS + _SUBSETS + " SELECT subset, count(*) AS n, " + ", ".join(
+    f"count(*) FILTER (rank <= {k}) AS hit_at_{k}" for k in (1, 5, 10, 20, 50))
+    + ", round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 9) AS mrr, CAST(0 AS BIGINT) AS n_different FROM members GROUP BY 1")
+def recomputed_metrics(spark, sf):
+    """Metrics of the report from the stored ranks by exact sums, and how many differ from the report by more than 1e-12."""
+    crops, cov, index = _coverage(spark, sf)
+    ks = (1, 5, 10, 20, 50)
+    rows = stage(M.subset_memberships(R.best_source_rank(crops.drop("emb"), cov)).select("subset", "best_source_rank"), "members")
+    report = M.rank_metrics(rows, rank="best_source_rank", ks=ks, group=["subset"], max_rank=index.n_entries)
+    again = stage(E.recomputed_metrics(rows, ["subset"], "best_source_rank", ks), "recomputed")
+    bad = E.disagreements(report, again, ["subset"], [*[f"r_at_{k}" for k in ks], *[f"hit_at_{k}" for k in ks], "mrr"], 1e-12)
+    n_bad = bad.groupBy("subset").agg(F.count(F.lit(1)).alias("n_different"))
+    return again.join(n_bad, "subset", "left").select(
+        "subset", "n", *[f"hit_at_{k}" for k in ks], F.round("mrr", 9).alias("mrr"), F.coalesce("n_different", F.lit(0)).alias("n_different"))
+
+
+@query("recomputed_scores", scores_sql(V0_QUERIES, V0_GALLERY, 5) + """
+SELECT query_id, entry, score AS recomputed, true AS agrees FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry) AS rank FROM scores) WHERE rank <= 20""")
+def recomputed_scores(spark, sf):
+    """Top-5 pooled scores of stored hits, once more from the vectors alone, within 2e-6 of what the search stored."""
+    q, g = R.same_split(views.manifest(spark, sf), R.VIEW0_QUERY)
+    hits = stage(sim.top_hits(sim.build_index(g), q, k=20, rule="top5", query_id="render_id"), "hits")
+    again = E.recomputed_scores(hits, q, g, k=5)
+    both = hits.select("query_id", "entry", "score").join(again, ["query_id", "entry"], "left")
+    near = F.coalesce(F.abs(F.col("score") - F.col("recomputed")) <= 2e-6, F.lit(False))
+    return both.select("query_id", "entry", F.round("recomputed", 6).alias("recomputed"), near.alias("agrees"))
+
+
 @query("population_counts", _CROP_RANKS + _SUBSETS + """ SELECT count(*) AS n_queries, count(DISTINCT source_id) AS n_source_figures,
  count(*) FILTER (cov) AS n_any_source_present, count(*) FILTER (NOT cov) AS n_no_source_present,
  count(*) FILTER (mapping_status = 'panel_candidates') AS n_accession_unresolved,

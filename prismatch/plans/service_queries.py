@@ -71,6 +71,32 @@ def admission(spark, sf):
     return out.select("id", "wait", F.coalesce("reason", F.lit("admitted")).alias("outcome"))
 
 
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query("admission_stream", "WITH RECURSIVE " + _REQ + ", " + _bucket_sql("c", "req", "client || '/' || kind", (3, 3), (10, 12)) + """,
+passed AS (SELECT req.* FROM req JOIN c_w USING (id) WHERE c_w.wait = 0), """ + _bucket_sql("g", "passed", "kind", (6, 10), (30, 60)) + """
+SELECT c.id, CASE WHEN c.wait > 0 THEN c.wait ELSE g.wait END AS wait, CASE WHEN c.wait > 0 THEN 'client' WHEN g.wait > 0 THEN 'global' ELSE 'admitted' END AS outcome
+FROM c_w c LEFT JOIN g_w g ON g.id = c.id JOIN req r ON r.id = c.id WHERE c.n > 0 AND r.ts < (SELECT max(ts) FROM req) - 5""")
+def admission_stream(spark, sf):
+    """The events as a stream through the three stateful stages; what the watermark, five seconds behind, has passed."""
+    path, folder = f"{sf}/events.parquet", _folder(spark, "stream")
+    src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / HOUR
+    rows = src.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("client"),
+                      F.when(F.col("event_type") == "click", "search").otherwise("api").alias("kind"), F.timestamp_micros(F.round(micros).cast("bigint")).alias("time"))
+    out = Adm.admission_stream(rows, client_limits=CLIENT, global_limits=SHARED, delay="5 seconds")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, _ROCKS)
+    try:
+        run = out.writeStream.format("parquet").option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start(folder + "/out")
+    finally:
+        spark.conf.set(key, before)
+    run.awaitTermination()
+    return spark.read.parquet(folder + "/out").select("id", "wait", F.coalesce("reason", F.lit("admitted")).alias("outcome"))
+
+
 _PAGE = r"""WITH r AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'Other.example.com:8080' ELSE regexp_extract(url, '^[a-z]+://([^/]+)', 1) || ':443' END AS host,
  len(url) * (CASE WHEN page_id % 11 = 0 THEN 60 ELSE 1 END) AS ql, CASE WHEN page_id % 3 = 0 THEN '/api/search' ELSE regexp_extract(url, '^[a-z]+://[^/]+([^?#]*)', 1) END AS path,
  CASE page_id % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'POST' ELSE 'DELETE' END AS method, CASE WHEN page_id % 5 = 0 THEN CAST(len(html) * 4000 AS VARCHAR) WHEN page_id % 7 = 0 THEN '12x' ELSE CAST(len(html) AS VARCHAR) END AS cl,
