@@ -230,7 +230,7 @@ def box_pixels(spark, sf):
 # ---- images ---------------------------------------------------------------
 def _per_image(fn, name):
     def run(spark, sf):
-        return views.images(spark, sf).select("image", Pix.per_image(fn)("rgb", "height", "width").alias(name))
+        return views.images(spark, sf).select("image", Pix.per_stack(fn)("rgb", "height", "width").alias(name))
 
     return run
 
@@ -263,6 +263,43 @@ def silhouette_features(spark, sf):
     return _per_image(Pix.silhouette, "features")(spark, sf)
 
 
+_SILHOUETTE = "WITH " + views.PIXELS_SQL + """, u AS (SELECT image, y, x, r / 255.0::DOUBLE AS r, g / 255.0::DOUBLE AS g, b / 255.0::DOUBLE AS b FROM pixels),
+ring AS (SELECT image, median(r) AS r, median(g) AS g, median(b) AS b FROM (SELECT * FROM u WHERE y IN (0, 7) UNION ALL SELECT * FROM u WHERE x IN (0, 7)) GROUP BY 1),
+m AS (SELECT u.image, u.y, u.x, sqrt((u.r - ring.r) ** 2 + (u.g - ring.g) ** 2 + (u.b - ring.b) ** 2) > 0.12::DOUBLE AS hit, (u.r + u.g + u.b) / 3 AS grey FROM u JOIN ring USING (image)),
+s AS (SELECT image, count(*) AS area, max(y) - min(y) + 1 AS bh, max(x) - min(x) + 1 AS bw, avg(y) AS cy, avg(x) AS cx, stddev_pop(y) AS sy, stddev_pop(x) AS sx FROM m WHERE hit GROUP BY 1),
+e AS (SELECT a.image, avg(abs(b.grey - a.grey)) FILTER (b.y = a.y) AS gx, avg(abs(b.grey - a.grey)) FILTER (b.x = a.x) AS gy
+  FROM m a JOIN m b ON a.image = b.image AND ((b.y = a.y AND b.x = a.x + 1) OR (b.x = a.x AND b.y = a.y + 1)) GROUP BY 1),
+t AS (SELECT image, avg(grey) AS mean, stddev_pop(grey) AS dev FROM m GROUP BY 1)"""
+
+
+@query("silhouette_moments", _SILHOUETTE + """
+SELECT image, round(coalesce(area, 0) / 64.0::DOUBLE, 4) AS area, round(coalesce(CASE WHEN area > 4 THEN bh / 8.0::DOUBLE END, 0), 4) AS height, round(coalesce(CASE WHEN area > 4 THEN bw / 8.0::DOUBLE END, 0), 4) AS width,
+ round(coalesce(CASE WHEN area > 4 THEN area / (bh * bw) END, 0), 4) AS fill, round(coalesce(CASE WHEN area > 4 THEN cy / 8 END, 0), 4) AS cy, round(coalesce(CASE WHEN area > 4 THEN cx / 8 END, 0), 4) AS cx,
+ round(coalesce(CASE WHEN area > 4 THEN sy / 8 END, 0), 4) AS sy, round(coalesce(CASE WHEN area > 4 THEN sx / 8 END, 0), 4) AS sx,
+ round(gx, 4) AS gx, round(gy, 4) AS gy, round(mean, 4) AS mean, round(dev, 4) AS dev FROM t JOIN e USING (image) LEFT JOIN s USING (image)""")
+def silhouette_moments(spark, sf):
+    """Geometry, edges and brightness of the silhouette, by name."""
+    x = _per_image(Pix.silhouette, "f")(spark, sf)
+    at = {"area": 0, "height": 1, "width": 2, "fill": 4, "cy": 5, "cx": 6, "sy": 7, "sx": 8, "gx": 9, "gy": 10, "mean": 11, "dev": 12}
+    return x.select("image", *[_r(F.col("f")[i], 4).alias(n) for n, i in at.items()])
+
+
+@query("nuisance_shape", "WITH " + views.PIXELS_SQL + """, c AS (SELECT image, r, g, b, count(*) AS n FROM pixels GROUP BY ALL),
+bg AS (SELECT image, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY n DESC, r, g, b) AS k FROM c) WHERE k = 1),
+f AS (SELECT p.image, p.y, p.x FROM pixels p JOIN bg USING (image) WHERE abs(p.r - bg.r) + abs(p.g - bg.g) + abs(p.b - bg.b) > 30),
+o AS (SELECT f.image, count(*) AS edge FROM f WHERE (SELECT count(*) FROM f n WHERE n.image = f.image AND abs(n.y - f.y) + abs(n.x - f.x) = 1) < 4 - (f.y IN (0, 7))::INT - (f.x IN (0, 7))::INT GROUP BY 1),
+s AS (SELECT image, count(*) AS a, max(y) - min(y) + 1 AS bh, max(x) - min(x) + 1 AS bw, avg(y) AS cy, avg(x) AS cx, var_samp(y) AS yy, var_samp(x) AS xx, covar_samp(y, x) AS yx FROM f GROUP BY 1),
+e AS (SELECT *, greatest((yy + xx) / 2 + sqrt(((yy - xx) / 2) ** 2 + yx ** 2), 1e-6) AS major, greatest((yy + xx) / 2 - sqrt(((yy - xx) / 2) ** 2 + yx ** 2), 1e-6) AS minor FROM s),
+d AS (SELECT image, sqrt((y - cy) ** 2 + (x - cx) ** 2) AS r FROM f JOIN s USING (image)), q AS (SELECT image, avg(r) AS mean, stddev_pop(r) AS dev, max(r) AS reach FROM d GROUP BY 1)
+SELECT image, round(a / 64.0::DOUBLE, 4) AS area, round(bw / bh, 4) AS aspect, round(a / (bh * bw), 4) AS fill, round(coalesce(edge, 0) / a, 4) AS rough, round(sqrt(major / minor), 4) AS elongation,
+ round(sqrt(major) / 8, 4) AS major, round(mean / reach, 4) AS mean_radius, round(dev / reach, 4) AS dev_radius FROM e JOIN q USING (image) LEFT JOIN o USING (image)""")
+def nuisance_shape(spark, sf):
+    """Silhouette numbers of the nuisance vector that pixel rows can express, by name."""
+    x = _per_image(lambda a: Pix.shape_features(Pix.modal_mask(a)), "f")(spark, sf)
+    at = {"area": 0, "aspect": 1, "fill": 2, "rough": 3, "elongation": 5, "major": 6, "mean_radius": 8, "dev_radius": 9}
+    return x.select("image", *[_r(F.col("f")[i], 4).alias(n) for n, i in at.items()]).where("area > 0")
+
+
 @query("hog_features")
 def hog_features(spark, sf):
     return _per_image(Pix.hog_features(cell=2), "features")(spark, sf)
@@ -278,8 +315,8 @@ def nuisance_features(spark, sf):
 def combined_nuisance(spark, sf):
     """Silhouette standardised on the gallery views, followed by the weighted colour histogram."""
     i = views.images(spark, sf).withColumn("view", F.col("image") % 16)
-    rows = i.select("image", "view", Pix.per_image(Pix.silhouette)("rgb", "height", "width").alias("sil"),
-                    Pix.per_image(Pix.colour_histogram)("rgb", "height", "width").alias("col"))
+    rows = i.select("image", "view", Pix.per_stack(Pix.silhouette)("rgb", "height", "width").alias("sil"),
+                    Pix.per_stack(Pix.colour_histogram)("rgb", "height", "width").alias("col"))
     fit = V.fit_standardiser(rows.where("view between 1 and 15"), "sil")
     return V.standardise(rows, "sil", fit).select("image", Pix.combined_nuisance(F.col("sil"), F.col("col")).alias("features"))
 
@@ -288,8 +325,8 @@ def combined_nuisance(spark, sf):
 def pixel_normalise(spark, sf):
     # fixed values: channel means and deviations of the encoder's input
     mean, std = [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]
-    as_ints = F.transform(F.sequence(F.lit(1), F.length("rgb")), lambda i: F.conv(F.hex(F.substring("rgb", i, F.lit(1))), 16, 10).cast("double"))
-    x = views.images(spark, sf).select("image", V.pixel_normalise(as_ints, mean, std).alias("x"))
+    values = Pix.per_stack(lambda stack: stack.reshape(len(stack), -1))("rgb", "height", "width")
+    x = views.images(spark, sf).select("image", values.alias("v")).select("image", V.pixel_normalise(F.col("v"), mean, std).alias("x"))
     return x.select("image", _r(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 

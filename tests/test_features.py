@@ -1,6 +1,7 @@
 """Strings, n-grams, images, styles, samples, crops."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter
 
@@ -91,28 +92,78 @@ def test_vector_expressions(spark):
 def test_images(spark):
     a = np.full((12, 12, 3), 255, np.uint8)
     a[3:9, 4:8] = (200, 10, 10)
-    mask = Pix.modal_mask(a)
-    assert mask.sum() == 24 and Pix.ink_fraction(a)[0] == pytest.approx(24 / 144)
-    s = Pix.shape_features(mask)
+    mask = Pix.modal_mask(a[None])
+    assert mask.sum() == 24 and Pix.ink_fraction(a[None])[0, 0] == pytest.approx(24 / 144)
+    s = Pix.shape_features(mask)[0]
     assert s[0] == pytest.approx(24 / 144) and s[1] == pytest.approx(4 / 6) and s[2] == 1.0
     assert s[3] == pytest.approx(16 / 24)  # outline of a 6 x 4 block
-    sil = Pix.silhouette(a)
+    sil = Pix.silhouette(a[None])[0]
     assert len(sil) == 20 and sil[1] == 0.5 and sil[2] == pytest.approx(4 / 12)
     # the invariants do not change when the image is turned or moved
-    turned = Pix.silhouette(np.rot90(a).copy())
+    turned = Pix.silhouette(np.rot90(a)[None])[0]
     np.testing.assert_allclose(sil[13:], turned[13:], atol=1e-9)
-    flat = Pix.silhouette(np.zeros((8, 8, 3), np.uint8))
+    flat = Pix.silhouette(np.zeros((1, 8, 8, 3), np.uint8))[0]
     assert flat[0] == 0 and (flat[13:] == 0).all()
-    assert Pix.colour_histogram(a).sum() == pytest.approx(1) and len(Pix.hog(np.zeros((128, 128)))) == 7 * 7 * 4 * 9
+    assert Pix.colour_histogram(a[None]).sum() == pytest.approx(1) and Pix.hog(np.zeros((1, 128, 128))).shape[1] == 7 * 7 * 4 * 9
     edge = np.zeros((32, 32))
     edge[:, 16:] = 1.0
-    cells = Pix.hog(edge, cell=16).reshape(4, 9)
+    cells = Pix.hog(edge[None], cell=16).reshape(4, 9)
     assert cells[:, 0].min() > 0 and cells[:, 1:].max() == 0  # a vertical edge has one direction
     df = spark.createDataFrame([(1, 12, 12, bytearray(a.tobytes())), (2, 9, 9, bytearray(b"short"))], "id int, height int, width int, rgb binary")
-    got = {r["id"]: r["f"] for r in df.select("id", Pix.per_image(Pix.nuisance(cell=4))("rgb", "height", "width").alias("f")).collect()}
+    got = {r["id"]: r["f"] for r in df.select("id", Pix.per_stack(Pix.nuisance(cell=4))("rgb", "height", "width").alias("f")).collect()}
     assert got[2] is None and len(got[1]) == 12 + 7 + 36 * 4 + 10 - 0
 
 
+def moments_one_by_one(mask):
+    ys, xs = np.nonzero(mask)
+    return np.array([[((ys - ys.mean()) ** p * (xs - xs.mean()) ** q).sum() for q in range(4)] for p in range(4)])
+
+
+def hog_one_by_one(grey, cell):
+    gy, gx = np.zeros_like(grey), np.zeros_like(grey)
+    gy[1:-1], gx[:, 1:-1] = grey[2:] - grey[:-2], grey[:, 2:] - grey[:, :-2]
+    rows, cols = grey.shape[0] // cell, grey.shape[1] // cell
+    cells = np.zeros((rows, cols, 9))
+    for y in range(rows * cell):
+        for x in range(cols * cell):
+            angle = math.degrees(math.atan2(gy[y, x], gx[y, x])) % 180
+            cells[y // cell, x // cell, min(int(angle / 20), 8)] += math.hypot(gy[y, x], gx[y, x]) / cell**2
+    out = []
+    for y in range(rows - 1):
+        for x in range(cols - 1):
+            v = cells[y : y + 2, x : x + 2].ravel()
+            v = np.minimum(v / math.sqrt((v**2).sum() + 1e-10), 0.2)
+            out.append(v / math.sqrt((v**2).sum() + 1e-10))
+    return np.concatenate(out)
+
+
+def test_stacks_equal_single_images(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    stack = rng.integers(0, 256, (6, 24, 32, 3)).astype(np.uint8)
+    stack[:, 4:20, 6:25] //= 3
+    mask = rng.random((6, 24, 32)) < 0.3
+    mask[5] = False
+    central, _ = Pix.central_moments(Pix.raw_moments(mask))
+    for k in range(5):
+        np.testing.assert_allclose(central[k], moments_one_by_one(mask[k]), rtol=1e-9, atol=1e-6)
+        ys, xs = np.nonzero(mask[k])
+        values = np.linalg.eigvalsh(np.cov(np.stack([ys, xs])))
+        np.testing.assert_allclose(Pix.shape_features(mask)[k, 5:8], [math.sqrt(values[1] / values[0]), math.sqrt(values[1]) / 24, math.sqrt(values[0]) / 24], rtol=1e-9)
+    assert (Pix.shape_features(mask)[5] == 0).all()
+    grey = (stack / 255.0).mean(-1)
+    np.testing.assert_allclose(Pix.hog(grey, 8), [hog_one_by_one(g, 8) for g in grey], atol=1e-9)
+    colours, counts = Pix.modal_colour(np.repeat(stack[:1, :2, :2], 3, 1))
+    assert counts[0] == 3 and tuple(colours[0]) == min(map(tuple, stack[0, :2, :2].reshape(-1, 3)))
+    # sizes mixed in a batch, stacks of one or two images
+    rows = [(k, 24, 32, bytearray(s.tobytes())) for k, s in enumerate(stack)] + [(6, 12, 12, bytearray(stack[0, :12, :12].tobytes())), (7, None, 3, bytearray(b"x")), (8, 1, 1, None)]
+    df = spark.createDataFrame(rows, "id int, height int, width int, rgb binary").coalesce(1)
+    got = {r["id"]: r["f"] for r in df.select("id", Pix.per_stack(Pix.silhouette)("rgb", "height", "width").alias("f")).collect()}
+    want = Pix.silhouette(stack)
+    for k in range(6):
+        np.testing.assert_allclose(got[k], want[k])
+    assert len(got[6]) == 20 and got[7] is None and got[8] is None
+
+
 def style_loop(object_id, view, seed=0):
     """The sampler as a plain sequence of draws."""
     rng = np.random.default_rng(zlib.crc32(f"{object_id}:{view}:{seed}".encode()))
