@@ -10,10 +10,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT: str | None = None
+_SCOPES: list[list[str]] = []  # staged tables of the computations under way, innermost last
 
 
 def build_session(app: str = "prismatch", master: str | None = None, cores: int | None = None) -> SparkSession:
@@ -57,6 +59,24 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_root(spark).rstrip('/')}/prismatch-{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], label: str = "t") -> DataFrame:
+    """Stage what ``build`` returns, then remove every table that it staged on its way."""
+    _SCOPES.append([])
+    try:
+        df = build()
+        path = f"{staging_root(spark).rstrip('/')}/prismatch-{label}-{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        for used in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(used)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

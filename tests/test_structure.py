@@ -1,5 +1,6 @@
 """Ordering, graph, packing, cover, splits, corpus against plain loops."""
 
+import os
 import numpy as np
 import pandas as pd
 import pytest
@@ -233,3 +234,20 @@ def test_every_domain_gets_its_row(spark):
     assert set(out) == {"a", "b", "c", "d", "e"} and all(r.split_random for r in out.values())
     assert out["b"].split_homsf is None and out["c"].split_topo is None and out["c"].split_homsf is not None
     assert out["d"].split_member is None and out["a"].split_member is not None
+
+
+def test_settled_results_leave_nothing_else(spark, tmp_path):
+    from prismatch import session
+
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        def build():
+            a = session.stage(spark.range(5), "a")
+            b = session.settled(spark, lambda: session.stage(a.withColumn("x", F.col("id") * 2), "b").where("x > 2"), "c")
+            assert len(os.listdir(tmp_path)) == 2
+            return b.join(a, "id")
+
+        out = session.settled(spark, build, "kept")
+        assert len(os.listdir(tmp_path)) == 1 and out.count() == 3
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
