@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from prismatch.llm import words as W
 from prismatch.llm.blocks import NO_ID, block_of, order_of
 from prismatch.operators.graph import component_labels, skew_safe_lookup
-from prismatch.session import stage
+from prismatch.session import settled, stage
 
 SHINGLE = 4
 PERCENT = 85
@@ -338,8 +338,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.Table.from_batches(held)
     order = np.lexsort((t["doc"].to_numpy(), t["part"].to_numpy(), t["shingle"].to_numpy()))
-    names = ("shingle", "part", "doc", "n", "at", "h", "hm", "r", "root", "main", "other")
-    gram, part, doc, n, at, h, hm, r, root, main, other = (t[c].to_numpy()[order] for c in names)
+    names = ("shingle", "part", "doc", "n", "at", "h", "r", "root", "other")
+    gram, part, doc, n, at, h, r, root, other = (t[c].to_numpy()[order] for c in names)
     head = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
     size = np.diff(np.r_[head, len(gram)])
     head, size = np.repeat(head, size), np.repeat(size, size)
@@ -351,9 +351,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         need = _needed(n[i], n[j])
         some = 1 + need // 6
         # a pair that shares ``need`` recurring ones shares ``some`` among those with ``need - some`` more behind
-        fits = (np.minimum(h[i] - r[i], h[j] - r[j]) > need - some) & (np.where(root[j] == main[i], hm[i], h[i]) >= need)
-        i, j, need = i[fits], j[fits], some[fits]
+        fits = np.minimum(h[i] - r[i], h[j] - r[j]) > need - some
+        # from the k-th shared one of a link on, at most k - 1 of what its intersection needs lie behind: the first ``some`` stay
         best = np.minimum(n[i] - at[i], n[j] - at[j]) - (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
+        fits &= best > -some
+        i, j, need, best = i[fits], j[fits], some[fits], best[fits]
         return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(best), pa.array(need)], ["doc", "lead", "best", "need"])
 
     here = np.flatnonzero(other)
@@ -384,21 +386,6 @@ def _clean_leads(fronts: DataFrame) -> DataFrame:
     return chosen.where(F.col("c") > F.col("n") / 20).select("doc", "lead")
 
 
-def _reach(joined: DataFrame, by_group: DataFrame) -> DataFrame:
-    """(doc, main, hm): for each document outside the main group of one of its shingles, how many of its shingles any of that group has.
-
-    Shingles of which the group is the main one count first. Only where these may be too few
-    for a pair, those that the group has beside another main group are looked up.
-    """
-    direct = stage(joined.where("root <> main").groupBy("doc", "main").agg(F.count(F.lit(1)).alias("hm"), F.max("n").alias("n")), "direct")
-    mains = joined.select("shingle", "main").distinct()
-    minor = stage(by_group.join(mains, "shingle").where("root <> main").select("shingle", F.col("root").alias("group")), "minor")
-    few = direct.where(F.col("hm") < 0.12 * F.col("n") + 3).select("doc", F.col("main").alias("group"))  # no pair of such a document needs more
-    few = few.join(minor.select("group").distinct(), "group", "left_semi")
-    more = joined.select("shingle", "doc").join(few, "doc").join(minor, ["shingle", "group"]).groupBy("doc", F.col("group").alias("main")).agg(F.count(F.lit(1)).alias("hm"))
-    return direct.select("doc", "main", "hm").unionByName(more).groupBy("doc", "main").agg(F.sum("hm").alias("hm"))
-
-
 def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Tells documents apart: rows that share an id, or have none, may differ in their texts."""
     return F.xxhash64(order_of(doc_id), F.col(text).cast("string"))
@@ -424,11 +411,9 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     mixed = by_group.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     parts = F.greatest(F.ceil(F.col("c") / (4 * CELL)), F.lit(1)).cast("int")
     joined = fronts.join(mixed.select("shingle", "main", parts.alias("parts")), "shingle")  # large partitions are split as the join runs
-    joined = stage(joined, "mixed")
-    joined = joined.where("root <> main").join(_reach(joined, by_group), ["doc", "main"]).unionByName(joined.where("root = main").withColumn("hm", F.col("h")))
     other = F.col("root") != F.col("main")
     own_part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
-    dealt = joined.select("shingle", "doc", "n", "at", "h", "hm", "r", "root", "main", other.alias("other"), F.explode(own_part).alias("part"))
+    dealt = joined.select("shingle", "doc", "n", "at", "h", "r", "root", other.alias("other"), F.explode(own_part).alias("part"))
     met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint, best bigint, need bigint")
     counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"))
     more = _compare(counted.where("c >= need and best >= 0").select("doc", "lead"), sets, sketch)
@@ -447,8 +432,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     """Per document: the size of its set and the smallest document reachable by links."""
     size = F.arrow_udf(_sizes, "bigint")
     sized = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), order_of().alias("doc"), size(F.col("text").cast("string")).alias("n_shingles"))
-    groups = similar_groups(docs.select("doc_id", "text"))
-    ids = component_labels(groups.select(F.col("id").alias("entry"), F.col("root").alias("cluster"))).select(F.col("entry").alias("doc"), "root")
+    groups = settled(docs.sparkSession, lambda: similar_groups(docs.select("doc_id", "text")), "groups")
+    ids = settled(docs.sparkSession, lambda: component_labels(groups.select(F.col("id").alias("entry"), F.col("root").alias("cluster"))), "ids").select(F.col("entry").alias("doc"), "root")
     found = sized.join(ids, "doc", "left")
     component = F.coalesce("root", "doc")
     return found.select("doc_id", "n_shingles", F.when(component != NO_ID, component).alias("component_id"))
@@ -456,7 +441,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents without those that a smaller one is reachable from; all columns stay as they are."""
-    groups = stage(similar_groups(docs.select("doc_id", "text")), "groups")
+    groups = settled(docs.sparkSession, lambda: similar_groups(docs.select("doc_id", "text")), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct("id", "doc"))["doc"].alias("first"))
     later = skew_safe_lookup(groups, first, "root").where("doc <> first").select(F.col("doc").alias("__doc"))
     return docs.withColumn("__doc", key_of()).join(later, "__doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
