@@ -1,6 +1,7 @@
 """Ordering, graph, packing, cover, splits, corpus against plain loops."""
 
 import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -236,18 +237,19 @@ def test_every_domain_gets_its_row(spark):
     assert out["d"].split_member is None and out["a"].split_member is not None
 
 
-def test_settled_results_leave_nothing_else(spark, tmp_path):
+def test_settled_results_leave_nothing_else(spark, tmp_path, monkeypatch):
     from prismatch import session
 
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        def build():
-            a = session.stage(spark.range(5), "a")
-            b = session.settled(spark, lambda: session.stage(a.withColumn("x", F.col("id") * 2), "b").where("x > 2"), "c")
-            assert len(os.listdir(tmp_path)) == 2
-            return b.join(a, "id")
-
-        out = session.settled(spark, build, "kept")
-        assert len(os.listdir(tmp_path)) == 1 and out.count() == 3
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(session, "staging_root", lambda _: f"file://{tmp_path}")
+
+    def build():
+        a = session.stage(spark.range(5), "a")
+        b = session.settled(spark, lambda: session.stage(a.withColumn("x", F.col("id") * 2), "b").where("x > 2"), "c")
+        assert len(os.listdir(tmp_path)) == 2
+        return b.join(a, "id")
+
+    out = session.settled(spark, build, "kept")
+    assert len(os.listdir(tmp_path)) == 1 and out.count() == 3
+    with pytest.raises(ZeroDivisionError):
+        session.settled(spark, lambda: session.stage(spark.range(3)) and 1 / 0)
+    assert len(os.listdir(tmp_path)) == 1
