@@ -193,6 +193,16 @@ def resolution_file(spark, sf):
     return Text.parse_resolution(c.select(F.col("c_custkey").alias("line_no"), line.alias("line")))
 
 
+@query("record_file", "SELECT CAST(doc_id AS VARCHAR) AS name, sha256(rtrim(doc_id || chr(10) || text, chr(10))) AS body_sha256 FROM documents")
+def record_file(spark, sf):
+    """Documents written as marked records and read back by the record reader, whatever the splits."""
+    folder = _folder(spark, "records")
+    lines = table(spark, sf, "documents").select(F.concat(F.lit("data_"), F.col("doc_id"), F.lit("\n"), F.col("text")).alias("value"))
+    lines.write.text(folder)
+    body = F.regexp_replace("body", r"\n+\z", "")
+    return Text.read_records(spark, folder).select("name", F.sha2(body, 256).alias("body_sha256"))
+
+
 @query("json_ids", "SELECT DISTINCT lower('K' || json_extract_string(props, '$.k')) AS id FROM events")
 def json_ids(spark, sf):
     arr = F.concat(F.lit('["K'), F.get_json_object("props", "$.k"), F.lit('"]'))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,6 +87,29 @@ def split_records(text: DataFrame, key: str, value: str, marker: str = "data_")
     return rows.select(key, F.col("record_no"), F.substring_index("piece", "\n", 1).alias("name"), F.col("piece").alias("body"))
 
 
+def read_records(spark: SparkSession, path: str, marker: str = "data_") -> DataFrame:
+    """``path, record_no, name, body`` of files that start a record at every line with ``marker``.
+
+    The marker is the reader's record delimiter, so files are split inside, a record
+    that crosses a split is read once, and no row holds more than a record.
+    Numbers count a file's records from 1: the place within the split plus the
+    records of the splits before, of which only counts are gathered.
+    """
+    raw = spark.read.option("lineSep", "\n" + marker).text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("piece"), F.monotonically_increasing_id().alias("at"))
+    split = Window.partitionBy("path", "start").orderBy("at")
+    rows = raw.withColumn("place", F.row_number().over(split))
+    head = (F.col("start") == 0) & (F.col("place") == 1)  # what stands before the first delimiter
+    opens = head & F.col("piece").startswith(marker)
+    sizes = raw.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("path", "start", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    first = rows.where(head).select("path", F.when(opens, 0).otherwise(1).alias("skipped"))
+    piece = F.when(opens, F.substring("piece", F.lit(len(marker) + 1), F.length("piece"))).otherwise(F.col("piece"))
+    numbered = rows.where(~head | opens).withColumn("piece", piece).join(before, ["path", "start"]).join(first, "path", "left")
+    number = F.col("place") + F.col("before") - F.coalesce("skipped", F.lit(0))
+    return numbered.select("path", number.cast("bigint").alias("record_no"), F.substring_index("piece", "\n", 1).alias("name"), F.col("piece").alias("body"))
+
+
 def read_csv_contract(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
     """CSV with a header; a byte-order mark is ignored and missing columns are an error."""
     df = spark.read.csv(path, header=True, multiLine=True, escape='"', encoding="UTF-8")

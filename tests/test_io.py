@@ -150,6 +150,30 @@ def test_commit_keeps_one_attempt_and_abort_none(spark, tmp_path, monkeypatch):
     assert os.listdir(tmp_path / "bad") == []
 
 
+def test_records_are_read_once_over_all_splits(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = {
+        "a.cif": "head\n" + "".join(f"data_{k}\n" + "x y\n" * int(rng.integers(0, 9)) for k in range(40)),
+        "b.cif": "data_first\nbody\n\ndata_\nlast data_not a record",
+        "c.cif": "no record at all\n",
+        "d.cif": "data_only",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    whole = spark.createDataFrame([(k, v) for k, v in texts.items()], "path string, v string")
+    want = sorted(tuple(r) for r in T.split_records(whole, "path", "v").select("path", "record_no", "name", "body").collect())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in (3, 11, 64, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            got = T.read_records(spark, str(tmp_path / "*.cif")).withColumn("path", F.substring_index("path", "/", -1))
+            assert sorted(tuple(r) for r in got.collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "render_id string, emb array<float>")
     K.write_embeddings(df, str(tmp_path / "e"), 2)
