@@ -2,9 +2,10 @@
 
 Byte trigrams of the labelled texts are counted by language in a hashed table of
 fixed width. A document is a mixture: every word is drawn from one language, and
-expectation-maximisation over its words estimates the languages' proportions. Of
-the nested sets of its likeliest languages the one with the best penalised
-likelihood is kept; the prediction is that set's largest language.
+expectation-maximisation over its words, run until it has converged, estimates
+the languages' proportions. Of all nested sets of its likeliest languages, from
+one to every learned language, the one with the best penalised likelihood is
+kept; the prediction is that set's largest language.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0, as are
 all texts when nothing is labelled; repeated rows get equal results; other
@@ -24,8 +25,8 @@ from prismatch.llm import words as W
 from prismatch.llm.splits import held_out
 
 SLOT_BITS = 16
-ROUNDS = 6
-MOST = 3  # languages in one document
+NEAR = 1e-3  # nats a word that further rounds could gain
+FLOOR = -46.0  # least log-likelihood of a word against its best language
 PENALTY = 4.0  # times log(words) / 2 for each further language
 UNKNOWN = "und"
 _RESULT = "struct<lang:string,score:double,langs:array<struct<lang:string,share:double>>>"
@@ -84,16 +85,55 @@ def _sum_rows(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mix(like: np.ndarray, row: np.ndarray, first: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood (up to a part of its own for each word) of every document's words."""
-    n = np.maximum(np.diff(first), 1)[:, None]
-    for k in range(rounds + 1):
-        weighted = like * share[row]
-        total = weighted.sum(1, keepdims=True)
-        if k == rounds:
-            return share, _sum_rows(np.log(np.maximum(total, 1e-30)), first)[:, 0]
-        share = _sum_rows(weighted / np.maximum(total, 1e-30), first) / n
-    raise AssertionError
+def _mix(like: np.ndarray, first: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions, log-likelihood (up to a part of its own for each word) and how much more any shares could reach.
+
+    Every document has a word. Expectation-maximisation goes on for each document until no other shares of its languages
+    could raise its log-likelihood by more than ``NEAR`` a word (half a nat for a short text); the largest factor of a
+    round bounds that. The likelihood's shortfall after t rounds is at most log(languages) / t a word, so the rounds are
+    bounded too.
+    """
+    best, score, lack = share.astype(np.float32), np.zeros(len(share)), np.zeros(len(share))
+    live = np.arange(len(share))
+    while len(live):
+        n = np.diff(first)
+        row = np.repeat(np.arange(len(live)), n)
+        own = best[live]
+        total = (like * own[row]).sum(1, keepdims=True)
+        factor = _sum_rows(like / total, first) / n[:, None]
+        score[live] = _sum_rows(np.log(total.astype(float)), first)[:, 0]
+        gain = np.maximum(np.where(own > 0, factor, 0).max(1) - 1.0, 0.0)
+        lack[live] = gain * n
+        more = gain > np.maximum(NEAR, 0.5 / n)
+        grown = own[more] * factor[more]
+        best[live[more]] = grown / grown.sum(1, keepdims=True)
+        like, first, live = like[more[row]], np.concatenate([[0], np.cumsum(n[more])]), live[more]
+    return best, score, lack
+
+
+def _select(like: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Shares of the set of languages with the best penalised likelihood, out of all nested sets of the likeliest ones.
+
+    A set is tried as long as the likelihood of all languages together, less its penalty, could still be the best.
+    """
+    n, wide = np.diff(first), like.shape[1]
+    share, full, lack = _mix(like, first, np.full((len(n), wide), 1 / wide))
+    order = np.argsort(-share, 1, kind="stable")
+    best, best_score = share, np.full(len(n), -np.inf)
+    for k in range(1, wide + 1):
+        cost = PENALTY * (k - 1) * 0.5 * np.log(np.maximum(n, 2))
+        on = np.flatnonzero(full + lack - cost > best_score)
+        if not len(on):
+            break  # larger sets cost more still
+        start = np.zeros((len(on), wide))
+        np.put_along_axis(start, order[on, :k], np.take_along_axis(share[on], order[on, :k], 1) + 1e-3, 1)
+        keep = np.zeros(len(n), bool)
+        keep[on] = True
+        inside = like[np.repeat(keep, n)]
+        own, score, _ = _mix(inside, np.concatenate([[0], np.cumsum(n[on])]), start / start.sum(1, keepdims=True))
+        better = score - cost[on] > best_score[on]
+        best[on[better]], best_score[on[better]] = own[better], (score - cost[on])[better]
+    return best
 
 
 def infer(column: pa.Array, names: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,29 +141,16 @@ def infer(column: pa.Array, names: list[str], table: np.ndarray) -> tuple[np.nda
     shares, words = [np.zeros((0, len(names)), np.float32)], [np.zeros(0, np.int64)]
     for lo, hi in W.slices(column, max(1 << 16, (W.SLICE_BYTES * 4) // max(len(names), 4))):
         w = W.words_of(column[lo:hi])
-        words.append(w.counts())
+        n = w.counts()
+        words.append(n)
+        shares.append(np.zeros((hi - lo, len(names)), np.float32))
         if not len(w.starts):
-            shares.append(np.zeros((hi - lo, len(names)), np.float32))
             continue
         slot, begin = _trigram_slots(w)
         log_like = np.add.reduceat(table[slot], begin, 0)
-        like = np.exp(log_like - log_like.max(1, keepdims=True))
-        row = w.rows()
-        even = np.full((hi - lo, len(names)), 1 / len(names), np.float32)
-        share, _ = _mix(like, row, w.first, even, ROUNDS)
-        order = np.argsort(-share, 1, kind="stable")
-        best, best_score = share, np.full(hi - lo, -np.inf)
-        for k in range(1, min(MOST, len(names)) + 1):
-            inside = np.zeros_like(share)
-            np.put_along_axis(inside, order[:, :k], 1.0, 1)
-            start = (share + 1e-3) * inside
-            start /= start.sum(1, keepdims=True)
-            own, score = _mix(like, row, w.first, start, ROUNDS if k > 1 else 0)
-            score = score - PENALTY * (k - 1) * 0.5 * np.log(np.maximum(w.counts(), 2))
-            better = score > best_score
-            best = np.where(better[:, None], own, best)
-            best_score = np.where(better, score, best_score)
-        shares.append(best.astype(np.float32))
+        like = np.exp(np.maximum(log_like - log_like.max(1, keepdims=True), FLOOR))
+        some = np.flatnonzero(n > 0)
+        shares[-1][some] = _select(like, np.concatenate([[0], np.cumsum(n[some])]))
     return np.concatenate(shares), np.concatenate(words)
 
 

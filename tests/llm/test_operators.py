@@ -268,6 +268,39 @@ def test_language_is_learned_and_mixtures_are_seen(spark):
     assert set(language_mix.language_report(bare).toPandas().lang_pred) == {"und"}
 
 
+def test_language_sets_of_any_size_equal_plain_expectation_maximisation():
+    """Every nested set in doubles, over many rounds, against the pruned search."""
+    rng = np.random.default_rng(3)
+    wide = 6
+    sizes = [1, 2, 5, 40, 300, 300, 300, 900]
+    held = [1, 2, 3, 1, 4, 5, 6, 2]
+    like = np.exp(-rng.exponential(4.0, (sum(sizes), wide)))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    for d, (n, k) in enumerate(zip(sizes, held, strict=True)):
+        like[np.arange(first[d], first[d + 1]), np.arange(n) % k] = 1.0
+    got = language_mix._select(like.astype(np.float32), first)
+    assert np.allclose(got.sum(1), 1, atol=1e-3)
+
+    def climb(x, share):
+        for _ in range(3000):
+            share = share * (x / (x @ share)[:, None]).mean(0)
+        return share, np.log(x @ share).sum()
+
+    most = []
+    for d, n in enumerate(sizes):
+        x = like[first[d] : first[d + 1]]
+        order = np.argsort(-climb(x, np.full(wide, 1 / wide))[0], kind="stable")
+        scores = []
+        for k in range(1, wide + 1):
+            start = np.zeros(wide)
+            start[order[:k]] = 1 / k
+            scores.append(climb(x, start)[1] - language_mix.PENALTY * (k - 1) * 0.5 * np.log(max(n, 2)))
+        chosen = np.log(x @ got[d].astype(float)).sum() - language_mix.PENALTY * ((got[d] > 0).sum() - 1) * 0.5 * np.log(max(n, 2))
+        assert chosen >= max(scores) - max(0.5, language_mix.NEAR * n) - 1e-2
+        most.append(1 + int(np.argmax(scores)))
+    assert [(row > 0).sum() for row in got] == most and max(most) > 3
+
+
 def test_base_scores_and_a_proper_model(docs):
     got = context_mixing.score_documents(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
     for r, want in zip(got.itertuples(), sorted(brute.unigrams(CORPUS)), strict=True):
