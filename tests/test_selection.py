@@ -81,3 +81,24 @@ def test_canonical_json_equals_sorted_dumps(spark):
         assert row.p == hashlib.sha256(row.j.encode()).hexdigest()[:16]
         seen.add(row.p)
     assert len(seen) == 1
+
+
+def test_recomputed_scores_meet_in_squares(spark, monkeypatch):
+    """Copies, a query in many squares, and no row for a pair of vectors."""
+    monkeypatch.setattr(E, "SIDE", 3)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(30, 6)).astype(np.float32)
+    v[3:9], v[20] = v[2], 0
+    gallery = spark.createDataFrame([(i, f"E{i % 2}", v[i].tolist()) for i in range(30)], "render_id long, entry string, emb array<float>")
+    queries = gallery.where("render_id % 3 = 0")
+    hits = queries.crossJoin(spark.createDataFrame([("E0",), ("E1",), ("gone",)], "name string")).select(F.col("render_id").alias("query_id"), F.col("name").alias("entry"))
+    out = E.recomputed_scores(hits, queries, gallery, k=5)
+    assert "arrays_zip" not in out._jdf.queryExecution().toString()
+    x = v.astype(float)
+    size = [max(math.sqrt(math.fsum(a * a)), 1e-12) for a in x]
+    want = {}
+    for q in range(0, 30, 3):
+        for e in range(2):
+            best = sorted((math.fsum(x[q] * x[i]) / (size[q] * size[i]) for i in range(e, 30, 2)), reverse=True)[:5]
+            want[q, f"E{e}"] = math.fsum(best) / 5
+    assert {(r.query_id, r.entry): r.recomputed for r in out.collect()} == want
