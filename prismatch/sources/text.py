@@ -46,11 +46,15 @@ def parse_id_list(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.select(F.trim(F.col(value)).alias("id")).where("id <> ''")
 
 
-def parse_clusters(lines: DataFrame, line_no: str = "line_no", line: str = "line") -> DataFrame:
-    """(cluster, entry) edges; a blank line yields nothing but keeps its number."""
+def parse_clusters(lines: DataFrame, line_no: str = "line_no", line: str = "line", within: str | None = None) -> DataFrame:
+    """(cluster, entry) edges; a blank line yields nothing but keeps its number.
+
+    Numbers may count the lines of each ``within``, which is kept; where lines are dealt by it, no edge is shuffled.
+    """
+    keys = [within] if within else []
     tokens = F.filter(F.split(F.trim(F.col(line)), r"\s+"), lambda t: t != "")
-    return lines.select(F.col(line_no).alias("cluster"), F.explode_outer(tokens).alias("token")).where("token is not null").select(
-        "cluster", entry_of("token").alias("entry")).distinct()
+    return lines.select(*keys, F.col(line_no).alias("cluster"), F.explode_outer(tokens).alias("token")).where("token is not null").select(
+        *keys, "cluster", entry_of("token").alias("entry")).distinct()
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:

@@ -374,3 +374,10 @@ def test_catalogue_against_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = entry.queries()[name](spark, sf).toPandas()
     assert compare(got, con.execute(entry.oracle_sql()[name]).df()) == "ok"
+
+
+def test_edges_of_dealt_lines_are_not_shuffled(spark):
+    rows = spark.createDataFrame([(1, 0, "a_1 A_2 b"), (1, 1, "a"), (1, 0, "b"), (2, 0, "a"), (2, 1, " ")], "doc long, line_no long, line string")
+    got = T.parse_clusters(rows.repartition("doc"), within="doc")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "a"), (1, 0, "b"), (1, 1, "a"), (2, 0, "a")]
