@@ -33,7 +33,8 @@ def length_block() -> Column:
 
 
 def term_counts(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 5) -> DataFrame:
-    """``key, term, tf`` of all character n-grams; counted within a row's task before the shuffle."""
+    """``key, term, tf`` of all character n-grams; texts are shuffled once by key, their n-grams are not."""
+    df = df.select(key, text).repartition(F.col(key))
     # the outer form keeps the optimiser from building the array a second time for a size filter
     grams = df.select(key, F.explode_outer(char_ngrams(F.coalesce(F.col(text), F.lit("")), lo, hi)).alias("term"))
     return grams.where("term is not null").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -54,8 +55,8 @@ def fit_tfidf(train: DataFrame, key: str, text: str, *, lo: int = 1, hi: int = 5
 
 def transform_tfidf(df: DataFrame, vocabulary: DataFrame, key: str, text: str, *, lo: int = 1, hi: int = 5) -> DataFrame:
     """Row-normalised weights in long form: ``key, index, term, weight`` (rows without known terms are absent)."""
-    # one shuffle of the texts by key serves the counts and the norms
-    raw = term_counts(df.select(key, text).repartition(F.col(key)), key, text, lo, hi)
+    # the shuffle of the texts by key serves the counts and the norms
+    raw = term_counts(df, key, text, lo, hi)
     raw = raw.join(F.broadcast(vocabulary), "term").withColumn("__w", F.col("tf") * F.col("idf"))  # at most max_features terms
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(key)))
     return raw.select(key, "index", "term", (F.col("__w") / norm).alias("weight"))
