@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 GROUPS = ("shape", "hog", "color")  # fixed value: order of the combined vector
 COLOUR_WEIGHT = 10.0  # fixed value: colour weight in the combined nuisance vector
-STACK_PIXELS = 1 << 20  # pixels of a stack, whatever the size of its images
+STACK_PIXELS = 1 << 16  # pixels of a stack, whatever the size of its images: what is formed for a stack is many times as large
 TINY = 1e-6
 
 

@@ -234,3 +234,20 @@ def test_crops(spark):
     assert got[2]["review_flags"] == ["coordinates_unavailable", "duplicate_source_image", "source_mapping_listed", "structure_predicted"]
     assert Crops.invalid_reviews(Crops.crop_records(rows)).count() == 0
     assert Crops.invalid_reviews(Crops.crop_records(rows).withColumn("mapping_status", F.lit("x"))).count() == 2
+
+
+def test_stacks_stay_small():
+    """What is formed for a stack is many times its pixels, so a full Arrow batch of small images is more than one."""
+    sizes = []
+    rgb = pd.Series([bytes(192)] * 3000)
+    Pix.per_stack(lambda stack: sizes.append(len(stack)) or np.zeros((len(stack), 1))).func(rgb, pd.Series([8] * 3000), pd.Series([8] * 3000))
+    assert sizes == [1024, 1024, 952]
+
+
+def test_terms_meet_by_row(spark):
+    """Texts are dealt by key once; their n-grams are not shuffled one by one."""
+    rows = spark.createDataFrame([(1, "HHE"), (1, "H"), (2, "E")], "id long, s string")
+    out = Feat.term_counts(rows, "id", "s", 1, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(id" in plan and "hashpartitioning(id, term" not in plan.replace("#", "").replace("L", "")
+    assert {(r.id, r.term): r.tf for r in out.collect()} == {(1, "H"): 3, (1, "E"): 1, (1, "HH"): 1, (1, "HE"): 1, (2, "E"): 1}
