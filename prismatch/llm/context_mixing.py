@@ -5,10 +5,15 @@ escape followed by the byte. After two symbols the next one is coded by binary
 decisions along a tree for the two, so frequent successors take few. Three
 predictors give the probability of each decision from counts: after the last two
 symbols, and in hashed contexts after the last four and the word so far. Their logits
-are added with weights that a gate chooses (which contexts are known), and a part
-of the weights follows the errors that a text makes: it is refined after every
-segment of the text, for the next one. The sum over all decisions is the text's
-log-probability, hence its bits per byte.
+are added with weights that a gate chooses (which contexts are known). Every text
+starts from the same weights and learns its own online: after each decision the
+chosen set moves along the error that it has just made, before the next decision is
+coded. The sum over all decisions is the text's log-probability, hence its bits per byte.
+
+A decision needs the one before it, so the texts of a batch are coded side by side:
+their first decisions in one numpy step, then their second ones. Where only a few long
+texts are left they are coded one after the other, with the same double-precision
+operations, so a score does not depend on the texts beside it.
 
 All counts cover all training texts: Spark adds tables of fixed size over the
 scan tasks. Token counts for the base score meet the texts by blocks of
@@ -41,13 +46,19 @@ PAIRS = SYMBOLS * SYMBOLS
 CELL_BITS = 21  # cells of decisions of each hashed predictor
 PREDICTORS = 3
 PACK = 1 << 16
-SEGMENT = 1024  # symbols between two refinements of a text's weights
-RATE = 0.0005
+RATE = 0.01  # of learning, after every decision
+SQUASH, CLIP = 256.0, 16.0  # weights are in units of 1 / SQUASH; errors are read from a table of the logits up to CLIP in these units
+FEW = 32  # texts that are quicker coded one after the other
+SIDE, SHORT = 1 << 16, 32  # symbols of all texts whose decisions are held at once, and of each text at least
 GATES = ((0.9, 0.1, 0.1), (0.2, 0.8, 0.2), (0.2, 0.2, 0.8), (0.05, 0.6, 0.5))  # weights by known contexts: none, four, word, both
 LITTLE = 0.2  # added to both counts of a decision
-SLICE = 128 << 10  # of text at a time: the arrays of its decisions stay small
+SLICE = 128 << 10  # of text at a time: the arrays of its contexts stay small
+LOT = 8 << 20  # of text coded side by side
+_MOVE = RATE * SQUASH / (1 + np.exp(np.arange(-CLIP, CLIP + 1 / SQUASH, 1 / SQUASH)))  # by logit: the rate times the probability of the other turn
+_MIDDLE = CLIP * SQUASH
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_AT_NODE = ((np.arange(SYMBOLS, dtype=np.uint64) * _ODD) >> np.uint64(32)).astype(np.uint32)
 
 
 @dataclass
@@ -75,8 +86,8 @@ def _symbols(buf: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> tuple[np.
     return out, at + np.arange(rows + 1)
 
 
-def _contexts(symbol: np.ndarray, begin: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The last two symbols as one number, the hash of the last four and of the word so far; before a text there are ends."""
+def _two(symbol: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The last two symbols as one number, and the last four one by one; before a text there are ends."""
     n = len(symbol)
     back = []
     for k in range(1, 5):
@@ -85,28 +96,43 @@ def _contexts(symbol: np.ndarray, begin: np.ndarray, blank: np.ndarray) -> tuple
         early = (begin[:-1, None] + np.arange(k)).ravel()
         b[early[early < n]] = END
         back.append(b)
-    two = back[0] * SYMBOLS + back[1]
+    return back[0] * SYMBOLS + back[1], back
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """Powers of ``base`` from 0 to ``n``."""
+    known = _POWERS.get(base)
+    if known is None or len(known) <= n:
+        known = _POWERS[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, SLICE), base)])
+    return known[: n + 1]
+
+
+_POWERS: dict[np.uint64, np.ndarray] = {}
+
+
+def _contexts(symbol: np.ndarray, begin: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The last two symbols as one number, 32-bit hashes of the last four and of the word so far."""
+    n = len(symbol)
+    two, back = _two(symbol, begin)
     four = (((two * SYMBOLS + back[2]) * SYMBOLS + back[3]).astype(np.uint64) + np.uint64(1)) * _ODD
     # the word so far: a difference of running sums, scaled to the word's begin
-    power = np.cumprod(np.r_[np.uint64(1), np.full(n, _ODD)])
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((symbol.astype(np.uint64) + np.uint64(1)) * power[:-1])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((symbol.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, n)[:-1])])
     since = np.maximum.accumulate(np.where(blank[back[0]], np.arange(n), 0))
-    scale = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)])
-    return two, four, W.mix((sums[:-1] - sums[since]) * scale[since] + two.astype(np.uint64))
+    word = W.mix((sums[:-1] - sums[since]) * _powers(_INVERSE, n)[since] + two.astype(np.uint64))
+    return two, *(((h * _ODD) >> np.uint64(32)).astype(np.uint32) for h in (four, word))
 
 
 def _cells(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Cell of each decision: hashed contexts at tree nodes."""
-    return (((context + node) * _ODD) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    return ((context + _AT_NODE[node]) >> np.uint32(32 - CELL_BITS)).astype(np.int64)
 
 
 def _decisions(m: Trees, two: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every decision its symbol's place and its place in the path tables, and for every symbol the end of its decisions."""
+    """For every symbol its number of decisions and the end of them, and for every decision its place in the path tables."""
     cell = two * SYMBOLS + symbol
     n = m.length[cell].astype(np.int64)
     until = np.cumsum(n)
-    where = np.repeat(np.arange(len(symbol)), n)
-    return where, np.arange(until[-1] if len(until) else 0) + (m.first[cell] - until + n)[where], until
+    return n, until, np.arange(until[-1] if len(until) else 0) + np.repeat(m.first[cell] - until + n, n)
 
 
 def _packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -210,7 +236,7 @@ def train(texts: DataFrame) -> Model:
 
     def follow(buf: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
         symbol, begin = _symbols(buf, at, alphabet)
-        _tally(total, _contexts(symbol, begin, blank)[0] * SYMBOLS + symbol)
+        _tally(total, _two(symbol, begin)[0] * SYMBOLS + symbol)
 
     after = _sum_tables(texts, follow, PAIRS * SYMBOLS).reshape(PAIRS, SYMBOLS).astype(float)
     trees = _trees(after)
@@ -225,60 +251,120 @@ def train(texts: DataFrame) -> Model:
     def decide(buf: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
         symbol, begin = _symbols(buf, at, alphabet)
         pair, four, word = _contexts(symbol, begin, blank)
-        where, step, _ = _decisions(trees, pair, symbol)
-        node, yes = trees.node[step].astype(np.uint64), trees.turn[step] > 0
-        _tally(total, _cells(four[where], node) * 2 + yes)
-        _tally(total, (_cells(word[where], node) + (1 << CELL_BITS)) * 2 + yes)
+        n, _, step = _decisions(trees, pair, symbol)
+        node, yes = trees.node[step], trees.turn[step] > 0
+        _tally(total, _cells(np.repeat(four, n), node) * 2 + yes)
+        _tally(total, (_cells(np.repeat(word, n), node) + (1 << CELL_BITS)) * 2 + yes)
 
     counts = _sum_tables(texts, decide, 4 << CELL_BITS).reshape(2, -1, 2)
     four, word = np.log((counts[:, :, 1] + np.float32(LITTLE)) / (counts[:, :, 0] + np.float32(LITTLE)))
     return Model(alphabet, escape, blank, trees, two.ravel(), four, word)
 
 
-def log_probabilities(m: Model, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log-probability of every symbol of all texts, the symbols, and where each text begins."""
+def _side_by_side(weights: np.ndarray, chosen: np.ndarray, inputs: list[np.ndarray], rank: np.ndarray) -> np.ndarray:
+    """Logits of decisions of many texts: those of rank 0, then of rank 1, each with the weights that the ranks before have left."""
+    by_rank = np.argsort(rank.astype(np.uint16) if rank.max() < 1 << 16 else rank, kind="stable")
+    n = np.bincount(rank)
+    until = np.cumsum(n)
+    # the first inputs of a rank, then its second ones, then its third ones
+    place, many = np.arange(len(rank)) + 2 * np.repeat(until - n, n), np.repeat(n, n)
+    given, own = np.empty(PREDICTORS * len(rank)), np.empty(PREDICTORS * len(rank), np.int64)
+    chosen = chosen[by_rank] * PREDICTORS
+    for k in range(PREDICTORS):
+        given[place], own[place] = inputs[k][by_rank], chosen + k
+        place += many
+    x, flat, lo = np.empty(len(rank)), weights.reshape(-1), 0
+    for hi in until.tolist():
+        here, m = slice(PREDICTORS * lo, PREDICTORS * hi), hi - lo
+        at, add, out = own[here], given[here], x[lo:hi]
+        w = flat.take(at)
+        part = w * add
+        np.add(part[:m], part[m : 2 * m], out=out)
+        out += part[2 * m :]
+        add = add.reshape(PREDICTORS, m)
+        add *= _MOVE.take((out + _MIDDLE).astype(np.int64), mode="clip")
+        w += add.reshape(-1)
+        flat[at] = w
+        lo = hi
+    out = np.empty(len(rank))
+    out[by_rank] = x
+    return out
+
+
+def _one_by_one(weights: np.ndarray, chosen: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
+    """The same logits for decisions that lie text by text."""
+    move, last, out = _MOVE.tolist(), len(_MOVE) - 1, []
+    sets = {k: weights[k].tolist() for k in np.unique(chosen).tolist()}
+    for k, a, b, c in zip(chosen.tolist(), *(i.tolist() for i in inputs), strict=True):
+        w = sets[k]
+        u, v, z = w
+        x = u * a + v * b + z * c
+        out.append(x)
+        at = int(x + _MIDDLE)
+        e = move[0 if at < 0 else at if at < last else last]
+        w[0], w[1], w[2] = u + a * e, v + b * e, z + c * e
+    for k, w in sets.items():
+        weights[k] = w
+    return np.array(out)
+
+
+def _coded(m: Model, buf: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of all texts: texts, number of symbols of each, places of the symbols, and their log-probabilities; fills ``symbol``."""
     rows = len(at) - 1
-    symbol, begin = _symbols(buf, at, m.alphabet)
+    begin = at + np.arange(rows + 1)
+    two, four, word = (np.empty(begin[-1], t) for t in (np.uint16, np.uint32, np.uint32))
+    lo = 0
+    while lo < rows:  # contexts of a few texts at a time
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, "right")) - 1)
+        some, first = _symbols(buf[at[lo] :], at[lo : hi + 1] - at[lo], m.alphabet)
+        here = slice(begin[lo], begin[hi])
+        symbol[here] = some
+        two[here], four[here], word[here] = _contexts(some, first, m.blank)
+        lo = hi
+    weights = np.tile(np.array(GATES) * SQUASH, (rows, 1))  # of each text and gate
     size = np.diff(begin)
-    two, four, word = _contexts(symbol, begin, m.blank)
-    doc = np.repeat(np.arange(rows), size)
-    part = (np.arange(len(symbol)) - begin[doc]) // SEGMENT
-    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")  # first segments of all texts, then their second ones, ...
-    of, two, four, word, doc, part = (x[order] for x in (symbol, two, four, word, doc, part))
-    fixed = np.array(GATES, np.float32).T.copy()
-    refined = np.zeros((PREDICTORS, rows), np.float32)
-    total = np.zeros(len(symbol))
-    edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
-    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        where, step, until = _decisions(m.trees, two[lo:hi], of[lo:hi])
-        node, sign, own = m.trees.node[step], m.trees.turn[step].astype(np.float32), doc[lo:hi]
-        inputs = [m.two[(two[lo:hi] * SYMBOLS)[where] + node]]
-        node = node.astype(np.uint64)
-        inputs += [m.four[_cells(four[lo:hi][where], node)], m.word[_cells(word[lo:hi][where], node)]]
-        gate = (own * 4)[where] + (inputs[1] != 0) + 2 * (inputs[2] != 0)
-        x = np.zeros(len(where), np.float32)
-        for k in range(PREDICTORS):
-            x += (refined[k][:, None] + fixed[k]).ravel()[gate] * inputs[k]
-        x *= sign
-        miss = 1 / (1 + np.exp(np.minimum(x, 30)))  # probability of the other turn
-        begins = np.r_[0, until[:-1]]
-        total[order[lo:hi]] = np.add.reduceat(np.log(np.maximum(1 - miss, 1e-7)), begins)
-        if hi < len(part):  # refine the weights for the next segments
-            miss *= sign
-            head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])  # a text's symbols lie together
-            for k in range(PREDICTORS):
-                refined[k][own[head]] += np.float32(RATE) * np.add.reduceat(miss * inputs[k], begins[head])
-    rare = np.flatnonzero(symbol == ESCAPE)
-    if len(rare):
-        total[rare] += m.escape[buf[rare - np.searchsorted(begin, rare, "right") + 1]]
+    longest = np.argsort(-size, kind="stable")
+    done, left = 0, rows
+    while left := int(np.searchsorted(-size[longest[:left]], -done, "left")):  # the longest ones have more than ``done`` symbols
+        doc = longest[:left]
+        n = np.minimum(size[doc] - done, max(SHORT, SIDE // left))
+        place = np.arange(n.sum()) + np.repeat(begin[doc] + done - np.cumsum(n) + n, n)
+        done += int(n[0])
+        own, pair = symbol[place], two[place].astype(np.int64)
+        k, until, step = _decisions(m.trees, pair, own)
+        node, sign = m.trees.node[step], m.trees.turn[step]
+        inputs = [m.two[np.repeat(pair * SYMBOLS, k) + node], m.four[_cells(np.repeat(four[place], k), node)], m.word[_cells(np.repeat(word[place], k), node)]]
+        ends = until[np.cumsum(n) - 1]
+        each = np.diff(ends, prepend=0)
+        chosen = np.repeat(doc * len(GATES), each) + (inputs[1] != 0) + 2 * (inputs[2] != 0)
+        inputs = [i * sign for i in inputs]  # for the turn that is taken
+        if left > FEW:
+            x = _side_by_side(weights, chosen, inputs, np.arange(len(step)) - np.repeat(ends - each, each))
+        else:
+            x = _one_by_one(weights, chosen, inputs)
+        x /= SQUASH
+        out = np.add.reduceat(np.minimum(x, 0) - np.log(1 + np.exp(-np.abs(x))), until - k)
+        rare = np.flatnonzero(own == ESCAPE)
+        if len(rare):
+            out[rare] += m.escape[buf[place[rare] - np.repeat(doc, n)[rare]]]
+        yield doc, n, place, out
+
+
+def log_probabilities(m: Model, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log-probability of every symbol of all texts, the symbols, and where each text begins."""
+    begin = at + np.arange(len(at))
+    symbol, total = np.empty(begin[-1], np.uint8), np.empty(begin[-1])
+    for _, _, place, each in _coded(m, buf, at, symbol):
+        total[place] = each
     return total, symbol, begin
 
 
 def text_scores(m: Model, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
-    each, _, begin = log_probabilities(m, buf, at)
-    total = np.concatenate([[0.0], np.cumsum(each)])
-    return (total[begin[1:]] - total[begin[:-1]]) / np.log(10)
+    out = np.zeros(len(at) - 1)
+    for doc, n, _, each in _coded(m, buf, at, np.empty(at[-1] + len(out), np.uint8)):
+        np.add.at(out, np.repeat(doc, n), each)  # symbol by symbol, whatever the parts
+    return out / np.log(10)
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,33 +407,31 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_words", pa.int64()), ("n_known", pa.int64()), ("log_c", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("total", pa.bool_())])
 
 
-def _block_scorer(model):
-    def score(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        """One row per document of the block; for block -1 one row with the numbers of words and occurrences."""
-        if not docs.num_rows:
-            total = {"doc_id": None, "held_out": None, "n_words": pa.compute.sum(counts["word"]).as_py(), "n_known": pa.compute.sum(counts["c"]).as_py(), "log_c": None, "score": None, "n_bytes": None, "total": True}
-            return pa.Table.from_pylist([total], _SCORED)
-        docs = docs.combine_chunks()
-        text = docs["text"].chunk(0)
-        known, c = counts["word"].to_numpy(), counts["c"].to_numpy()
-        order = np.argsort(known)
-        known, c = known[order], c[order]
-        parts = [[] for _ in range(5)]
-        for lo, hi in W.slices(text, SLICE):
-            buf, at = W.text_bytes(text[lo:hi], True)
-            w = W.split(buf, at, "space")
-            word, row = W.signed(W.hash_words(w)), w.rows()
-            have = np.zeros(len(word), np.int64)
-            if len(known):
-                place = np.minimum(np.searchsorted(known, word), len(known) - 1)
-                have = np.where(known[place] == word, c[place], 0)
-            values = (w.counts(), np.bincount(row[have > 0], minlength=hi - lo), np.bincount(row, np.log10(have + 1.0), hi - lo), text_scores(model.value, buf, at), np.diff(at))
-            for p, v in zip(parts, values, strict=True):
-                p.append(v)
-        columns = [np.concatenate(p) for p in parts]
-        return pa.table([docs["doc_id"], docs["held_out"], *[pa.array(x) for x in columns], pa.array(np.zeros(len(columns[0]), bool))], schema=_SCORED)
-
-    return score
+def _score_block(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    """One row per document of the block; for block -1 one row with the numbers of words and occurrences."""
+    if not docs.num_rows:
+        total = {"doc_id": None, "held_out": None, "n_words": pa.compute.sum(counts["word"]).as_py(), "n_known": pa.compute.sum(counts["c"]).as_py(), "log_c": None, "score": None, "n_bytes": None, "total": True}
+        return pa.Table.from_pylist([total], _SCORED)
+    docs = docs.combine_chunks()
+    text = docs["text"].chunk(0)
+    known, c = counts["word"].to_numpy(), counts["c"].to_numpy()
+    order = np.argsort(known)
+    known, c = known[order], c[order]
+    parts = [[] for _ in range(4)]
+    for lo, hi in W.slices(text, SLICE):
+        buf, at = W.text_bytes(text[lo:hi], True)
+        w = W.split(buf, at, "space")
+        word, row = W.signed(W.hash_words(w)), w.rows()
+        have = np.zeros(len(word), np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, word), len(known) - 1)
+            have = np.where(known[place] == word, c[place], 0)
+        values = (w.counts(), np.bincount(row[have > 0], minlength=hi - lo), np.bincount(row, np.log10(have + 1.0), hi - lo), np.diff(at))
+        for p, v in zip(parts, values, strict=True):
+            p.append(v)
+    columns = [np.concatenate(p) for p in parts]
+    columns.insert(3, docs["score"].to_numpy())
+    return pa.table([docs["doc_id"], docs["held_out"], *[pa.array(x) for x in columns], pa.array(np.zeros(len(columns[0]), bool))], schema=_SCORED)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -361,7 +445,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counted = rows.select("block", "held_out", "text").mapInArrow(_tokens, "word bigint, block bigint, n bigint")
     counts = counted.repartition("word").mapInArrow(_totals, "block bigint, word bigint, c bigint")
     shape = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, log_c double, score double, n_bytes bigint, total boolean"
-    scored = stage(rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_block_scorer(model), shape), "scored")
+
+    def scores(column: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *[text_scores(model.value, *W.text_bytes(column[lo:hi], True)) for lo, hi in W.slices(column, LOT)]]))
+
+    coded = rows.withColumn("score", F.arrow_udf(scores, "double")("text"))  # where texts are read, as more of them lie side by side than in a block
+    scored = stage(coded.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_score_block, shape), "scored")
     sums = scored.agg(
         F.coalesce(F.sum(F.when(F.col("total"), F.col("n_words"))), F.lit(0)).alias("v"), F.coalesce(F.sum(F.when(F.col("total"), F.col("n_known"))), F.lit(0)).alias("n"),
         F.count_if(~F.col("total") & ~F.col("held_out")).alias("ends"),

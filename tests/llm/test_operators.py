@@ -322,6 +322,35 @@ def test_symbol_probabilities_sum_to_one(docs):
         assert p.sum() == pytest.approx(1, abs=2e-3)
 
 
+def test_weights_follow_every_decision(docs):
+    """A plain loop over the decisions of a text, and the same text among others or alone."""
+    m = context_mixing.train(docs.where("text is not null").select("text"))
+    texts = [t or "" for _, t in CORPUS] + ["w1 w2 q 漢字 " * 700]
+    buf, at = W.text_bytes(pa.array(texts), True)
+    scores = context_mixing.text_scores(m, buf, at)
+    each, _, begin = context_mixing.log_probabilities(m, buf, at)
+    for r in (1, 3, 11, 25, len(texts) - 1):
+        one, ends = W.text_bytes(pa.array([texts[r]]), True)
+        assert context_mixing.text_scores(m, one, ends)[0] == scores[r]
+        symbol, first = context_mixing._symbols(one, ends, m.alphabet)
+        two, four, word = context_mixing._contexts(symbol, first, m.blank)
+        gates, want = [list(g) for g in context_mixing.GATES], []
+        for s, a, b, c in zip(symbol.tolist(), two, four, word, strict=True):
+            begins, total = int(m.trees.first[a * context_mixing.SYMBOLS + s]), 0.0
+            for step in range(begins, begins + int(m.trees.length[a * context_mixing.SYMBOLS + s])):
+                node, turn = m.trees.node[step : step + 1], int(m.trees.turn[step])
+                known = [float(x) for x in (m.two[a * context_mixing.SYMBOLS + node[0]], m.four[context_mixing._cells(np.array([b]), node)[0]], m.word[context_mixing._cells(np.array([c]), node)[0]])]
+                w = gates[(known[1] != 0) + 2 * (known[2] != 0)]
+                p = 1 / (1 + math.exp(-turn * sum(x * y for x, y in zip(w, known, strict=True))))
+                total += math.log(p)
+                w[:] = [x + context_mixing.RATE * (1 - p) * turn * y for x, y in zip(w, known, strict=True)]
+            want.append(total)
+        got = each[begin[r] : begin[r + 1]].copy()
+        rare = np.flatnonzero(symbol == context_mixing.ESCAPE)
+        got[rare] -= m.escape[one[rare]]
+        assert got == pytest.approx(want, rel=2e-3, abs=2e-3)
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
