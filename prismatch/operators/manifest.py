@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prismatch.functions.text import hierarchy, sentinel_to_null
 from prismatch.operators.graph import skew_safe_lookup
+from prismatch.session import stage
 
 # Resolution that stands for "unknown", names of the levels.
 UNKNOWN_RESOLUTION = 999.0
@@ -28,21 +29,28 @@ def domain_manifest(domains: DataFrame, ids: DataFrame, names: DataFrame, files:
 
     ``names`` (node, label) names the levels; ``files`` (id) lists the files that exist, None where there is no folder.
     """
-    kept = domains.join(ids.select(F.col("id").alias("domain_id")), "domain_id", "left_semi")
-    out = kept.select("*", *[c.alias(n) for c, n in zip(hierarchy(["C", "A", "T", "H"]), LEVELS, strict=True)])
+    out = domains.join(ids.select(F.col("id").alias("domain_id")), "domain_id", "left_semi")
+    if files is not None:  # before the names, as it leaves fewer rows
+        there = files.select(F.col("id").alias("domain_id"))
+        if require_file:
+            out = out.join(there, "domain_id", "left_semi").withColumn("has_pdb", F.lit(True))
+        else:
+            found = there.distinct().withColumn("has_pdb", F.lit(True))
+            out = out.join(found, "domain_id", "left").withColumn("has_pdb", F.coalesce("has_pdb", F.lit(False)))
+    else:
+        out = out.withColumn("has_pdb", F.lit(False))
+    codes = F.struct(*[c.alias(n) for n, c in zip(LEVELS, hierarchy(["C", "A", "T", "H"]), strict=True)])
+    out = stage(out.withColumn("__codes", codes), "domains")  # read for the classes, for their counts and for the rows
     label = names.groupBy("node").agg(F.max("label").alias("label"))
-    n = out.count()
-    for c in LEVELS:  # few classes may hold most domains
-        out = skew_safe_lookup(out, label.select(F.col("node").alias(c), F.col("label").alias(c + "_name")), c, "left", n)
+    classes = out.select("__codes").distinct()
+    for c in LEVELS:  # names meet each class once; few classes may hold most domains
+        named = label.select(F.col("node").alias("__node"), F.col("label").alias(c + "_name"))
+        classes = classes.join(named, F.col("__codes")[c] == F.col("__node"), "left").drop("__node")
+    out = skew_safe_lookup(out, classes, "__codes").select("*", *[F.col("__codes")[c].alias(c) for c in LEVELS]).drop("__codes")
     unknown = F.coalesce(F.col("resolution") >= UNKNOWN_RESOLUTION, F.lit(False))
     out = out.withColumns(id_parts("domain_id")).withColumn("is_nmr_or_unknown_res", unknown)
     out = out.withColumn("resolution", sentinel_to_null("resolution", UNKNOWN_RESOLUTION))
     out = out.withColumn("pdb_path", F.concat(F.lit(folder.rstrip("/") + "/"), "domain_id"))
-    if files is None:
-        out = out.withColumn("has_pdb", F.lit(False))
-    else:
-        there = files.select(F.col("id").alias("domain_id")).distinct().withColumn("has_pdb", F.lit(True))
-        out = out.join(there, "domain_id", "left").withColumn("has_pdb", F.coalesce("has_pdb", F.lit(False)))
     return (out.where("has_pdb") if require_file else out).withColumn("nr_level", F.lit(level.upper()))
 
 

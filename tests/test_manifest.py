@@ -7,6 +7,7 @@ from prismatch.contracts import ContractError
 from prismatch.functions import text as X
 from prismatch.functions import vectors as V
 from prismatch.operators import chunk_cache as CC
+from prismatch.operators import manifest
 from prismatch.operators.manifest import domain_manifest, missing_ids
 
 SCHEMA = "id bigint, chunk bigint, x double, note string"
@@ -99,3 +100,22 @@ def test_domain_manifest(spark):
     assert [r.id for r in missing_ids(domains, ids).collect()] == ["absent0"]
     link = spark.createDataFrame([("1abc",)], "e string").select(*X.hit_links("e")).first()
     assert tuple(link) == ("1ABC", "https://www.rcsb.org/structure/1ABC", "https://cdn.rcsb.org/images/structures/1abc_assembly-1.jpeg")
+
+
+def test_domain_manifest_names_classes_once(spark, monkeypatch):
+    """However many levels have names, a split lookup reads the domains for a few joins, not again for each level's parts."""
+    lookup = manifest.skew_safe_lookup
+    monkeypatch.setattr(manifest, "skew_safe_lookup", lambda *a, **k: lookup(*a, **{**k, "small_rows": 0}))
+    domains = spark.createDataFrame(
+        [(f"{i:04d}A00", c, a, i % 3, 1, 2.0) for i, (c, a) in enumerate([(1, 3), (1, None), (None, 1), (2, 3)] * 5)], "domain_id string, C int, A int, T int, H int, resolution float")
+    ids = domains.select(F.col("domain_id").alias("id"))
+    names = spark.createDataFrame([("1", "one"), ("1.3", "bundle"), ("2.3.0", "fold"), (None, "none")], "node string, label string")
+    got = manifest.domain_manifest(domains, ids, names, ids, "s40", "d")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") < 20
+    for r in got.collect():
+        i = int(r.domain_id[:4])
+        codes = [str(x) for x in ([(1, 3), (1, None), (None, 1), (2, 3)][i % 4] + (i % 3, 1))]
+        want = [".".join(x for x in codes[: k + 1] if x != "None") for k in range(4)]
+        assert [r.cath_class, r.cath_arch, r.cath_topo, r.cath_homsf] == want
+        assert [r.cath_class_name, r.cath_arch_name, r.cath_topo_name] == [{"1": "one", "1.3": "bundle", "2.3.0": "fold"}.get(w) for w in want[:3]]
+    assert got.count() == 20
