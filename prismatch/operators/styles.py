@@ -1,7 +1,8 @@
 """Deterministic render styles: a pure function of (object, view, seed).
 
-The random draws replay one numpy stream per row, vectorised over an Arrow
-batch; the repairs are column expressions.
+The random draws replay one numpy stream per row, ``default_rng(job_seed)``. The
+streams' first states are computed for a whole Arrow batch, one generator draws
+from them in turn, and values follow for the batch; the repairs are column expressions.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,14 +87,53 @@ def _field(kind: str) -> T.DataType:
     return {"categorical": T.StringType(), "integer": T.IntegerType(), "bernoulli": T.IntegerType()}.get(kind, T.DoubleType())
 
 
+def _hashed(seeds: np.ndarray) -> np.ndarray:
+    """Four 64-bit numbers for each 32-bit seed, as ``numpy.random.SeedSequence`` makes them."""
+    by = [0x43B0D7E5, 0x931E8875]  # the next constant, and what it is multiplied with
+
+    def constant() -> np.uint32:
+        c = by[0]
+        by[0] = c * by[1] & 0xFFFFFFFF
+        return np.uint32(c)
+
+    def stir(x: np.ndarray) -> np.ndarray:
+        x = (x ^ constant()) * np.uint32(by[0])
+        return x ^ (x >> np.uint32(16))
+
+    pool = [stir(x) for x in (seeds.astype(np.uint32), *[np.zeros(len(seeds), np.uint32)] * 3)]
+    for i in range(4):
+        for j in range(4):
+            if i != j:
+                x = pool[j] * np.uint32(0xCA01F9DD) - stir(pool[i]) * np.uint32(0x4973F715)
+                pool[j] = x ^ (x >> np.uint32(16))
+    by[:] = 0x8B51F9DD, 0x58F38DED
+    return np.stack([stir(pool[k % 4]) for k in range(8)], 1).view("<u8")
+
+
+def _streams(seeds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``default_rng(seed)`` for each seed, four normal and then ``width`` uniform draws."""
+    q, u = np.empty((len(seeds), 4)), np.empty((len(seeds), width))
+    bits = np.random.PCG64(0)
+    rng, state, full = np.random.Generator(bits), {}, (1 << 128) - 1
+    start = {"bit_generator": "PCG64", "state": state, "has_uint32": 0, "uinteger": 0}
+    for i, (high, low, inc_high, inc_low) in enumerate(_hashed(seeds).tolist()):
+        inc = (((inc_high << 64 | inc_low) << 1) | 1) & full
+        state["inc"], state["state"] = inc, ((inc + (high << 64 | low)) * 0x2360ED051FC65DA44385DF649FCCF645 + inc) & full
+        bits.state = start
+        rng.standard_normal(out=q[i])
+        rng.random(out=u[i])
+    return q, u
+
+
 def _draw(u: np.ndarray, at: np.ndarray, kind: str, params) -> tuple[np.ndarray, np.ndarray]:
-    """Values of one axis for all rows, and the next unread draw of each row."""
+    """Values of one axis for all rows (places of categorical ones), and the next unread draw of each row."""
     rows = np.arange(len(u))
     first = u[rows, at]
     if kind in ("categorical", "integer"):
         cdf = np.cumsum(list(params.values()))
         cdf = cdf / cdf[-1]
-        return np.array(list(params), dtype=object if kind == "categorical" else np.int64)[np.searchsorted(cdf, first, side="right")], at + 1
+        place = np.searchsorted(cdf, first, side="right")
+        return place if kind == "categorical" else np.array(list(params), np.int64)[place], at + 1
     if kind == "bernoulli":
         return (first < params[0]).astype(np.int64), at + 1
     if kind == "uniform":
@@ -116,28 +157,25 @@ def sample_styles(jobs: DataFrame, *, object_id: str = "object_id", view: str =
     schema = T.StructType([*base.schema.fields, *[T.StructField(q, T.DoubleType()) for q in quaternion],
                            *[T.StructField(n, _field(k)) for n, k, _ in table]])
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            q, u = np.empty((len(pdf), 4)), np.empty((len(pdf), width))
-            for i, s in enumerate(pdf["job_seed"]):
-                rng = np.random.default_rng(int(s))
-                q[i] = rng.normal(size=4)
-                u[i] = rng.random(width)
+            q, u = _streams(b.column(2).to_numpy(), width)
             q /= np.linalg.norm(q, axis=1, keepdims=True)
-            out = pdf.assign(**{name: q[:, i] for i, name in enumerate(quaternion)})
-            at = np.zeros(len(pdf), dtype=np.int64)
-            first = (pdf["view"] == 0).to_numpy()
+            out = [*b.columns, *[pa.array(np.ascontiguousarray(x)) for x in q.T]]
+            at = np.zeros(b.num_rows, dtype=np.int64)
+            first = pc.fill_null(pc.equal(b.column(1), 0), False)
             for name, kind, params in table:
                 value, at = _draw(u, at, kind, params)
+                value = pa.array(list(params), pa.string()).take(pa.array(value)) if kind == "categorical" else pa.array(value)
                 fixed = canonical[name] if kind == "categorical" else float(canonical[name])
-                value = value.copy()
-                value[first] = fixed
-                out[name] = value
-            yield out
+                value = pc.if_else(first, pa.scalar(fixed).cast(value.type, safe=False), value)
+                out.append(value.cast(pa.int32()) if kind in ("integer", "bernoulli") else value)
+            yield pa.record_batch(out, names)
 
-    return repair_styles(base.mapInPandas(draw, schema), held_out_ok).withColumn(
+    names = schema.names
+    return repair_styles(base.mapInArrow(draw, schema), held_out_ok).withColumn(
         "role", F.when(F.col("view") == 0, "eval_single").otherwise("train_view")).withColumn("config_version", F.lit(CONFIG_VERSION))
 
 

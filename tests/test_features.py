@@ -181,6 +181,14 @@ def style_loop(object_id, view, seed=0):
     return out
 
 
+def test_streams_equal_a_generator_of_their_own():
+    seeds = np.r_[0, 1, 2**32 - 1, np.random.default_rng(4).integers(0, 2**32, 3000)]
+    q, u = Style._streams(seeds, 27)
+    for i, s in enumerate(seeds.tolist()):
+        rng = np.random.default_rng(s)
+        assert (q[i] == rng.normal(size=4)).all() and (u[i] == rng.random(27)).all()
+
+
 def test_styles_follow_one_stream(spark):
     jobs = spark.createDataFrame([(f"o{i}", v) for i in range(40) for v in (0, 1, 5)], "object_id string, view int")
     got = {(r["object_id"], r["view"]): r.asDict() for r in Style.sample_styles(jobs, held_out_ok=True).collect()}
