@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prismatch.contracts import ContractError
 from prismatch.functions.text import entry_of
+from prismatch.sources.archives import file_system
 from prismatch.sources.records import numbered_lines
 
 # Columns of the domain list.
 DOMAIN_COLUMNS = "domain_id C A T H S35 S60 S95 S100 S100_count length resolution".split()
 
+WHOLE = 64 << 20  # files up to this many bytes are read as one value
+PIECE = 4 << 20  # bytes of a larger file that are held at a time
+
 
 def _comment(c: Column) -> Column:
     return c.startswith("#") | (F.trim(c) == "")
@@ -164,10 +170,30 @@ def scan_views(spark: SparkSession, root: str, max_views: int | None = None) ->
     return rows if max_views is None else rows.where(F.col("view") < max_views)
 
 
-def checksums(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """``path, bytes, sha256`` of files."""
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, bytes, sha256) of (path, length), a piece of a file at a time."""
+    for b in batches:
+        digests = []
+        for path in b.column(0).to_pylist():
+            fs, inner = file_system(path)
+            sha = hashlib.sha256()
+            with fs.open_input_stream(inner) as f:
+                while piece := f.read(PIECE):
+                    sha.update(piece)
+            digests.append(sha.hexdigest())
+        yield pa.record_batch([*b.columns, pa.array(digests, pa.string())], ["path", "bytes", "sha256"])
+
+
+def checksums(spark: SparkSession, paths: str | Sequence[str], whole: int = WHOLE) -> DataFrame:
+    """``path, bytes, sha256`` of files.
+
+    A digest takes a file's bytes in order, so one task reads a file. Files above ``whole`` bytes are
+    never rows: each has a scan task of its own, which pyarrow gives a piece at a time.
+    """
     files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= whole).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole).select("path", "length")
+    return small.unionByName(large.mapInArrow(_streamed, "path string, bytes bigint, sha256 string"))
 
 
 def checksum_violations(found: DataFrame, expected: DataFrame) -> DataFrame:

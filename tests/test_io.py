@@ -381,3 +381,17 @@ def test_edges_of_dealt_lines_are_not_shuffled(spark):
     got = T.parse_clusters(rows.repartition("doc"), within="doc")
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert sorted(map(tuple, got.collect())) == [(1, 0, "a"), (1, 0, "b"), (1, 1, "a"), (2, 0, "a")]
+
+
+def test_checksums_of_files_above_the_limit_of_a_value(spark, tmp_path):
+    import hashlib
+
+    for name, n in (("a b.bin", 5000), ("c.bin", 10), ("d.bin", 1001)):
+        (tmp_path / name).write_bytes(bytes(range(256)) * (n // 256) + b"x" * (n % 256))
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, 1000)  # stands for the 2 GB of one value
+    try:
+        got = {r.path.rpartition("/")[2]: (r.bytes, r.sha256) for r in T.checksums(spark, str(tmp_path), whole=1000).collect()}
+    finally:
+        spark.conf.unset(limit)
+    assert got == {f.name: (f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.iterdir()}
