@@ -444,4 +444,5 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     groups = settled(docs.sparkSession, lambda: similar_groups(docs.select("doc_id", "text")), "groups")
     first = groups.groupBy("root").agg(F.min(F.struct("id", "doc"))["doc"].alias("first"))
     later = skew_safe_lookup(groups, first, "root").where("doc <> first").select(F.col("doc").alias("__doc"))
+    later = stage(later, "later")  # of a known size, so that texts are not shuffled to meet few ids
     return docs.withColumn("__doc", key_of()).join(later, "__doc", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -301,6 +301,13 @@ def test_language_sets_of_any_size_equal_plain_expectation_maximisation():
     assert [(row > 0).sum() for row in got] == most and max(most) > 3
 
 
+def test_texts_are_not_shuffled_to_meet_few_ids(docs):
+    """The ids that go are a staged table of known size, not a join whose size Spark guesses from the tables in it."""
+    kept = ngram_join.one_of_each_group(docs.withColumn("text", F.upper("text")))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and kept.inputFiles() and all("prismatch-later" in f for f in kept.inputFiles())
+
+
 def test_base_scores_and_a_proper_model(docs):
     got = context_mixing.score_documents(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
     for r, want in zip(got.itertuples(), sorted(brute.unigrams(CORPUS)), strict=True):
