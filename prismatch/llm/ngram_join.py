@@ -15,9 +15,10 @@ first ones: otherwise too few are left behind them.
    documents traverse them. The links found give provisional groups, however
    large. Documents left outside are compared once more, with the least altered
    document that shares their shingles. That is two comparisons per document.
-3. Only where a first shingle is shared by different groups, pairs across groups
-   are counted; those with enough shared ones that pass the length and position
-   bounds are compared, in tries again.
+3. Where a first shingle is shared by different groups, pairs across groups are
+   formed if it can be the very first that a link of theirs shares: all before it
+   is lost to both, so length and position bounds are at their tightest. These
+   pairs are compared, in tries again.
 
 A comparison is exact: 100 * intersection >= PERCENT * union of the sets, whose
 members are 64-bit hashes. No pairs are made inside a group, frequent shingles
@@ -312,7 +313,10 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, doc, n, at, h, r): the ``h`` recurring first shingles of (doc, grams, marks), ranked."""
+    """(shingle, doc, n, at, h, r, opens): the ``h`` recurring first shingles of (doc, grams, marks), ranked.
+
+    Where ``opens`` is false, too little lies behind a shingle for it to be the first that any link shares.
+    """
     for b in batches:
         grams = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
         marks = [np.frombuffer(x.as_buffer(), "<i4") for x in b.column(2)]
@@ -322,16 +326,18 @@ def _fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.concatenate([g[m] for g, m in zip(grams, marks, strict=True)]) if len(grams) else np.zeros(0, np.int64)
         size = np.array([len(g) for g in grams], np.int64)
         at = np.concatenate(marks).astype(np.int64) if marks else row
+        least = (PERCENT * size + 99) // 100  # no partner is smaller, nor is what they share
+        opens = (at <= (size - least)[row]) & (n[row] - rank >= _shared(least)[row])
         columns = [own, b.column(0).to_numpy()[row], size[row], at, n[row], rank]
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["shingle", "doc", "n", "at", "h", "r"])
+        yield pa.record_batch([*[pa.array(c, pa.int64()) for c in columns], pa.array(opens)], ["shingle", "doc", "n", "at", "h", "r", "opens"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, lead, best, need): a row for each shingle that a pair across groups shares; a partition holds all rows of its cells.
+    """(doc, lead): pairs across groups that share a shingle which can be the first one of a link; a partition holds all rows of its cells.
 
-    Of what a link's intersection needs, ``best`` is the surplus that the pair can
-    still reach from there on, and ``need`` the number of such rows without which
-    the pair can't share enough.
+    From the first shared shingle on both sets must still hold the intersection that
+    a link needs, and as many recurring ones as it shares there. A link's own first
+    one passes, later ones need not.
     """
     held = [b for b in batches if b.num_rows]
     if not held:
@@ -348,15 +354,10 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = (root[i] != root[j]) & (~other[j] | ((j < i) & (part[i] == 0)))  # two others meet once
         fits &= PERCENT * np.maximum(n[i], n[j]) <= 100 * np.minimum(n[i], n[j])
         i, j = i[fits], j[fits]
-        need = _needed(n[i], n[j])
-        some = 1 + need // 6
-        # a pair that shares ``need`` recurring ones shares ``some`` among those with ``need - some`` more behind
-        fits = np.minimum(h[i] - r[i], h[j] - r[j]) > need - some
-        # from the k-th shared one of a link on, at most k - 1 of what its intersection needs lie behind: the first ``some`` stay
-        best = np.minimum(n[i] - at[i], n[j] - at[j]) - (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
-        fits &= best > -some
-        i, j, need, best = i[fits], j[fits], some[fits], best[fits]
-        return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j])), pa.array(best), pa.array(need)], ["doc", "lead", "best", "need"])
+        least = (PERCENT * (n[i] + n[j]) + 99 + PERCENT) // (100 + PERCENT)
+        fits = (np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & (np.minimum(h[i] - r[i], h[j] - r[j]) >= _needed(n[i], n[j]))
+        i, j = i[fits], j[fits]
+        return pa.record_batch([pa.array(np.maximum(doc[i], doc[j])), pa.array(np.minimum(doc[i], doc[j]))], ["doc", "lead"])
 
     here = np.flatnonzero(other)
     total = np.cumsum(size[here])
@@ -402,11 +403,11 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     kept = stage(kept, "sets")
     sets = kept.where("same is null").select("doc", "grams")
     links = _compare(kept.where("same is null and lead <> doc").select("doc", "lead"), sets, sketch)
-    shape = "shingle bigint, doc bigint, n bigint, at bigint, h bigint, r bigint"
+    shape = "shingle bigint, doc bigint, n bigint, at bigint, h bigint, r bigint, opens boolean"
     all_fronts = stage(kept.where("same is null").select("doc", "grams", "marks").mapInArrow(_fronts, shape), "fronts")
     clean = _clean_leads(_grouped(all_fronts, links))
     links = stage(links.unionByName(_compare(clean, sets, sketch)), "leads")
-    fronts = _grouped(all_fronts, links)
+    fronts = _grouped(all_fronts.where("opens"), links)
     by_group = fronts.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     mixed = by_group.groupBy("shingle").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.sum("c").alias("c"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     parts = F.greatest(F.ceil(F.col("c") / (4 * CELL)), F.lit(1)).cast("int")
@@ -414,9 +415,8 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     other = F.col("root") != F.col("main")
     own_part = F.when(other, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")))
     dealt = joined.select("shingle", "doc", "n", "at", "h", "r", "root", other.alias("other"), F.explode(own_part).alias("part"))
-    met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint, best bigint, need bigint")
-    counted = met.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("best"), F.max("need").alias("need"))
-    more = _compare(counted.where("c >= need and best >= 0").select("doc", "lead"), sets, sketch)
+    met = dealt.repartition("shingle", "part").mapInArrow(_across, "doc bigint, lead bigint")
+    more = _compare(met.distinct(), sets, sketch)
     same = kept.where("same is not null").select("doc", F.col("same").alias("lead"))
     return _labels(links.unionByName(more).unionByName(same)).join(kept.select("doc", "id"), "doc")
 

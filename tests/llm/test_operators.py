@@ -131,6 +131,32 @@ def test_families_of_chained_copies_stay_whole(spark):
     assert got == sorted((d, x[1]) for d, x in want.items())
 
 
+def test_rows_across_groups_do_not_grow_with_the_square_of_a_family(spark, monkeypatch):
+    """Half of a family links with its origin, half is a little too different; the counts come from the tasks."""
+    plain, made = ngram_join._across, {}
+    for copies in (100, 400):
+        rng, rows = random.Random(3), spark.sparkContext.accumulator(0)
+
+        def across(batches, rows=rows):
+            for b in plain(batches):
+                rows.add(b.num_rows)
+                yield b
+
+        monkeypatch.setattr(ngram_join, "_across", across)
+        w = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        texts = [" ".join(w)]
+        for k in range(copies):
+            own = list(w)
+            for at in rng.sample(range(5, 145), 1 + k % 6):
+                own[at] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+        got = rows_of(ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")), "doc_id", "component_id")
+        assert got == sorted((d, x[1]) for d, x in brute.groups(list(enumerate(texts))).items())
+        assert len({c for _, c in got}) > copies // 4
+        made[copies] = rows.value
+    assert made[400] <= 8 * max(made[100], 100)
+
+
 def test_one_document_of_each_group_stays(docs):
     out = ngram_join.one_of_each_group(docs)
     assert out.schema == docs.schema
