@@ -13,7 +13,8 @@ coded. The sum over all decisions is the text's log-probability, hence its bits
 A decision needs the one before it, so the texts of a batch are coded side by side:
 their first decisions in one numpy step, then their second ones. Where only a few long
 texts are left they are coded one after the other, with the same double-precision
-operations, so a score does not depend on the texts beside it.
+operations, so a score does not depend on the texts beside it. A batch is dealt into
+lots by length, as the steps of a lot are those of its longest text.
 
 All counts cover all training texts: Spark adds tables of fixed size over the
 scan tasks. Token counts for the base score meet the texts by blocks of
@@ -49,7 +50,7 @@ PACK = 1 << 16
 RATE = 0.01  # of learning, after every decision
 SQUASH, CLIP = 256.0, 16.0  # weights are in units of 1 / SQUASH; errors are read from a table of the logits up to CLIP in these units
 FEW = 32  # texts that are quicker coded one after the other
-SIDE, SHORT = 1 << 16, 32  # symbols of all texts whose decisions are held at once, and of each text at least
+SIDE, SHORT = 1 << 16, 8  # symbols of all texts whose decisions are held at once, and of each text at least
 GATES = ((0.9, 0.1, 0.1), (0.2, 0.8, 0.2), (0.2, 0.2, 0.8), (0.05, 0.6, 0.5))  # weights by known contexts: none, four, word, both
 LITTLE = 0.2  # added to both counts of a decision
 SLICE = 128 << 10  # of text at a time: the arrays of its contexts stay small
@@ -367,6 +368,16 @@ def text_scores(m: Model, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out / np.log(10)
 
 
+def column_scores(m: Model, column: pa.Array) -> np.ndarray:
+    """log10 probability of each text of a column; texts of about one length share a lot, so that many lie side by side until its end."""
+    out, size = np.zeros(len(column)), pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
+    order = np.argsort(size, kind="stable")
+    lot = np.cumsum(size[order], dtype=np.int64) // LOT
+    for here in np.split(order, np.flatnonzero(lot[1:] != lot[:-1]) + 1):
+        out[here] = text_scores(m, *W.text_bytes(column.take(pa.array(here)), True))
+    return out
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, block, n) of (block, held_out, text): training occurrences of each word of a block."""
     for b in batches:
@@ -447,7 +458,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     shape = "doc_id bigint, held_out boolean, n_words bigint, n_known bigint, log_c double, score double, n_bytes bigint, total boolean"
 
     def scores(column: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *[text_scores(model.value, *W.text_bytes(column[lo:hi], True)) for lo, hi in W.slices(column, LOT)]]))
+        return pa.array(column_scores(model.value, column))
 
     coded = rows.withColumn("score", F.arrow_udf(scores, "double")("text"))  # where texts are read, as more of them lie side by side than in a block
     scored = stage(coded.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(_score_block, shape), "scored")

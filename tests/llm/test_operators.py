@@ -384,6 +384,24 @@ def test_weights_follow_every_decision(docs):
         assert got == pytest.approx(want, rel=2e-3, abs=2e-3)
 
 
+def test_lots_hold_texts_of_one_length(docs, monkeypatch):
+    """Long texts do not wait in every lot: the steps are those of each lot's longest text, and no score changes."""
+    m = context_mixing.train(docs.where("text is not null").select("text"))
+    long = max((t or "" for _, t in CORPUS if " " in (t or "")), key=len)
+    column = pa.array([long[20 * k :][: 100 if k % 8 else 800] for k in range(160)])
+    want, plain, longest = context_mixing.text_scores(m, *W.text_bytes(column, True)), context_mixing.text_scores, []
+
+    def scores(m, buf, at):
+        longest.append(int(np.diff(at).max()))
+        return plain(m, buf, at)
+
+    monkeypatch.setattr(context_mixing, "text_scores", scores)
+    monkeypatch.setattr(context_mixing, "LOT", 4000)
+    assert context_mixing.column_scores(m, column).tolist() == want.tolist() and len(longest) > 5
+    as_read = sum(max(len((t or "").encode()) for t in column[lo:hi].to_pylist()) for lo, hi in W.slices(column, 4000))
+    assert sum(longest) < 0.7 * as_read
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
