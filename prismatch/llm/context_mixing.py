@@ -14,7 +14,9 @@ A decision needs the one before it, so the texts of a batch are coded side by si
 their first decisions in one numpy step, then their second ones. Where only a few long
 texts are left they are coded one after the other, with the same double-precision
 operations, so a score does not depend on the texts beside it. A batch is dealt into
-lots by length, as the steps of a lot are those of its longest text.
+lots by length, the longest texts first, as the steps of a lot are those of its longest
+text. Nearly all decisions know all contexts, so their weights lie side by side and need
+no gathering; the cells of a context lie in one line of memory.
 
 All counts cover all training texts: Spark adds tables of fixed size over the
 scan tasks. Token counts for the base score meet the texts by blocks of
@@ -30,6 +32,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +57,11 @@ SIDE, SHORT = 1 << 16, 8  # symbols of all texts whose decisions are held at onc
 GATES = ((0.9, 0.1, 0.1), (0.2, 0.8, 0.2), (0.2, 0.2, 0.8), (0.05, 0.6, 0.5))  # weights by known contexts: none, four, word, both
 LITTLE = 0.2  # added to both counts of a decision
 SLICE = 128 << 10  # of text at a time: the arrays of its contexts stay small
-LOT = 8 << 20  # of text coded side by side
+LOT = 12 << 20  # of text coded side by side
 _MOVE = RATE * SQUASH / (1 + np.exp(np.arange(-CLIP, CLIP + 1 / SQUASH, 1 / SQUASH)))  # by logit: the rate times the probability of the other turn
 _MIDDLE = CLIP * SQUASH
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_AT_NODE = ((np.arange(SYMBOLS, dtype=np.uint64) * _ODD) >> np.uint64(32)).astype(np.uint32)
 
 
 @dataclass
@@ -69,6 +71,11 @@ class Trees:
     node: np.ndarray  # by step: its node
     turn: np.ndarray  # and the decision itself, 1 or -1
 
+    @cached_property
+    def path(self) -> np.ndarray:
+        """By step: twice its node, and 1 more for the turn 1."""
+        return self.node * np.uint8(2) + (self.turn > 0)
+
 
 def _alphabet(histogram: np.ndarray) -> np.ndarray:
     """Symbol of each byte: the most frequent ones in order, else ``ESCAPE``."""
@@ -81,10 +88,11 @@ def _symbols(buf: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> tuple[np.
     """Symbols of all texts, each followed by its end, and where each text begins."""
     n = int(at[-1])
     rows = len(at) - 1
-    out = np.full(n + rows, END, np.int64)
-    row = np.repeat(np.arange(rows), np.diff(at))
-    out[np.arange(n) + row] = alphabet[buf[:n]]
-    return out, at + np.arange(rows + 1)
+    begin = at + np.arange(rows + 1)
+    out, inner = np.full(n + rows, END, np.int64), np.ones(n + rows, bool)
+    inner[begin[1:] - 1] = False
+    out[inner] = alphabet.take(buf[:n])
+    return out, begin
 
 
 def _two(symbol: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -111,29 +119,48 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _POWERS: dict[np.uint64, np.ndarray] = {}
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Another 32-bit number for each, in place: all bits bear on the upper ones."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return h
+
+
 def _contexts(symbol: np.ndarray, begin: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The last two symbols as one number, 32-bit hashes of the last four and of the word so far."""
     n = len(symbol)
     two, back = _two(symbol, begin)
-    four = (((two * SYMBOLS + back[2]) * SYMBOLS + back[3]).astype(np.uint64) + np.uint64(1)) * _ODD
+    four = _mixed(((two * SYMBOLS + back[2]) * SYMBOLS + back[3]).astype(np.uint32))
     # the word so far: a difference of running sums, scaled to the word's begin
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((symbol.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, n)[:-1])])
     since = np.maximum.accumulate(np.where(blank[back[0]], np.arange(n), 0))
     word = W.mix((sums[:-1] - sums[since]) * _powers(_INVERSE, n)[since] + two.astype(np.uint64))
-    return two, *(((h * _ODD) >> np.uint64(32)).astype(np.uint32) for h in (four, word))
+    return two, four, (word >> np.uint64(32)).astype(np.uint32)
+
+
+def _places(context: np.ndarray) -> np.ndarray:
+    """Cell of each hashed context; its nodes are around it, those near the root side by side in memory."""
+    return (context >> np.uint32(32 - CELL_BITS)).astype(np.int64)
 
 
 def _cells(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     """Cell of each decision: hashed contexts at tree nodes."""
-    return ((context + _AT_NODE[node]) >> np.uint32(32 - CELL_BITS)).astype(np.int64)
+    return _places(context) ^ node
 
 
-def _decisions(m: Trees, two: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol its number of decisions and the end of them, and for every decision its place in the path tables."""
+def _decisions(m: Trees, two: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every symbol its number of decisions and the end of them, and for every decision its symbol and its place in the path tables."""
     cell = two * SYMBOLS + symbol
     n = m.length[cell].astype(np.int64)
     until = np.cumsum(n)
-    return n, until, np.arange(until[-1] if len(until) else 0) + np.repeat(m.first[cell] - until + n, n)
+    head = np.zeros(until[-1], np.int8)  # every symbol has a decision
+    head[until[:-1]] = 1
+    row = np.cumsum(head, dtype=np.int64)
+    step = (m.first[cell] - until + n).take(row)
+    step += np.arange(len(step))
+    return n, until, row, step
 
 
 def _packed(total: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -188,6 +215,15 @@ class Model:
     four: np.ndarray  # logits of the cells after four symbols
     word: np.ndarray  # and after the word so far
 
+    @cached_property
+    def toward(self) -> np.ndarray:
+        """By step of the trees: the logit of ``two`` for the turn that is taken."""
+        at = np.repeat(np.arange(0, PAIRS * SYMBOLS, SYMBOLS, np.int32), self.trees.length.reshape(PAIRS, SYMBOLS).sum(1, dtype=np.int64))
+        at += self.trees.node
+        out = self.two[at]
+        out *= self.trees.turn
+        return out
+
 
 def _tree(weights: np.ndarray) -> list[list[tuple[int, int]]]:
     """Huffman paths: for every symbol its (node, turn) decisions from the root."""
@@ -252,65 +288,110 @@ def train(texts: DataFrame) -> Model:
     def decide(buf: np.ndarray, at: np.ndarray, total: np.ndarray) -> None:
         symbol, begin = _symbols(buf, at, alphabet)
         pair, four, word = _contexts(symbol, begin, blank)
-        n, _, step = _decisions(trees, pair, symbol)
-        node, yes = trees.node[step], trees.turn[step] > 0
-        _tally(total, _cells(np.repeat(four, n), node) * 2 + yes)
-        _tally(total, (_cells(np.repeat(word, n), node) + (1 << CELL_BITS)) * 2 + yes)
+        _, _, row, step = _decisions(trees, pair, symbol)
+        path = trees.path.take(step)
+        for k, context in enumerate((four, word)):
+            at = (_places(context) * 2).take(row)
+            at ^= path
+            _tally(total[k * 2 << CELL_BITS :], at)
 
     counts = _sum_tables(texts, decide, 4 << CELL_BITS).reshape(2, -1, 2)
     four, word = np.log((counts[:, :, 1] + np.float32(LITTLE)) / (counts[:, :, 0] + np.float32(LITTLE)))
     return Model(alphabet, escape, blank, trees, two.ravel(), four, word)
 
 
-def _side_by_side(weights: np.ndarray, chosen: np.ndarray, inputs: list[np.ndarray], rank: np.ndarray) -> np.ndarray:
-    """Logits of decisions of many texts: those of rank 0, then of rank 1, each with the weights that the ranks before have left."""
-    by_rank = np.argsort(rank.astype(np.uint16) if rank.max() < 1 << 16 else rank, kind="stable")
-    n = np.bincount(rank)
-    until = np.cumsum(n)
-    # the first inputs of a rank, then its second ones, then its third ones
-    place, many = np.arange(len(rank)) + 2 * np.repeat(until - n, n), np.repeat(n, n)
-    given, own = np.empty(PREDICTORS * len(rank)), np.empty(PREDICTORS * len(rank), np.int64)
-    chosen = chosen[by_rank] * PREDICTORS
-    for k in range(PREDICTORS):
-        given[place], own[place] = inputs[k][by_rank], chosen + k
-        place += many
-    x, flat, lo = np.empty(len(rank)), weights.reshape(-1), 0
-    for hi in until.tolist():
-        here, m = slice(PREDICTORS * lo, PREDICTORS * hi), hi - lo
-        at, add, out = own[here], given[here], x[lo:hi]
-        w = flat.take(at)
+def _side_by_side(weights: np.ndarray, doc: np.ndarray, inputs: np.ndarray, start: np.ndarray, order: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Logits of decisions of many texts: those of rank 0, then of rank 1, each with the weights that the ranks before have left.
+
+    Texts take their places by ``order``, the ones with most decisions first, so that ``many`` texts from the first on
+    have a decision of a rank. Nearly all decisions know both contexts: their weights lie side by side. The others
+    change places with the ones that they need, for their rank.
+    """
+    rows, at, doc = weights.shape[2], start[order], doc[order]
+    odd = np.flatnonzero((inputs[1] == 0) | (inputs[2] == 0))
+    text = np.searchsorted(start, odd, "right") - 1
+    rank = odd - start[text]
+    by_rank = np.argsort(rank.astype(np.uint16) if len(many) < 1 << 16 else rank, kind="stable")
+    place = np.argsort(order)[text[by_rank]]
+    odd, place = odd[by_rank], np.argsort(order)[text[by_rank]]
+    gate = (inputs[1, odd] != 0) + 2 * (inputs[2, odd] != 0)
+    own = (gate * (PREDICTORS * rows) + doc[place])[:, None] + np.arange(PREDICTORS) * rows
+    inside = place[:, None] + np.arange(PREDICTORS) * len(doc)
+    odd_until = np.cumsum(np.bincount(rank, minlength=len(many))).tolist()
+    both = weights[-1].take(doc, axis=1)
+    x, flat, flat_both, lo, odd_lo = np.empty(inputs.shape[1]), weights.reshape(-1), both.reshape(-1), 0, 0
+    for n, odd_hi in zip(many.tolist(), odd_until, strict=True):
+        here, w, out = at[:n], both[:, :n], x[lo : lo + n]
+        if odd_hi > odd_lo:
+            from_, to = own[odd_lo:odd_hi], inside[odd_lo:odd_hi]
+            aside = flat_both.take(to)
+            flat_both[to] = flat.take(from_)
+        add = inputs.take(here, axis=1, mode="clip")
+        here += 1
         part = w * add
-        np.add(part[:m], part[m : 2 * m], out=out)
-        out += part[2 * m :]
-        add = add.reshape(PREDICTORS, m)
-        add *= _MOVE.take((out + _MIDDLE).astype(np.int64), mode="clip")
-        w += add.reshape(-1)
-        flat[at] = w
-        lo = hi
-    out = np.empty(len(rank))
-    out[by_rank] = x
-    return out
+        np.add(part[0], part[1], out=out)
+        out += part[2]
+        np.multiply(add, _MOVE.take((out + _MIDDLE).astype(np.int64), mode="clip"), out=part)
+        w += part
+        if odd_hi > odd_lo:
+            flat[from_] = flat_both.take(to)
+            flat_both[to] = aside
+            odd_lo = odd_hi
+        lo += n
+    weights[-1][:, doc] = both
+    return x
+
+
+def _one_by_one(weights: np.ndarray, doc: np.ndarray, inputs: np.ndarray, start: np.ndarray, order: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The same logits, text by text."""
+    move, last, x = _MOVE.tolist(), len(_MOVE) - 1, np.empty(inputs.shape[1])
+    gate = (inputs[1] != 0) + 2 * (inputs[2] != 0)
+    until, before = np.append(start[1:], len(x)), np.cumsum(many) - many
+    for place, text in enumerate(order.tolist()):
+        here, out = slice(start[text], until[text]), []
+        sets, now = weights[:, :, doc[text]].tolist(), len(GATES) - 1
+        u, v, z = sets[now]
+        for k, a, b, c in zip(gate[here].tolist(), *inputs[:, here].tolist(), strict=True):
+            if k != now:
+                sets[now] = u, v, z
+                u, v, z = sets[k]
+                now = k
+            each = u * a + v * b + z * c
+            out.append(each)
+            at = int(each + _MIDDLE)
+            e = move[0 if at < 0 else at if at < last else last]
+            u += a * e
+            v += b * e
+            z += c * e
+        sets[now] = u, v, z
+        weights[:, :, doc[text]] = sets
+        x[before[: len(out)] + place] = out
+    return x
 
 
-def _one_by_one(weights: np.ndarray, chosen: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-    """The same logits for decisions that lie text by text."""
-    move, last, out = _MOVE.tolist(), len(_MOVE) - 1, []
-    sets = {k: weights[k].tolist() for k in np.unique(chosen).tolist()}
-    for k, a, b, c in zip(chosen.tolist(), *(i.tolist() for i in inputs), strict=True):
-        w = sets[k]
-        u, v, z = w
-        x = u * a + v * b + z * c
-        out.append(x)
-        at = int(x + _MIDDLE)
-        e = move[0 if at < 0 else at if at < last else last]
-        w[0], w[1], w[2] = u + a * e, v + b * e, z + c * e
-    for k, w in sets.items():
-        weights[k] = w
-    return np.array(out)
-
-
-def _coded(m: Model, buf: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of all texts: texts, number of symbols of each, places of the symbols, and their log-probabilities; fills ``symbol``."""
+@dataclass
+class Part:
+    """Some symbols of some texts, coded."""
+
+    doc: np.ndarray  # texts
+    n: np.ndarray  # symbols of each
+    place: np.ndarray  # of the symbols among those of all texts
+    until: np.ndarray  # by symbol: the end of its decisions
+    order: np.ndarray  # of the texts, those with most decisions first
+    many: np.ndarray  # by rank: texts that have a decision of that rank
+    each: np.ndarray  # log-probability of each decision, by rank and text
+    rare: np.ndarray  # symbols that are escaped bytes
+    byte: np.ndarray  # and the log-probability of the byte
+
+    def by_text(self) -> tuple[np.ndarray, np.ndarray]:
+        """The log-probabilities text by text, and how many each text has."""
+        n = np.diff(self.until[np.cumsum(self.n) - 1], prepend=0)
+        rank = np.arange(len(self.each)) - np.repeat(np.cumsum(n) - n, n)
+        return self.each[(np.cumsum(self.many) - self.many)[rank] + np.repeat(np.argsort(self.order), n)], n
+
+
+def _coded(m: Model, buf: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> Iterator[Part]:
+    """Parts of all texts, those of a text in order; fills ``symbol``."""
     rows = len(at) - 1
     begin = at + np.arange(rows + 1)
     two, four, word = (np.empty(begin[-1], t) for t in (np.uint16, np.uint32, np.uint32))
@@ -322,56 +403,73 @@ def _coded(m: Model, buf: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> Ite
         symbol[here] = some
         two[here], four[here], word[here] = _contexts(some, first, m.blank)
         lo = hi
-    weights = np.tile(np.array(GATES) * SQUASH, (rows, 1))  # of each text and gate
+    weights = np.repeat(np.array(GATES) * SQUASH, rows).reshape(len(GATES), PREDICTORS, rows)  # of each gate and text
     size = np.diff(begin)
     longest = np.argsort(-size, kind="stable")
     done, left = 0, rows
     while left := int(np.searchsorted(-size[longest[:left]], -done, "left")):  # the longest ones have more than ``done`` symbols
         doc = longest[:left]
-        n = np.minimum(size[doc] - done, max(SHORT, SIDE // left))
+        most = max(SHORT, SIDE // left)
+        if left > FEW:  # not beyond the place where few are left
+            most = min(most, size[longest[FEW]] - done)
+        n = np.minimum(size[doc] - done, most)
         place = np.arange(n.sum()) + np.repeat(begin[doc] + done - np.cumsum(n) + n, n)
         done += int(n[0])
-        own, pair = symbol[place], two[place].astype(np.int64)
-        k, until, step = _decisions(m.trees, pair, own)
-        node, sign = m.trees.node[step], m.trees.turn[step]
-        inputs = [m.two[np.repeat(pair * SYMBOLS, k) + node], m.four[_cells(np.repeat(four[place], k), node)], m.word[_cells(np.repeat(word[place], k), node)]]
+        own = symbol[place]
+        _, until, row, step = _decisions(m.trees, two[place].astype(np.int64), own)
+        node, sign = m.trees.node.take(step), m.trees.turn.take(step)
+        inputs = np.empty((PREDICTORS, len(step)), np.float32)  # for the turn that is taken
+        m.toward.take(step, out=inputs[0], mode="clip")
+        for given, table, context in zip(inputs[1:], (m.four, m.word), (four, word), strict=True):
+            cell = _places(context[place]).take(row)
+            cell ^= node
+            table.take(cell, out=given, mode="clip")
+            given *= sign
         ends = until[np.cumsum(n) - 1]
         each = np.diff(ends, prepend=0)
-        chosen = np.repeat(doc * len(GATES), each) + (inputs[1] != 0) + 2 * (inputs[2] != 0)
-        inputs = [i * sign for i in inputs]  # for the turn that is taken
-        if left > FEW:
-            x = _side_by_side(weights, chosen, inputs, np.arange(len(step)) - np.repeat(ends - each, each))
-        else:
-            x = _one_by_one(weights, chosen, inputs)
-        x /= SQUASH
-        out = np.add.reduceat(np.minimum(x, 0) - np.log(1 + np.exp(-np.abs(x))), until - k)
+        order = np.argsort(-each, kind="stable")
+        many = left - np.cumsum(np.bincount(each))[:-1]
+        x = (_side_by_side if left > FEW else _one_by_one)(weights, doc, inputs, ends - each, order, many)
+        x = (x / SQUASH).astype(np.float32)
+        cost = np.minimum(x, 0) - np.log(1 + np.exp(-np.abs(x)))
         rare = np.flatnonzero(own == ESCAPE)
-        if len(rare):
-            out[rare] += m.escape[buf[place[rare] - np.repeat(doc, n)[rare]]]
-        yield doc, n, place, out
+        byte = m.escape[buf[place[rare] - doc[np.searchsorted(np.cumsum(n), rare, "right")]]]
+        yield Part(doc, n, place, until, order, many, cost.astype(float), rare, byte)
 
 
 def log_probabilities(m: Model, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Natural log-probability of every symbol of all texts, the symbols, and where each text begins."""
     begin = at + np.arange(len(at))
     symbol, total = np.empty(begin[-1], np.uint8), np.empty(begin[-1])
-    for _, _, place, each in _coded(m, buf, at, symbol):
-        total[place] = each
+    for p in _coded(m, buf, at, symbol):
+        total[p.place] = np.add.reduceat(p.by_text()[0], np.append(0, p.until[:-1]))
+        total[p.place[p.rare]] += p.byte
     return total, symbol, begin
 
 
 def text_scores(m: Model, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
-    out = np.zeros(len(at) - 1)
-    for doc, n, _, each in _coded(m, buf, at, np.empty(at[-1] + len(out), np.uint8)):
-        np.add.at(out, np.repeat(doc, n), each)  # symbol by symbol, whatever the parts
-    return out / np.log(10)
+    out, bytes_ = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
+    for p in _coded(m, buf, at, np.empty(at[-1] + len(out), np.uint8)):
+        if len(p.doc) > FEW:  # decision by decision, whatever the parts
+            doc, each, lo = p.doc[p.order], p.each, 0
+            total = out[doc]
+            for n in p.many.tolist():
+                some = total[:n]
+                some += each[lo : lo + n]
+                lo += n
+            out[doc] = total
+        else:
+            each, n = p.by_text()
+            np.add.at(out, np.repeat(p.doc, n), each)
+        np.add.at(bytes_, p.doc[np.searchsorted(np.cumsum(p.n), p.rare, "right")], p.byte)
+    return (out + bytes_) / np.log(10)
 
 
 def column_scores(m: Model, column: pa.Array) -> np.ndarray:
     """log10 probability of each text of a column; texts of about one length share a lot, so that many lie side by side until its end."""
     out, size = np.zeros(len(column)), pa.compute.binary_length(column).to_numpy(zero_copy_only=False)
-    order = np.argsort(size, kind="stable")
+    order = np.argsort(-size, kind="stable")  # so that the longest ones are many in their lot
     lot = np.cumsum(size[order], dtype=np.int64) // LOT
     for here in np.split(order, np.flatnonzero(lot[1:] != lot[:-1]) + 1):
         out[here] = text_scores(m, *W.text_bytes(column.take(pa.array(here)), True))
@@ -382,19 +480,20 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, block, n) of (block, held_out, text): training occurrences of each word of a block."""
     for b in batches:
         word, block, train = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        blocks, held = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+        (blocks, of_row), held = np.unique(b.column(0).to_numpy(), return_inverse=True), b.column(1).to_numpy(zero_copy_only=False)
         for lo, hi in W.slices(b.column(2)):
             w = W.words_of(b.column(2)[lo:hi])
             row = w.rows()
             word.append(W.signed(W.hash_words(w)))
-            block.append(blocks[lo:hi][row])
+            block.append(of_row[lo:hi][row])
             train.append(1 - held[lo:hi][row].astype(np.int64))
         word, block, train = (np.concatenate(x) for x in (word, block, train))
-        order = np.lexsort((word, block))
+        # by block and most bits of the word: words that differ in the others only make rows twice, which add up the same
+        order = np.argsort((block.astype(np.uint64) << np.uint64(48)) | (word.view(np.uint64) >> np.uint64(16)))
         word, block, train = word[order], block[order], train[order]
         head = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (block[1:] != block[:-1])]) if len(word) else order
         n = np.add.reduceat(train, head) if len(head) else head
-        yield pa.record_batch([pa.array(word[head]), pa.array(block[head]), pa.array(n)], ["word", "block", "n"])
+        yield pa.record_batch([pa.array(word[head]), pa.array(blocks[block[head]]), pa.array(n)], ["word", "block", "n"])
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -402,6 +402,37 @@ def test_lots_hold_texts_of_one_length(docs, monkeypatch):
     assert sum(longest) < 0.7 * as_read
 
 
+def test_coding_gathers_little(docs, monkeypatch):
+    """A context's nodes near the root share a line of 16 cells, and the longest text is not left alone in its lot."""
+    context = np.random.default_rng(4).integers(0, 1 << 32, 1000).astype(np.uint32)
+    cells = context_mixing._cells(context[:, None], np.arange(context_mixing.SYMBOLS, dtype=np.uint8)[None, :])
+    assert all(len(set(c)) == context_mixing.SYMBOLS for c in cells.tolist())
+    assert (np.ptp(cells[:, 48:] >> 4, axis=1) == 0).all() and len(np.unique(cells[:, 0])) > 990
+    m = context_mixing.train(docs.where("text is not null").select("text"))
+    column, plain, lots = pa.array(["w1 w2 w3 " * 11 + "w"] * 64 + ["w4 q w5 z " * 90] * 3), context_mixing.text_scores, []
+    want = plain(m, *W.text_bytes(column, True))
+
+    def scores(m, buf, at):
+        lots.append(np.diff(at).tolist())
+        return plain(m, buf, at)
+
+    monkeypatch.setattr(context_mixing, "text_scores", scores)
+    monkeypatch.setattr(context_mixing, "LOT", 3000)
+    assert context_mixing.column_scores(m, column).tolist() == want.tolist()
+    assert len(lots) > 2 and all(900 not in lot or len(lot) > 3 for lot in lots)
+
+
+def test_words_of_a_block_that_differ_in_their_last_bits(monkeypatch):
+    """Words are sorted by most of their bits only; their counts stay apart."""
+    monkeypatch.setattr(context_mixing.W, "hash_words", lambda w: (w.buf[w.starts] % 2).astype(np.uint64) + np.uint64(5 << 40))
+    texts = pa.array(["a b a b b", "b a", None, "a"])
+    rows = next(context_mixing._tokens(iter([pa.record_batch([pa.array([7, 7, 7, 9]), pa.array([False, True, False, False]), texts], ["block", "held_out", "text"])])))
+    got = {}
+    for word, block, n in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        got[word - (5 << 40), block] = got.get((word - (5 << 40), block), 0) + n
+    assert got == {(1, 7): 2, (0, 7): 3, (1, 9): 1}
+
+
 def test_pieces_equal_the_library(spark):
     import sentencepiece
 
