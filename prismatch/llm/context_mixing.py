@@ -95,11 +95,11 @@ def _symbols(buf: np.ndarray, at: np.ndarray, alphabet: np.ndarray) -> tuple[np.
     return out, begin
 
 
-def _two(symbol: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The last two symbols as one number, and the last four one by one; before a text there are ends."""
+def _two(symbol: np.ndarray, begin: np.ndarray, most: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The last two symbols as one number, and the last ``most`` one by one; before a text there are ends."""
     n = len(symbol)
     back = []
-    for k in range(1, 5):
+    for k in range(1, most + 1):
         b = np.empty(n, np.int64)
         b[k:] = symbol[: max(n - k, 0)]
         early = (begin[:-1, None] + np.arange(k)).ravel()
@@ -131,7 +131,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def _contexts(symbol: np.ndarray, begin: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The last two symbols as one number, 32-bit hashes of the last four and of the word so far."""
     n = len(symbol)
-    two, back = _two(symbol, begin)
+    two, back = _two(symbol, begin, 4)
     four = _mixed(((two * SYMBOLS + back[2]) * SYMBOLS + back[3]).astype(np.uint32))
     # the word so far: a difference of running sums, scaled to the word's begin
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((symbol.astype(np.uint64) + np.uint64(1)) * _powers(_ODD, n)[:-1])])
@@ -431,7 +431,10 @@ def _coded(m: Model, buf: np.ndarray, at: np.ndarray, symbol: np.ndarray) -> Ite
         many = left - np.cumsum(np.bincount(each))[:-1]
         x = (_side_by_side if left > FEW else _one_by_one)(weights, doc, inputs, ends - each, order, many)
         x = (x / SQUASH).astype(np.float32)
-        cost = np.minimum(x, 0) - np.log(1 + np.exp(-np.abs(x)))
+        cost = -np.abs(x)
+        np.exp(cost, out=cost)
+        cost += 1
+        np.subtract(np.minimum(x, 0), np.log(cost, out=cost), out=cost)
         rare = np.flatnonzero(own == ESCAPE)
         byte = m.escape[buf[place[rare] - doc[np.searchsorted(np.cumsum(n), rare, "right")]]]
         yield Part(doc, n, place, until, order, many, cost.astype(float), rare, byte)
@@ -472,7 +475,11 @@ def column_scores(m: Model, column: pa.Array) -> np.ndarray:
     order = np.argsort(-size, kind="stable")  # so that the longest ones are many in their lot
     lot = np.cumsum(size[order], dtype=np.int64) // LOT
     for here in np.split(order, np.flatnonzero(lot[1:] != lot[:-1]) + 1):
-        out[here] = text_scores(m, *W.text_bytes(column.take(pa.array(here)), True))
+        texts, known = column.take(pa.array(here)).cast(pa.binary()), {}
+        again = [known.setdefault(t, len(known)) for t in texts.to_pylist()]  # equal texts, of one length, are coded once
+        del known
+        first = np.unique(again, return_index=True)[1]
+        out[here] = text_scores(m, *W.text_bytes(texts.take(pa.array(first)), True))[again]
     return out
 
 

@@ -409,7 +409,7 @@ def test_coding_gathers_little(docs, monkeypatch):
     assert all(len(set(c)) == context_mixing.SYMBOLS for c in cells.tolist())
     assert (np.ptp(cells[:, 48:] >> 4, axis=1) == 0).all() and len(np.unique(cells[:, 0])) > 990
     m = context_mixing.train(docs.where("text is not null").select("text"))
-    column, plain, lots = pa.array(["w1 w2 w3 " * 11 + "w"] * 64 + ["w4 q w5 z " * 90] * 3), context_mixing.text_scores, []
+    column, plain, lots = pa.array([f"w1 w2 w{k:02} " * 10 for k in range(64)] + [f"w4 q w5 {k} " * 90 for k in range(3)]), context_mixing.text_scores, []
     want = plain(m, *W.text_bytes(column, True))
 
     def scores(m, buf, at):
@@ -420,6 +420,10 @@ def test_coding_gathers_little(docs, monkeypatch):
     monkeypatch.setattr(context_mixing, "LOT", 3000)
     assert context_mixing.column_scores(m, column).tolist() == want.tolist()
     assert len(lots) > 2 and all(900 not in lot or len(lot) > 3 for lot in lots)
+    lots.clear()
+    monkeypatch.setattr(context_mixing, "LOT", 1 << 20)
+    assert context_mixing.column_scores(m, pa.concat_arrays([column[60:]] * 3)).tolist() == want.tolist()[60:] * 3
+    assert sum(map(len, lots)) == 7  # equal texts are coded once
 
 
 def test_words_of_a_block_that_differ_in_their_last_bits(monkeypatch):
