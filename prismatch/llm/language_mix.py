@@ -173,7 +173,7 @@ def predictor(labelled: DataFrame):
         return pa.StructArray.from_arrays([lang, score, pa.array(langs, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))], ["lang", "score", "langs"])
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    call = F.arrow_udf(run, _RESULT)
+    call = F.arrow_udf(run, _RESULT).asNondeterministic()  # else a condition on what is found would infer it once more
     none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.array().cast("array<struct<lang:string,share:double>>").alias("langs"))
 
     def predict(text: Column) -> Column:
@@ -183,23 +183,30 @@ def predictor(labelled: DataFrame):
     return predict
 
 
+def _labelled(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
 def _training(docs: DataFrame) -> DataFrame:
-    return docs.where(~held_out(F.col("doc_id"), 4) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    return docs.select(F.col("text").cast("string"), F.col("lang").cast("string"))
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     """Per document: predicted language and its share; learned from the documents that are not held out."""
-    predict = predictor(_training(docs))
+    predict = predictor(_training(_labelled(docs).where(~held_out(F.col("doc_id"), 4))))
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id"), 4).alias("held_out"), predict(F.col("text")).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", F.to_json("p.langs").alias("languages"))
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The documents in which a language was found; all columns stay as they are.
+    """The documents in which a language was found, with it in ``lang``; the other columns stay as they are.
 
-    Without any labelled document there are no languages to tell apart, and those with a letter stay.
+    Learned from every labelled document, as nothing is measured here. Without any
+    there are no languages to tell apart, and those with a letter stay as they are.
     """
-    predict = predictor(_training(docs))
-    found = docs.withColumn("__language", predict(F.col("text")))
-    keep = F.col("__language.lang") != UNKNOWN if predict.languages else has_letter(F.col("text"))
-    return found.where(keep).drop("__language")
+    predict = predictor(_training(_labelled(docs)))
+    if not predict.languages:
+        return docs.where(has_letter(F.col("text")))
+    found = docs.withColumn("__language", predict(F.col("text"))["lang"])
+    kind = docs.schema["lang"].dataType
+    return found.where(F.col("__language") != UNKNOWN).withColumn("lang", F.col("__language").cast(kind)).drop("__language")

@@ -294,6 +294,22 @@ def test_language_is_learned_and_mixtures_are_seen(spark):
     assert set(language_mix.language_report(bare).toPandas().lang_pred) == {"und"}
 
 
+def test_language_that_is_found_goes_on(spark):
+    """The stage hands on what it found, whatever label came with the text, and learns from all labelled documents."""
+    tongues = {n: [f"{n[0]}{a}{b}{n[1]}" for a in "aeiou" for b in "bdklmnrst"] for n in ("xy", "qz", "fj")}
+    rng = random.Random(2)
+    say = lambda n, k: " ".join(rng.choice(tongues[n]) for _ in range(k))
+    held = [i for i in range(2000) if brute.held(i, 4)][:20]
+    rows = [(i, say(n, 40), n) for i, n in enumerate(["xy", "qz"] * 30, 5000)] + [(i, say("fj", 40), "fj") for i in held]
+    rows += [(9000, say("xy", 60), None), (9001, say("qz", 60), "xy"), (9002, say("fj", 60), None), (None, say("fj", 60), "qz"), (9003, "12 34", "xy"), (9004, None, "qz")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("p", F.lit(0))
+    kept = language_mix.with_language(df)
+    assert kept.schema == df.schema and kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    found = {r.doc_id: r.lang for r in kept.collect()}
+    assert {i: n for i, _, n in rows[:80]} == {i: found[i] for i, _, _ in rows[:80]}
+    assert {i: found[i] for i in found if i not in {r[0] for r in rows[:80]}} == {9000: "xy", 9001: "qz", 9002: "fj", None: "fj"}
+
+
 def test_language_sets_of_any_size_equal_plain_expectation_maximisation():
     """Every nested set in doubles, over many rounds, against the pruned search."""
     rng = np.random.default_rng(3)
