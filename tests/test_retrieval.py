@@ -201,3 +201,53 @@ def test_result_rows_are_formed_for_a_bounded_number_of_queries(monkeypatch):
     seen = []
     list(S._scanner(shared, 2, True, lambda q, b: seen.append(q.ids.tolist()), None)(iter([block])))
     assert seen == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+
+
+def _kernel(monkeypatch, call):
+    """The kernel that a search hands to its tasks."""
+    kept, run = [], S._run
+    monkeypatch.setattr(S, "_run", lambda index, queries, kernel, *more: kept.append(kernel) or run(index, queries, kernel, *more))
+    call()
+    return kept[-1]
+
+
+def test_only_near_ties_are_compared_exactly(spark, monkeypatch):
+    """Single precision decides what it can; vectors closer than it tells apart still get their exact order."""
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(60, 8))
+    m[20:40] = m[:20] + rng.normal(size=(20, 8)) * 1e-7
+    m[40:50] = m[:10]
+    m = m.astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"render_id": range(60), "entry": [f"E{i:02d}" for i in range(60)], "emb": [[float(x) for x in v] for v in m]}), "render_id long, entry string, emb array<float>")
+    index = S.build_index(df, entry="render_id")
+    kernel = _kernel(monkeypatch, lambda: S.top_hits(index, df, k=10, rule="max", query_id="render_id", exclude_self=True))
+    row = {"entries": pa.array(range(60)), "images": pa.array(range(60)), "whole": pa.array([True] * 60), "matrix": m.tobytes()}
+    block = S._Block(row, 8, True)
+    asked = S._Queries(pa.table({"query_id": list(range(60)), "vector": m.tolist()}), 8, True)
+    exact = asked.vectors.dot(block.vectors)
+    np.fill_diagonal(exact, -np.inf)
+    monkeypatch.setattr(S._Exact, "dot", None)
+    got = kernel(asked, block).to_pandas()
+    for i, own in got.groupby("query_id"):
+        order = sorted(range(60), key=lambda j: (-exact[i, j], j))[:10]
+        assert own.entry.tolist() == order and own.value.tolist() == own.cosine.tolist() == [exact[i, j] for j in order]
+
+
+def test_coverage_searches_once_and_entries_of_half_a_block_stay_whole(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 4 * 3 * 100)  # a block of 100 images
+    rng = np.random.default_rng(6)
+    gallery = pd.DataFrame({"render_id": range(160), "entry": ["A"] * 45 + ["B"] * 48 + [f"C{i}" for i in range(67)], "emb": rng.normal(size=(160, 3)).tolist()})
+    index = S.build_index(spark.createDataFrame(gallery, "render_id long, entry string, emb array<float>"))
+    assert not index.has_split
+    crops = spark.createDataFrame([(i, gallery.emb[i], ["A", "B", f"C{i}", "none"]) for i in range(40)], "crop_id long, emb array<float>, pdb_ids array<string>")
+    splits = spark.createDataFrame([("A", "train"), ("B", "test")], "pdb_id string, split string")
+    out = R.source_coverage(index, crops, splits)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # the search itself is done and kept
+    u = np.array(gallery.emb.tolist(), np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {}
+    for i in range(40):
+        scores = {e: np.sort(u[own.index] @ u[i])[::-1][:5].mean() for e, own in gallery.groupby("entry")}
+        ranked = sorted(scores, key=lambda e: (-scores[e], e))
+        want |= {(i, e): ranked.index(e) + 1 if e in scores else None for e in ("A", "B", f"C{i}".upper(), "none".upper())}
+    assert {(r.crop_id, r.pdb_id): r["rank"] for r in out.collect()} == want
